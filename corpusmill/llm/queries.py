@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import line_frequency, simhash
+import corpus_pipeline
+from corpusmill.llm import chunk_store, iso_media, langid, line_frequency, mixing, rollups, rule_ensemble, simhash, unigram, warc
+from corpusmill.llm.shared import shared_dir, written
+from corpusmill.llm.tokenizer_files import BYTE_BPE, PIECES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +51,137 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 1000
+"""
+
+
+def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = chunk_store.write_store(_table(spark, sf_dir, "documents"), BYTE_BPE)
+    return chunk_store.digests(store).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "sound")
+
+
+def op4_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = iso_media.features(iso_media.stored_media(_table(spark, sf_dir, "documents")))
+    ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("-", k["start"].cast("string"), k["end"].cast("string"))), ",")
+    feature = F.concat(F.lit("codec="), "codec", F.lit(";duration="), F.col("duration_s").cast("string"), F.lit(";keyframes="), ranges)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.checked(_table(spark, sf_dir, "documents"), PIECES)
+
+
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: The mixture that op7 makes: half as many tokens as there are, at most two
+#: epochs of a leaf, English at double and one domain at triple weight.
+MIX = {"budget": 0.5, "max_epochs": 2, "weights": {"lang": {"en": 2.0}, "domain": {"domain1": 3.0}}}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixture(_table(spark, sf_dir, "documents"), **MIX)
+    return out.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
+
+
+def _filled_sql(name: str, nodes: str, above: str, level: str, share: str) -> str:
+    """Water filling at a level, as common table expressions."""
+    by = f"PARTITION BY {above}" if above else ""
+    return f"""
+{name}_w AS (SELECT *, ({share} - coalesce(sum(capacity) OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM {nodes}),
+{name}_f AS (SELECT *, (min(CASE WHEN capacity / weight > water THEN struct_pack(r := capacity / weight, k := {level}, w := water) END) OVER ({by})).w AS reached FROM {name}_w),
+{name} AS (SELECT *, CASE WHEN capacity / weight <= water THEN capacity ELSE least(capacity, weight * reached) END AS budget FROM {name}_f),
+"""
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, text, coalesce('domain' || (TRY_CAST(nullif(regexp_extract(source, '([0-9])$', 1), '') AS INT) % 4), 'other') AS domain,
+                  coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+                  len(list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
+p AS (SELECT * FROM d WHERE n_tokens > 0),
+s AS (SELECT domain, lang, source, sum(n_tokens) AS leaf_tokens, sum(n_tokens) * 2.0::DOUBLE AS capacity, 1.0::DOUBLE AS weight FROM p GROUP BY ALL),
+l AS (SELECT domain, lang, sum(capacity) AS capacity, CASE WHEN lang = 'en' THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM s GROUP BY domain, lang),
+t AS (SELECT domain, sum(capacity) AS capacity, CASE WHEN domain = 'domain1' THEN 3.0 ELSE 1.0 END::DOUBLE AS weight FROM l GROUP BY domain),
+b AS (SELECT floor(sum(n_tokens) * 0.5)::DOUBLE AS total FROM p),
+{_filled_sql("top", "(SELECT t.*, total AS share FROM t, b)", "", "domain", "share")}
+{_filled_sql("mid", "(SELECT l.*, top.budget AS share FROM l JOIN top USING (domain))", "domain", "lang", "share")}
+{_filled_sql("low", "(SELECT s.*, mid.budget AS share FROM s JOIN mid USING (domain, lang))", "domain, lang", "source", "share")}
+plan AS (SELECT domain, lang, source, leaf_tokens, floor(round(budget, 6))::BIGINT AS budget FROM low),
+q AS (SELECT domain, lang, source, (budget // leaf_tokens)::BIGINT AS whole, (budget % leaf_tokens)::BIGINT AS left_over FROM plan),
+o AS (SELECT p.*, whole, left_over, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('42/' || whole || '/' || coalesce(doc_id::VARCHAR, 'null')), md5(text)) - n_tokens AS begun FROM p JOIN q USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, unnest(range(whole))::BIGINT AS epoch, n_tokens, n_tokens AS take_tokens FROM o WHERE whole > 0
+UNION ALL
+SELECT doc_id, domain, lang, source, whole AS epoch, n_tokens, least(n_tokens, left_over - begun)::BIGINT AS take_tokens FROM o WHERE begun < left_over
+"""
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.fit(docs))
+
+
+def op10_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: counts under two tokenizer versions, the
+    second's revised (words without a letter or digit don't count), and deletes
+    of exact copies of a document with a smaller id; then each batch once more,
+    as after a broken run."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    words = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("text_key"), F.array_remove(F.split("text", mixing.SPACE), "").alias("words"))
+    counts = words.select("doc_id", "source", "lang", "text_key", F.size("words").alias("n1"), F.size(F.filter("words", lambda w: w.rlike(r"[\p{L}\p{N}]"))).alias("n2"))
+    path = shared_dir(spark)
+    counts = written(counts, f"{path}/counts")
+    under = lambda rows, version, n: rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(n).alias("n_tokens"))
+    first = counts.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = written(counts.join(first, "text_key").where("doc_id != first"), f"{path}/copies")
+    wrong = counts.where("n1 != n2")
+    batches = {
+        "load-1": rollups.inserts(under(counts, "words-1", "n1")),
+        "load-2": rollups.inserts(under(counts, "words-2", "n1")),
+        "revise-2": rollups.revisions(under(wrong, "words-2", "n1"), under(wrong, "words-2", "n2")),
+        "drop-copies": rollups.deletes(under(copies, "words-1", "n1").unionByName(under(copies, "words-2", "n2"))),
+    }
+    rollup = rollups.Rollup(spark, f"{path}/rollup")
+    for name, changes in [*batches.items(), *batches.items()]:
+        rollup.commit(name, changes)
+    return rollup.totals()
+
+
+OP10_SQL = r"""
+WITH c AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+k AS (SELECT * FROM c QUALIFY doc_id = min(doc_id) OVER (PARTITION BY t)),
+n AS (SELECT source, lang, 'words-1' AS tokenizer, len(ws) AS n FROM k UNION ALL
+      SELECT source, lang, 'words-2', len(list_filter(ws, lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) FROM k)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM n GROUP BY ALL
+"""
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chunk_store": op3_chunk_store,
+    "op4_iso_media": op4_iso_media,
+    "op5_unigram": op5_unigram,
+    "op6_rule_ensemble": op6_rule_ensemble,
+    "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
+    "op10_rollups": op10_rollups,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op2_quality_rules": OP2_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_mixing": OP7_SQL, "op10_rollups": OP10_SQL}

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected
 from corpusmill.llm.shared import written
+from corpusmill.ship import ship
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -61,6 +62,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             fps = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
@@ -116,8 +118,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 3) -> DataFrame:
-    """One row of each component: that with the smallest id, and of equal rows one."""
-    ids = near_duplicates(docs, doc_id, text, threshold).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    """One row of each component: that with the smallest id, and of rows with one
+    id one. A row without an id can't stand for others, and stays."""
+    ids = near_duplicates(docs, doc_id, text, threshold).where(F.col(doc_id) == F.col("component_id"))
     keep = ids.select(F.col(doc_id).alias("__keep")).distinct()
-    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["__keep"]), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    named = docs.where(F.col(doc_id).isNotNull())
+    kept = named.join(keep, named[doc_id] == keep["__keep"], "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
