@@ -25,15 +25,19 @@ first in the order, repeated ids follow each other; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import zstandard
@@ -49,46 +53,116 @@ ODD = 0x9E3779B97F4A7C15
 #: Before a space that a word follows, a byte-level tokenizer always cuts; runs
 #: of spaces before other white space are the exception.
 RUNS = regex.compile(r"  (?:\s|$)")
+#: ASCII punctuation, but for the apostrophe, which opens contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-Encode = Callable[[list[str]], list[np.ndarray]]
+
+def _byte_alphabet() -> dict[int, int]:
+    """Of byte-level models: printable Latin-1 characters stand for their bytes, the
+    other bytes are numbered from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(others)}}
+
+
+BYTE_ALPHABET = _byte_alphabet()
+
+
+@contextmanager
+def no_collection():
+    """Without cyclic garbage collection, which many small objects set off in vain."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 class WordTokenizer:
-    """The tokenizers library, asked once for each piece of text between the
-    cuts that it always makes; a worker keeps what it has met, up to a bound."""
+    """The tokenizers library, asked once for each word between the cuts that it
+    always makes; a worker keeps the ids of words that it has met, up to a bound.
+    A word stands for itself with a space in front; a word that ends in
+    punctuation is put together from the word and the punctuation, between which
+    there is always a cut as well."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.remember = remember
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        memo, cut = self.memo, []
-        if len(memo) > self.remember:
-            memo.clear()
-        for t in texts:
-            if RUNS.search(t):
-                cut.append(None)
-                continue
-            first, *rest = t.split(" ")
-            cut.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-        missing = list({u for units in cut if units for u in units if u not in memo})
-        own = dict(zip(missing, self.whole(missing)))
-        memo.update((u, x) for u, x in own.items() if len(u) <= 48)
-        get = lambda u: memo.get(u) or own[u]
-        out = []
-        for t, units in zip(texts, cut):
-            data = self.whole([t])[0] if units is None else b"".join(map(get, units))
-            out.append(np.frombuffer(data, np.uint32))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space in front. Letters alone are never cut, so the
+        library's model can be asked at once, in its own byte alphabet."""
+        letters = [w.isalpha() for w in words]
+        ask, alphabet = self.tokenizer.model.tokenize, BYTE_ALPHABET
+        rest = iter(self.whole([" " + w for w, x in zip(words, letters) if not x]))
+        return [array("I", [x.id for x in ask((" " + w).encode().decode("latin-1").translate(alphabet))]).tobytes() if x else next(rest) for w, x in zip(words, letters)]
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space in front, from the memo where it has them."""
+        if len(self.memo) > self.remember:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        lacking = [w for w in words if w not in memo]
+        new = [w for w in lacking if w not in old]
+        memo.update((w, old[w]) for w in lacking if w in old)
+        memo.update(zip(new, self.spaced(new)))
+        out = list(map(memo.__getitem__, words))
+        for w in new:
+            if len(w) > 48:
+                del memo[w]
         return out
 
+    def __call__(self, column: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text. The words are told apart in Arrow, so that Python sees
+        each different word of the batch once."""
+        with no_collection():
+            return self._encode(column)
+
+    def _encode(self, column: pa.StringArray) -> list[np.ndarray]:
+        texts = [t or "" for t in column.to_pylist()]
+        odd = {i: None for i, t in enumerate(texts) if RUNS.search(t)}
+        if odd:
+            odd = dict(zip(odd, self.whole([texts[i] for i in odd])))
+            column = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.string())
+        lists = pc.split_pattern(column.fill_null(""), " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        # A word of letters and the punctuation after it are looked up one by one.
+        names = words.dictionary
+        stems = pc.utf8_rtrim(names, MARKS)
+        apart = pc.utf8_is_alpha(stems)
+        stems = pc.if_else(apart, stems, names).dictionary_encode()
+        tails = [w[n:] for w, n in zip(names.to_numpy(False), pc.utf8_length(stems.dictionary.take(stems.indices)).to_numpy())]
+        marks = {m: k for k, m in enumerate({"", *tails})}
+        parts = [*self.known(stems.dictionary.to_numpy(False).tolist()), *self.whole(list(marks))]
+        n = len(stems.dictionary)
+        parts += self.whole([t.split(" ", 1)[0] for t in ("" if i in odd else t for i, t in enumerate(texts))])
+        codes = np.empty((len(words), 2), np.int32)
+        at = words.indices.to_numpy()
+        codes[:, 0] = stems.indices.to_numpy()[at]
+        codes[:, 1] = (n + np.array([marks[m] for m in tails], np.int32))[at]
+        codes[ends[:-1], 0] = np.arange(n + len(marks), len(parts))
+        codes[ends[:-1], 1] = n + marks[""]
+        codes = codes.ravel()
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        own = sizes[codes]
+        after = np.cumsum(own, dtype=np.int32)
+        ids = np.frombuffer(b"".join(parts), np.uint32)[np.repeat(begins[codes] - (after - own), own) + np.arange(after[-1] if len(after) else 0, dtype=np.int32)]
+        at = np.concatenate([[0], after])[2 * ends]
+        return [np.frombuffer(odd[i], np.uint32) if i in odd else ids[at[i] : at[i + 1]] for i in range(len(texts))]
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -149,10 +223,10 @@ def _cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: st
         encode, pack, met = tokenizer(tokenizer_path), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], np.uint32)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
                 row, pos, n, after, chunk, data = [], [], [], [], [], []
-                for i, ids in enumerate(encode([t or "" for t in b.column(2).to_pylist()])):
+                for i, ids in enumerate(encode(b.column(2))):
                     ids = np.concatenate([ids, end])
                     start = 0
                     for k, stop in enumerate(cuts(ids)):
