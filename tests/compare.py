@@ -14,7 +14,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def shown(v) -> str:
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return "null"
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
