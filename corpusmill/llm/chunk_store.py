@@ -25,14 +25,12 @@ first in the order, repeated ids follow each other; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shared import shared_dir, written
+from corpusmill.llm.words import Memo, gathered, no_collection, split_words
 from corpusmill.ship import ship
 
 WINDOW, LEAST, MOST, MEAN_BITS, FAN = 16, 256, 8192, 10, 1024
@@ -68,18 +67,6 @@ def _byte_alphabet() -> dict[int, int]:
 BYTE_ALPHABET = _byte_alphabet()
 
 
-@contextmanager
-def no_collection():
-    """Without cyclic garbage collection, which many small objects set off in vain."""
-    on = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if on:
-            gc.enable()
-
-
 class WordTokenizer:
     """The tokenizers library, asked once for each word between the cuts that it
     always makes; a worker keeps the ids of words that it has met, up to a bound.
@@ -93,9 +80,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.remember = remember
+        self.known = Memo(self.spaced, remember)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -108,21 +93,6 @@ class WordTokenizer:
         rest = iter(self.whole([" " + w for w, x in zip(words, letters) if not x]))
         return [array("I", [x.id for x in ask((" " + w).encode().decode("latin-1").translate(alphabet))]).tobytes() if x else next(rest) for w, x in zip(words, letters)]
 
-    def known(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a space in front, from the memo where it has them."""
-        if len(self.memo) > self.remember:
-            self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        lacking = [w for w in words if w not in memo]
-        new = [w for w in lacking if w not in old]
-        memo.update((w, old[w]) for w in lacking if w in old)
-        memo.update(zip(new, self.spaced(new)))
-        out = list(map(memo.__getitem__, words))
-        for w in new:
-            if len(w) > 48:
-                del memo[w]
-        return out
-
     def __call__(self, column: pa.StringArray) -> list[np.ndarray]:
         """Ids of each text. The words are told apart in Arrow, so that Python sees
         each different word of the batch once."""
@@ -135,9 +105,7 @@ class WordTokenizer:
         if odd:
             odd = dict(zip(odd, self.whole([texts[i] for i in odd])))
             column = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.string())
-        lists = pc.split_pattern(column.fill_null(""), " ")
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        words = lists.flatten().dictionary_encode()
+        ends, words = split_words(column)
         # A word of letters and the punctuation after it are looked up one by one.
         names = words.dictionary
         stems = pc.utf8_rtrim(names, MARKS)
@@ -154,13 +122,8 @@ class WordTokenizer:
         codes[:, 1] = (n + np.array([marks[m] for m in tails], np.int32))[at]
         codes[ends[:-1], 0] = np.arange(n + len(marks), len(parts))
         codes[ends[:-1], 1] = n + marks[""]
-        codes = codes.ravel()
-        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
-        begins = np.cumsum(sizes, dtype=np.int32) - sizes
-        own = sizes[codes]
-        after = np.cumsum(own, dtype=np.int32)
-        ids = np.frombuffer(b"".join(parts), np.uint32)[np.repeat(begins[codes] - (after - own), own) + np.arange(after[-1] if len(after) else 0, dtype=np.int32)]
-        at = np.concatenate([[0], after])[2 * ends]
+        ids, after = gathered(parts, codes.ravel())
+        at = after[2 * ends]
         return [np.frombuffer(odd[i], np.uint32) if i in odd else ids[at[i] : at[i + 1]] for i in range(len(texts))]
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.words import Memo, gathered, no_collection, split_words
 from corpusmill.ship import ship
 
 MARK = "▁"
@@ -116,13 +118,13 @@ def load(path: str) -> Model:
 
 
 class Encoder:
-    """Encodes units with a model's trie; the ids of short units are kept."""
+    """Encodes texts with a model's trie; the ids of short units are kept."""
 
     def __init__(self, model: Model, remember: int = 400_000):
-        self.model, self.remember = model, remember
+        self.model = model
         self.base, self.check, self.scores = model.base.tolist(), model.check.tolist(), model.scores.tolist()
-        self.memo: dict[str, bytes] = {}
         self.unknown_score = model.unknown_score
+        self.known = Memo(lambda words: [array("I", self.segment(b" " + w.encode())).tobytes() for w in words], remember)
 
     def segment(self, text: bytes) -> list[int]:
         """Ids of a unit, by Viterbi."""
@@ -162,19 +164,27 @@ class Encoder:
         return x if x >= 0 else self.model.unknown
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        memo, out = self.memo, []
-        for u in UNIT.findall(" " + text.replace(MARK, " ")):
-            x = memo.get(u)
-            if x is None:
-                x = np.array(self.segment(u.encode()), np.int32).tobytes()
-                if len(u) <= 48:
-                    if len(memo) >= self.remember:
-                        memo.clear()
-                    memo[u] = x
-            out.append(x)
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, column: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text. Between single spaces the units are the words, told apart
+        in Arrow so that Python sees each different word of the batch once; texts with
+        runs of spaces or at their edges are cut into units one by one."""
+        with no_collection():
+            texts = [t or "" for t in column.to_pylist()]
+            odd = {i for i, t in enumerate(texts) if "  " in t or MARK in t or t[:1] == " " or t[-1:] == " "}
+            rest = pa.array([None if i in odd or not t else t for i, t in enumerate(texts)], pa.string())
+            ends, words = split_words(rest)
+            parts = self.known(words.dictionary.to_numpy(False).tolist())
+            ids, after = gathered(parts, words.indices.to_numpy())
+            out = []
+            for i, t in enumerate(texts):
+                if i in odd:
+                    x = array("I", [k for u in UNIT.findall(" " + t.replace(MARK, " ")) for k in self.segment(u.encode())])
+                    out.append(np.array(x, np.uint32))
+                else:
+                    out.append(ids[after[ends[i]] : after[ends[i + 1]]] if t else ids[:0])
+            return out
 
     def decode(self, ids: np.ndarray) -> str:
         s = self.model.spelling
@@ -206,11 +216,11 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "pi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
-                parts = [enc.encode(t or "") for t in b.column(at).to_pylist()]
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                parts = enc.encode_all(b.column(at))
                 ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, ids])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -228,11 +238,10 @@ def checked(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
         is_byte = np.zeros(len(enc.model.spelling), bool)
         is_byte[[i for i in enc.model.byte_ids if i >= 0]] = True
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
                 rows = []
-                for t in b.column(1).to_pylist():
-                    x = enc.encode(t or "")
+                for t, x in zip(b.column(1).to_pylist(), enc.encode_all(b.column(1))):
                     rows.append((len(x), int(is_byte[x].sum()), zlib.crc32(x.astype("<u4").tobytes()), enc.decode(x) == (t or "")))
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in zip(*rows)]], ["id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
