@@ -13,22 +13,25 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", F.posexplode(split_lines(F.col("text"))).alias("i", "text")).select("path", "lang", (F.col("i") + 1).cast("long").alias("line"), "text")
 
 
+def _near(at: DataFrame, all_lines: DataFrame, reach: int) -> DataFrame:
+    """(path, line, n, text): the lines ``n`` within ``reach`` of each place. The
+    places are spread, being fewer than lines, and met by path and line."""
+    keys = at.select("path", "line").distinct()
+    spread = keys.select("path", "line", F.explode(F.sequence(F.col("line") - reach, F.col("line") + reach)).alias("n"))
+    return spread.join(all_lines.select("path", F.col("line").alias("n"), "text"), ["path", "n"])
+
+
 def context(at: DataFrame, all_lines: DataFrame, reach: int) -> DataFrame:
     """Adds ``context`` to rows with (path, line): the trimmed lines within
-    ``reach`` lines, joined by line ends. Each line is sent to the few places
-    that it is near to, and met there by an equality of path and line."""
-    keys = at.select("path", "line").distinct()
-    near = all_lines.select("path", F.col("line").alias("n"), F.trim("text").alias("t"), F.explode(F.sequence(F.col("line") - reach, F.col("line") + reach)).alias("line"))
-    put = keys.join(near, ["path", "line"]).groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("c"))
+    ``reach`` lines, joined by line ends."""
+    put = _near(at, all_lines, reach).groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("n", F.trim("text").alias("t")))).alias("c"))
     shown = put.select("path", "line", F.array_join(F.transform("c", lambda x: x["t"]), "\n").alias("context"))
     return at.join(shown, ["path", "line"], "left")
 
 
 def numbered(at: DataFrame, all_lines: DataFrame, reach: int) -> DataFrame:
-    """As ``context``, each line with its number and untrimmed."""
-    keys = at.select("path", "line").distinct()
-    near = all_lines.select("path", F.col("line").alias("n"), "text", F.explode(F.sequence(F.col("line") - reach, F.col("line") + reach)).alias("line"))
-    put = keys.join(near, ["path", "line"]).groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("c"))
+    """(path, line, region): as ``context``, each line with its number, untrimmed."""
+    put = _near(at, all_lines, reach).groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("c"))
     return put.select("path", "line", F.array_join(F.transform("c", lambda x: F.concat(x["n"].cast("string"), F.lit(": "), x["text"])), "\n").alias("region"))
 
 
