@@ -119,3 +119,39 @@ def package_root(specifier: Column) -> Column:
     """``@scope/name/x`` is of ``@scope/name``, ``name/x`` of ``name``."""
     parts = F.split(specifier, "/")
     return F.when(specifier.startswith("@"), F.array_join(F.slice(parts, 1, 2), "/")).otherwise(parts[0])
+
+
+def words_of(name: Column) -> Column:
+    """The words of an identifier in any style, in lower case: cut at what is neither
+    letter nor digit, before a capital after a small letter or digit, and before the
+    last of several capitals that a small letter follows."""
+    apart = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
+    return F.array_remove(F.split(F.lower(apart), "[^a-z0-9]+"), "")
+
+
+STYLES = ("snake_case", "kebab-case", "SCREAMING_SNAKE_CASE", "camelCase", "PascalCase", "Train-Case", "lowercase", "UPPERCASE", "Title Case")
+
+
+def to_style(name: Column, style: str) -> Column:
+    """An identifier written anew in a style."""
+    words = words_of(name)
+    titled = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+    if style == "camelCase":
+        return F.concat(F.coalesce(words[0], F.lit("")), F.array_join(F.slice(titled, F.lit(2), F.greatest(F.size(titled) - 1, F.lit(0))), ""))
+    joint = {"snake_case": "_", "kebab-case": "-", "SCREAMING_SNAKE_CASE": "_", "Train-Case": "-", "Title Case": " "}.get(style, "")
+    out = F.array_join(titled if style in ("PascalCase", "Train-Case", "Title Case") else words, joint)
+    return F.upper(out) if style in ("SCREAMING_SNAKE_CASE", "UPPERCASE") else out
+
+
+def style_of(name: Column) -> Column:
+    """The first style in which a name of several words is written, or null."""
+    out = F.lit(None).cast("string")
+    for style in reversed(STYLES):
+        out = F.when(to_style(name, style) == name, style).otherwise(out)
+    return F.when(F.size(words_of(name)) > 1, out)
+
+
+def utc(seconds: Column) -> Column:
+    """Epoch seconds as a UTC time, without regard to the session's zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.format_string("T%02d:%02d:%02dZ", F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60))

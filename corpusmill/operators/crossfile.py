@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.shared import shared_root
+
 
 def shared_messages(messages: DataFrame, least_chars: int = 10, least_files: int = 2) -> DataFrame:
     """Every occurrence (path, line, text) of a message that stands in several
@@ -31,7 +33,8 @@ def reaching(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataF
     """Nodes from which a seed is reached along (caller, callee). Each round adds the
     callers of what the last round added, and is cut off by a checkpoint in the
     shared folder; cycles end it as they add nothing."""
-    edges = edges.select("caller", "callee").distinct()
+    shared_root(edges.sparkSession)
+    edges = edges.select("caller", "callee").distinct().checkpoint()
     known = seeds.select(F.col("node")).distinct().checkpoint()
     fresh = known
     for _ in range(max_rounds):

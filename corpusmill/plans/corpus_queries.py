@@ -507,6 +507,79 @@ def windowed_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.windowed_counts(table(spark, sf, "events"))
 
 
+@query("""w AS (SELECT p_partkey, p_type, list_filter(string_split_regex(lower(p_type), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM part)
+SELECT p_partkey, array_to_string(ws, '_') AS snake, upper(array_to_string(ws, '_')) AS screaming, array_to_string(list_transform(ws, lambda x: upper(x[1]) || x[2:]), '') AS pascal,
+  ws[1] || array_to_string(list_transform(ws[2:], lambda x: upper(x[1]) || x[2:]), '') AS camel, CASE WHEN len(ws) > 1 AND array_to_string(list_transform(ws, lambda x: upper(x[1]) || x[2:]), ' ') = p_type THEN 'Title Case' END AS style FROM w""")
+def case_styles(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("p_type")
+    style = F.when(T.style_of(p) == "Title Case", "Title Case")
+    return table(spark, sf, "part").select("p_partkey", *[T.to_style(p, x).alias(a) for x, a in (("snake_case", "snake"), ("SCREAMING_SNAKE_CASE", "screaming"), ("PascalCase", "pascal"), ("camelCase", "camel"))], style.alias("style"))
+
+
+@query("SELECT event_id, strftime(make_timestamp(event_id * 1000000 * 86399), '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def epoch_times(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", T.utc(F.col("event_id") * 86399).alias("at"))
+
+
+@query(r"""u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS path FROM pages),
+v AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'tests/' || path WHEN 1 THEN path || '_test.rs' WHEN 2 THEN 'src/test_' || path WHEN 3 THEN path || '.spec.ts' ELSE path || '.rs' END AS path FROM u)
+SELECT page_id, path, regexp_matches(path, '(^|/)(tests|benches|examples|fixtures|__tests__|[^/]*_tests?|test_[^/]*)/') OR regexp_matches(path, '(^|/)([^/]*_tests?|tests?|[^/]*\.(spec|test))\.[^./]+$') OR regexp_matches(path, '(^|/)test_[^/]*$') AS is_test FROM v""")
+def test_path_heuristic(spark: SparkSession, sf: str) -> DataFrame:
+    path, k = F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), F.col("page_id") % 5
+    shaped = F.when(k == 0, F.concat(F.lit("tests/"), path)).when(k == 1, F.concat(path, F.lit("_test.rs"))).when(k == 2, F.concat(F.lit("src/test_"), path)).when(k == 3, F.concat(path, F.lit(".spec.ts"))).otherwise(F.concat(path, F.lit(".rs")))
+    return table(spark, sf, "pages").select("page_id", shaped.alias("path")).withColumn("is_test", T.test_path(F.col("path")))
+
+
+@query(f"""{FOUND}, own AS (SELECT * FROM (VALUES ('pipe-list', 'en', 'Words between bars'), ('pipe-list', '*', 'Pipes'), ('shouting', '*', 'Loud')) AS t(rule_id, language, note))
+SELECT path, found.rule_id, line, "column", coalesce(a.note, b.note) AS rule_note FROM found LEFT JOIN own a ON a.rule_id = found.rule_id AND a.language = found.lang LEFT JOIN own b ON b.rule_id = found.rule_id AND b.language = '*'""")
+def findings_with_rules(spark: SparkSession, sf: str) -> DataFrame:
+    notes = spark.createDataFrame([("pipe-list", "en", "Words between bars"), ("pipe-list", "*", "Pipes"), ("shouting", "*", "Loud")], "rule_id string, language string, note string")
+    return findings.with_rules(_found(spark, sf), notes, "note").select("path", "rule_id", "line", "column", "rule_note")
+
+
+@query(f"{FOUND} SELECT {COLS} FROM found WHERE path IN (SELECT path FROM f WHERE length(text) < 1000)")
+def reported_files_semi(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings are kept for the files asked for; the others only serve as context."""
+    from corpusmill.sources import tree
+
+    files = documents(spark, sf)
+    marked = tree.only(files, files.where(F.length("text") < 1000))
+    return _found(spark, sf).join(marked.where("reported").select("path"), "path", "left_semi").select(*COLUMNS)
+
+
+@query("""p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) || '/' AS host, html FROM pages),
+h AS (SELECT DISTINCT page_id::VARCHAR AS path, host || ltrim(x, '/') AS target FROM (SELECT page_id, host, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS x FROM p)),
+t AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+e AS (SELECT unnest(['', '.ts', '.tsx', '.d.ts', '.js', '.jsx', '.mjs', '.json', '/index.ts', '/index.tsx', '/index.js']) AS e)
+SELECT path, target FROM h WHERE target NOT IN (SELECT h2.target FROM h h2, e JOIN t ON true WHERE t.path = h2.target || e.e)""")
+def missing_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of pages to no page, under any usual ending."""
+    pages = table(spark, sf, "pages")
+    host = F.concat(F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1), F.lit("/"))
+    links = pages.select(F.col("page_id").cast("string").alias("path"), host.alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("x"))
+    refs = links.select("path", F.concat("host", F.regexp_replace("x", "^/+", "")).alias("target")).distinct()
+    return resolution.missing_files(refs, pages.select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")))
+
+
+@query(f"{FOUND} SELECT {COLS} FROM found")
+def streamed_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same findings from a stream of files, batch by batch into a table that
+    each batch writes its own part of, so that a batch that comes again replaces it."""
+    from corpusmill.shared import shared_dir
+
+    out, raw = shared_dir(spark), table(spark, sf, "documents")
+
+    def each(batch: DataFrame, n: int) -> None:
+        from corpusmill.sources.tables import document_path
+
+        files = batch.where("text is not null").select(document_path().alias("path"), "lang", "text")
+        findings.scan(lines.lines(files), PATTERNS).select(*COLUMNS).write.mode("overwrite").parquet(f"{out}/found/batch={n}")
+
+    source = spark.readStream.schema(raw.schema).parquet(f"{sf}/documents.parque[t]")  # as a pattern, which a file and a folder both match
+    incremental.run_once(source, each, f"{out}/state")
+    return spark.read.parquet(f"{out}/found").select(*COLUMNS)
+
+
 def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query: findings less what directives switch off, one for each
     place, escalated by their number."""
