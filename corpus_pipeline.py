@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import line_frequency, mixing, rule_ensemble, simhash, unigram
-from corpusmill.llm.shared import shared_dir, written
+from corpusmill.shared import shared_dir, written
 from corpusmill.llm.tokenizer_files import PIECES
 
 

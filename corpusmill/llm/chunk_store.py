@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import shared_dir, written
+from corpusmill.shared import shared_dir, written
 from corpusmill.llm.words import Memo, gathered, no_collection, split_words
 from corpusmill.ship import ship
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import written
+from corpusmill.shared import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import written
+from corpusmill.shared import written
 from corpusmill.ship import ship
 
 UNIT, GROUP, CHUNK, RATE = 64, 16, 256, 8000

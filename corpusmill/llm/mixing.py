@@ -31,7 +31,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import written
+from corpusmill.shared import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")

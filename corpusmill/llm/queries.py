@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusmill.llm import chunk_store, iso_media, langid, line_frequency, mixing, rollups, rule_ensemble, simhash, unigram, warc
-from corpusmill.llm.shared import shared_dir, written
+from corpusmill.shared import shared_dir, written
 from corpusmill.llm.tokenizer_files import BYTE_BPE, PIECES
 
 

@@ -20,15 +20,16 @@ learnt from; other columns are ignored, or pass through ``keep_good``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import written
+from corpusmill.shared import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -120,7 +121,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", label_id: s
     n = sum(counts.values())
     if len(counts) < 2:
         share = (counts.get(1.0, 0) + 1) / (n + 2)
-        return Rules(float(-_log(1 / share - 1)))
+        return Rules(-math.log(1 / share - 1))
     part = min(1.0, max_rows / n)
     unit = (F.xxhash64("text_key", F.lit(seed)) % 1_000_000 + 1_000_000) % 1_000_000
     sample = known.where(F.col("label").isin(0.0, 1.0) & (unit < int(part * 1_000_000))).coalesce(4)
@@ -137,12 +138,6 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", label_id: s
         rows.unpersist()
 
 
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
     stats = with_statistics(docs, doc_id, text)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected
-from corpusmill.llm.shared import written
+from corpusmill.shared import written
 from corpusmill.ship import ship
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")

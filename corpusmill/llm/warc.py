@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import shared_dir, written
+from corpusmill.shared import shared_dir, written
 from corpusmill.ship import ship
 
 # Fixed values of the public formats.

@@ -1,8 +1,5 @@
 import zlib
 
-import pytest
-from pyspark.sql import functions as F
-
 from corpusmill.llm import langid, queries
 from corpusmill.llm import rule_ensemble as re_
 
@@ -57,6 +54,8 @@ def test_language(spark, odd_docs, no_docs):
 
 
 def test_labels_that_disagree(spark, odd_docs):
-    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
-    assert 0 < re_.scored(odd_docs, labels).agg(F.min("score")).first()[0] < 0.5
-    assert pytest.approx(1 / 3) == re_.scored(odd_docs, labels).agg(F.max("score")).first()[0] or True
+    """The smallest label of an id counts; ids that don't count for learning don't here."""
+    labels = spark.createDataFrame([(i, x) for i in (1, 2, 3) for x in (1, 0)] + [(None, 1)], "doc_id long, quality int")
+    known = {d["doc_id"] for d in odd_docs.collect()} & {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 3 != 1}
+    n = sum(d["doc_id"] in known for d in odd_docs.collect())
+    assert {round(r["score"], 9) for r in re_.scored(odd_docs, labels).collect()} == {round(1 / (n + 2), 9)}
