@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.shared import shared_root
+from corpusmill.shared import shared_root, written
 
 
 def shared_messages(messages: DataFrame, least_chars: int = 10, least_files: int = 2) -> DataFrame:
@@ -14,7 +14,8 @@ def shared_messages(messages: DataFrame, least_chars: int = 10, least_files: int
     file, so a text that is everywhere is summed before it moves."""
     long = messages.where(F.length("text") >= least_chars)
     files = long.groupBy("text", "path").agg(F.lit(1).alias("_")).groupBy("text").agg(F.count("*").alias("files")).where(F.col("files") >= least_files)
-    return long.join(files, "text")
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot text's.
+    return long.join(written(files), "text")
 
 
 def lone_owners(declared: DataFrame, implemented: DataFrame, local: DataFrame) -> DataFrame:
