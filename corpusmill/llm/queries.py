@@ -147,6 +147,7 @@ def op10_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = written(counts, f"{path}/counts")
     under = lambda rows, version, n: rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(n).alias("n_tokens"))
     first = counts.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, f"{path}/first")  # so that the join's sides are plain shuffles, of which Spark can split a hot text's
     copies = written(counts.join(first, "text_key").where("doc_id != first"), f"{path}/copies")
     wrong = counts.where("n1 != n2")
     batches = {
