@@ -113,7 +113,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = written(named)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = named.join(lowest, "root").select("fp", "component_id")
+    # Written, so that both sides of the last join are plain shuffles: Spark can then split a fingerprint with many copies.
+    by_class = written(named.join(lowest, "root").select("fp", "component_id"))
     return rows.join(by_class, "fp").select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
