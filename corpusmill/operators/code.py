@@ -8,9 +8,18 @@ code, metrics, test ranges and declarations; it is no syntax tree.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import line_count
+from corpusmill.operators.findings import normalised, outside, scan
+from corpusmill.operators.lines import lines
+from corpusmill.operators.metrics import file_metrics, metric_findings
+from corpusmill.plans.rules import Rule
+from corpusmill.shared import written
+
 #: Kinds of tokens, in the order in which they are tried.
 LINE_COMMENT = r"//[^\n]*+"
 BLOCK_COMMENT = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
@@ -59,17 +68,67 @@ def tokens(files: DataFrame) -> DataFrame:
     return placed.withColumn("end_line", F.col("line") + F.col("breaks")).drop("breaks")
 
 
-def blanked(t: DataFrame) -> DataFrame:
-    """(path, lang, text): the files with comments and strings as empty quotes or
-    blanks, lines kept."""
-    blank = F.when(F.col("kind") == "code", F.col("text")).when(F.col("kind") == "string", F.concat(F.lit('"'), F.regexp_replace("text", r"[^\n]+", ""), F.lit('"'))).otherwise(F.regexp_replace("text", r"[^\n]+", ""))
-    return t.groupBy("path", "lang").agg(F.array_sort(F.collect_list(F.struct("i", blank.alias("b")))).alias("p")).select("path", "lang", F.array_join(F.transform("p", lambda x: x["b"]), "").alias("text"))
+def _blank(text: Column) -> Column:
+    """As many blanks as the text has bytes, its line ends kept."""
+    for chars, width in ((r"[\x{80}-\x{7FF}]", 2), (r"[\x{800}-\x{FFFF}]", 3), (r"[\x{10000}-\x{10FFFF}]", 4)):
+        text = F.regexp_replace(text, chars, " " * width)
+    return F.regexp_replace(text, r"[^\n]", " ")
 
 
-def token_lines(t: DataFrame, kind: str) -> DataFrame:
-    """Tokens of a kind in the shape of lines, for ``findings.scan``; a column found
-    in one is then counted from the token's start."""
-    return t.where(F.col("kind") == kind).select("path", "lang", "line", "text", (F.col("column") - 1).alias("offset"))
+def blanked(t: DataFrame) -> DataFrame:
+    """(path, lang, text): the files with comments and what is in strings as blanks;
+    lines and byte columns stay."""
+    inner = F.concat(F.substring("text", 1, 1), _blank(F.substring(F.col("text"), F.lit(2), F.length("text") - 2)), F.substring("text", -1, 1))
+    part = F.when(F.col("kind") == "code", F.col("text")).when(F.col("kind") == "string", inner).otherwise(_blank(F.col("text")))
+    return t.groupBy("path", "lang").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("b")))).alias("p")).select("path", "lang", F.array_join(F.transform("p", lambda x: x["b"]), "").alias("text"))
+
+
+def _in_tokens(t: DataFrame, kind: str, rules: Sequence[Rule]) -> DataFrame:
+    """Matches within tokens of a kind, at their places in the file."""
+    rows = t.where(F.col("kind") == kind).select("path", "lang", "line", "text", "column")
+    found = scan(rows.select("path", "lang", F.struct("line", "column", "text").alias("token"), "text", F.lit(0).cast("long").alias("line")), rules, keep=("token",))
+    before = F.decode(F.substring(F.encode("token.text", "UTF-8"), F.lit(1), (F.col("column") - 1).cast("int")), "UTF-8")
+    breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    shift = F.when(breaks == 0, F.col("token.column") - 1 + F.octet_length(before)).otherwise(F.octet_length(F.substring_index(before, "\n", -1)))
+    size = F.col("end_column") - F.col("column")
+    out = found.withColumn("shift", shift).withColumn("line", F.col("token.line") + breaks).withColumn("end_column", F.col("shift") + 1 + size).withColumn("column", F.col("shift") + 1)
+    return out.drop("token", "shift")
+
+
+def scan_code(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Findings of all rules over source files, each kind of rule on what it looks at.
+    The files are tokenised once and the tokens written in the shared folder. Rules
+    that skip tests also skip lines in ``#[cfg(test)]`` items."""
+    t = written(tokens(files))
+    plain = lines(blanked(t))
+    parts = []
+    for kind in ("comment", "doc_comment", "string", "code", "line"):
+        if own := [r for r in rules if r.pattern and r.kind == kind]:
+            parts.append(scan(plain, own) if kind == "code" else scan(lines(files), own) if kind == "line" else _in_tokens(t, kind, own))
+    if wanted := [r for r in rules if r.metric]:
+        measured = file_metrics(blanked(t), r"^\b$").drop("code_lines", "comment_lines", "comment_ratio")
+        told = measured.join(_comment_metrics(files, t), "path")
+        parts.append(metric_findings(told, wanted).withColumn("end_column", F.lit(1).cast("long")).withColumn("seq", F.lit(0).cast("long")))
+    keep = ["path", "lang", "rule_id", "severity", "category", "message", "line", "column", "end_column", "matched_text", "seq"]
+    out = parts[0].select(*keep)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*keep))
+    skipping = [r.id for r in rules if r.skip_tests and r.language == "rust" and r.pattern]
+    is_skipping = F.col("rule_id").isin(skipping) & (F.col("lang") == "rust")
+    kept = outside(out.where(is_skipping), test_ranges(plain, blocks(t))).unionByName(out.where(~is_skipping))
+    return normalised(kept)
+
+
+def _comment_metrics(files: DataFrame, t: DataFrame) -> DataFrame:
+    """(path, code_lines, comment_lines, comment_ratio): lines with something other
+    than comments, and distinct lines of comments that document nothing."""
+    code = t.where("kind in ('code', 'string') and text rlike '[^ \\t\\r\\n\\f]'").select("path", F.explode(F.sequence("line", "end_line")).alias("n")).distinct()
+    docs = t.where("kind = 'doc_comment'").select("path", F.explode(F.sequence("line", "end_line")).alias("n")).distinct()
+    remarks = t.where("kind = 'comment'").select("path", F.explode(F.sequence("line", "end_line")).alias("n")).distinct().join(docs, ["path", "n"], "left_anti")
+    count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
+    out = files.select("path", line_count(F.col("text")).alias("all")).join(count(code, "code_lines"), "path", "left").join(count(remarks, "comment_lines"), "path", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("path", zero("code_lines"), zero("comment_lines"), F.when(F.col("all") > 0, F.coalesce("comment_lines", F.lit(0)) / F.col("all")).otherwise(0.0).alias("comment_ratio"))
 
 
 def blocks(t: DataFrame) -> DataFrame:

@@ -27,10 +27,11 @@ def _of_rule(found: Column, i: int) -> Column:
     return F.transform(found, lambda m: F.struct(F.lit(i).alias("rule"), m["at"].alias("at"), m["text"].alias("text")))
 
 
-def scan(all_lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def scan(all_lines: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
     """(path, lang, rule_id, severity, category, message, line, column,
     end_column, matched_text, seq): every match of every rule, in one pass over the
-    lines. ``seq`` is the place of a finding in its file, by line and rule."""
+    lines. ``seq`` is the place of a finding in its file, by line and rule. Columns
+    named in ``keep`` stay."""
     rules = [r for r in rules if r.pattern]
     if not rules:
         raise ValueError("no rule with a pattern")
@@ -40,11 +41,11 @@ def scan(all_lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         found.append(_of_rule(F.coalesce(hits, F.array().cast("array<struct<at:int,text:string>>")), i))
     told = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.message).alias("message")) for r in rules])
     some = all_lines.where(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)))
-    rows = some.select("path", "lang", "line", "text", F.explode(F.flatten(F.array(*found))).alias("m")).withColumn("r", F.element_at(told, F.col("m.rule") + 1))
+    rows = some.select("path", "lang", "line", "text", *keep, F.explode(F.flatten(F.array(*found))).alias("m")).withColumn("r", F.element_at(told, F.col("m.rule") + 1))
     at, text = F.col("m.at"), F.col("m.text")
     return rows.select(
         "path", "lang", "r.rule_id", "r.severity", "r.category", "r.message", "line", byte_column(F.col("text"), at).alias("column"),
-        byte_column(F.col("text"), at + F.length(text)).alias("end_column"), text.alias("matched_text"), (F.col("line") * len(rules) + F.col("m.rule")).alias("seq"),
+        byte_column(F.col("text"), at + F.length(text)).alias("end_column"), text.alias("matched_text"), (F.col("line") * len(rules) + F.col("m.rule")).alias("seq"), *keep,
     )
 
 

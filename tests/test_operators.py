@@ -62,8 +62,6 @@ def test_tokens(spark):
     assert by_kind["comment"] == ["// TODO tidy", "/* block\n TODO é */"]
     assert by_kind["doc_comment"] == ["//! crate", "/// doc TODO"]
     assert rows[-1]["depth"] == 0
-    rule = R.Rule("todo", "warning", "slop", "m", pattern="TODO")
-    assert findings.scan(code.token_lines(t, "comment"), [rule]).count() == 2
 
 
 def test_long_tokens(spark):
@@ -214,3 +212,46 @@ def test_stream_sees_each_file_once(spark, tmp_path):
     spark.createDataFrame([("g", "x")], "path string, text string").write.mode("append").parquet(source)
     incremental.run_once(incremental.stream(spark, str(tmp_path / "in"), "t", sample), each, str(tmp_path / "state"))
     assert seen == [["f"], ["g"]]
+
+
+SAMPLE = """use std::fmt;
+/// The function is é etc.
+pub fn a(x: Option<u8>) -> u8 { x.unwrap() } // TODO é — later
+/* first
+   FIXME */ let t = "ghp_%s"; let u = ".unwrap()"; dbg!(t);
+// hopefully fine
+#[cfg(test)]
+mod tests {
+    fn b() { x.unwrap(); } // TODO not here
+}
+fn c() { let _ = d(); let _ = s.send(1); }
+""" % ("a" * 36)
+
+
+def test_code_rules(spark):
+    from corpusmill.plans.code_rules import CODE_RULES
+
+    ts = "// scan\nconst a: any = b as unknown as C; // TODO x\nconst q = `SELECT ${a}`; s.sort(); jest.mock('./x'); eval(q); 'eval('\n"
+    df = files(spark, ("src/a.rs", "rust", SAMPLE), ("src/b.ts", "typescript", ts), ("tests/a.rs", "rust", SAMPLE))
+    rules = R.active(CODE_RULES)
+    rows = code.scan_code(df, rules).collect()
+    got = {(r["path"], r["rule_id"], r["line"]) for r in rows}
+    rust = {("open-task", 3), ("open-task", 5), ("vague-doc", 2), ("doc-of-kind", 2), ("unwrap", 3), ("dash-in-comment", 3), ("cloud-token", 5), ("debug-macro", 5), ("hedged-comment", 6), ("dropped-result", 11)}
+    # A line with an exempt call is exempt as a whole.
+    assert {(i, n) for p, i, n in got if p == "src/a.rs"} == rust - {("dropped-result", 11)}
+    assert {(i, n) for p, i, n in got if p == "src/b.ts"} == {("any-type", 2), ("double-cast", 2), ("open-task", 2), ("query-by-text", 3), ("plain-sort", 3), ("local-mock", 3), ("evaluated-text", 3)}
+    assert {i for p, i, _ in got if p == "tests/a.rs"} == {"vague-doc", "doc-of-kind"}
+    for r in rows:  # every place is where the text is, in bytes
+        text = next(t for p, t in (("src/a.rs", SAMPLE), ("src/b.ts", ts), ("tests/a.rs", SAMPLE)) if p == r["path"])
+        line = text.split("\n")[r["line"] - 1].encode()
+        assert line[r["column"] - 1 : r["end_column"] - 1].decode() == r["matched_text"], r
+
+
+def test_code_metrics(spark):
+    from corpusmill.plans.code_rules import CODE_RULES
+
+    long = "".join(f"fn f{i}() {{}}\n" for i in range(31)) + "// x\n" * 30 + "let s = 1;\n" * 480
+    wordy = "// a\n" * 20 + "/// doc\n" * 5 + "fn a() {}\n" * 10
+    df = files(spark, ("src/a.rs", "rust", long), ("src/b.rs", "rust", wordy))
+    got = {(r["path"], r["rule_id"]): r["matched_text"] for r in code.scan_code(df, [r for r in CODE_RULES if r.metric]).collect()}
+    assert got == {("src/a.rs", "long-file"): "511 code lines", ("src/a.rs", "many-functions"): "31 function count", ("src/b.rs", "mostly-comments"): "0.57 comment ratio"}
