@@ -37,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,9 +48,14 @@ from corpusmill.ship import ship
 WINDOW, LEAST, MOST, MEAN_BITS, FAN = 16, 256, 8192, 10, 1024
 ODD = 0x9E3779B97F4A7C15
 
+#: White space, as tokenizers' patterns have it, and separators that might count.
+SPACES = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Before a space that a word follows, a byte-level tokenizer always cuts; runs
-#: of spaces before other white space are the exception.
-RUNS = regex.compile(r"  (?:\s|$)")
+#: of spaces before other white space are the exception, and line ends between rare
+#: kinds of white space. Texts with these are encoded as a whole.
+RUNS = rf"  (?:[{SPACES}]|$)|[{SPACES}]\n[{SPACES}]|\x{{fffe}}"
+#: A line end between two words is a cut as well; what follows it gets this mark.
+MARK = "\ufffe"
 #: ASCII punctuation, but for the apostrophe, which opens contractions.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -86,11 +90,11 @@ class WordTokenizer:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a space in front. Letters alone are never cut, so the
+        """Ids of words with a space in front, or of a line end and a word. Letters alone are never cut, so the
         library's model can be asked at once, in its own byte alphabet."""
         letters = [w.isalpha() for w in words]
         ask, alphabet = self.tokenizer.model.tokenize, BYTE_ALPHABET
-        rest = iter(self.whole([" " + w for w, x in zip(words, letters) if not x]))
+        rest = iter(self.whole([w[1:] if w[:1] == MARK else " " + w for w, x in zip(words, letters) if not x]))
         return [array("I", [x.id for x in ask((" " + w).encode().decode("latin-1").translate(alphabet))]).tobytes() if x else next(rest) for w, x in zip(words, letters)]
 
     def __call__(self, column: pa.StringArray) -> list[np.ndarray]:
@@ -101,11 +105,11 @@ class WordTokenizer:
 
     def _encode(self, column: pa.StringArray) -> list[np.ndarray]:
         texts = [t or "" for t in column.to_pylist()]
-        odd = {i: None for i, t in enumerate(texts) if RUNS.search(t)}
+        odd = dict.fromkeys(np.flatnonzero(pc.match_substring_regex(column.fill_null(""), RUNS).to_numpy(False)).tolist())
         if odd:
             odd = dict(zip(odd, self.whole([texts[i] for i in odd])))
             column = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.string())
-        ends, words = split_words(column)
+        ends, words = split_words(pc.replace_substring_regex(column.fill_null(""), r"(\S)\n(\S)", f"\\1 {MARK}\n\\2"))
         # A word of letters and the punctuation after it are looked up one by one.
         names = words.dictionary
         stems = pc.utf8_rtrim(names, MARKS)
@@ -115,7 +119,7 @@ class WordTokenizer:
         marks = {m: k for k, m in enumerate({"", *tails})}
         parts = [*self.known(stems.dictionary.to_numpy(False).tolist()), *self.whole(list(marks))]
         n = len(stems.dictionary)
-        parts += self.whole([t.split(" ", 1)[0] for t in ("" if i in odd else t for i, t in enumerate(texts))])
+        parts += self.whole(names.to_numpy(False)[words.indices.to_numpy()[ends[:-1]]].tolist())
         codes = np.empty((len(words), 2), np.int32)
         at = words.indices.to_numpy()
         codes[:, 0] = stems.indices.to_numpy()[at]
