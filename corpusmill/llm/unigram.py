@@ -120,7 +120,7 @@ def load(path: str) -> Model:
 class Encoder:
     """Encodes texts with a model's trie; the ids of short units are kept."""
 
-    def __init__(self, model: Model, remember: int = 400_000):
+    def __init__(self, model: Model, remember: int = 200_000):
         self.model = model
         self.base, self.check, self.scores = model.base.tolist(), model.check.tolist(), model.scores.tolist()
         self.unknown_score = model.unknown_score
@@ -216,8 +216,8 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "pi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
                 parts = enc.encode_all(b.column(at))
                 ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))
@@ -238,8 +238,8 @@ def checked(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
         is_byte = np.zeros(len(enc.model.spelling), bool)
         is_byte[[i for i in enc.model.byte_ids if i >= 0]] = True
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
                 rows = []
                 for t, x in zip(b.column(1).to_pylist(), enc.encode_all(b.column(1))):
                     rows.append((len(x), int(is_byte[x].sum()), zlib.crc32(x.astype("<u4").tobytes()), enc.decode(x) == (t or "")))
