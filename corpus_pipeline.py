@@ -16,8 +16,9 @@ from corpusmill.llm.tokenizer_files import PIECES
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that too many documents of a source share go, and with them the
-    documents that have little else or fail the base rules."""
-    return line_frequency.clean_documents(docs)
+    documents that have little else or fail the base rules. Near copies count as
+    one document, so that their group is left for near_duplicates."""
+    return line_frequency.clean_documents(docs, near_copies=True)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

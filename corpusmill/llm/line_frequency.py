@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm import near_copies as near
 from corpusmill.shared import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -123,12 +124,17 @@ def frequent_lines(prof: DataFrame, limits: Limits) -> DataFrame:
     return docs.join(host_docs, "host").where(F.col("docs") > limits.max_share * F.col("host_docs")).select("host", "hash", "docs")
 
 
-def verdicts(prof: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """A row per document: base counts, removed lines and words, verdict."""
+def verdicts(prof: DataFrame, limits: Limits = Limits(), groups: DataFrame | None = None) -> DataFrame:
+    """A row per document: base counts, removed lines and words, verdict. Texts with
+    the same ``near`` in ``groups`` (text_key, near) count as one."""
+    counted = prof
+    if groups is not None:
+        own = prof.withColumn("text_key", F.coalesce("text_key", text_key(F.lit(""))))
+        counted = written(own.join(groups, "text_key").select("host", F.col("near").alias("text_key"), "lines"))
     lines = prof.select("id", "host", "text_key", F.explode("lines").alias("x")).select("id", "host", "text_key", F.col("x.hash").alias("hash"), F.col("x.words").alias("words"))
     own = lines.groupBy("id", "host", "text_key", "hash").agg(F.max("words").alias("line_words"), F.count("*").alias("times"))
     rows = prof.groupBy("id", "host", "text_key").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-    hit = own.join(frequent_lines(prof, limits), ["host", "hash"])
+    hit = own.join(frequent_lines(counted, limits), ["host", "hash"])
     removed = hit.groupBy("id", "host", "text_key").agg(
         F.sum(F.col("line_words") * F.col("times")).alias("removed_words"), F.sum("times").alias("removed_lines"), F.collect_set("hash").alias("removed_hashes")
     )
@@ -155,10 +161,11 @@ def line_quality(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_
     return once.unionByName(more).withColumnRenamed("id", doc_id)
 
 
-def clean_documents(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str | None = "n_chars") -> DataFrame:
+def clean_documents(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str | None = "n_chars", near_copies: bool = False) -> DataFrame:
     """The kept documents with the lines above the limits taken out; the columns
     of ``docs``, with ``n_chars`` brought up to date where a text changed."""
-    v = verdicts(written(profiles(docs, doc_id, text, host)), limits).where("kept")
+    prof = written(profiles(docs, doc_id, text, host))
+    v = verdicts(prof, limits, near.groups(docs, text) if near_copies else None).where("kept")
     v = v.select(F.struct("id", "host", "text_key", "removed_hashes").alias("__v"))
     key = F.coalesce(F.concat(F.lit("h:"), docs[host].cast("string")), F.lit("none"))
     on = docs[doc_id].eqNullSafe(v["__v.id"]) & (key == v["__v.host"]) & text_key(docs[text]).eqNullSafe(v["__v.text_key"])

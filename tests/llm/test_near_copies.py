@@ -1,6 +1,8 @@
 import random
 import re
 
+import corpus_pipeline
+from corpusmill.llm import line_frequency as lf
 from corpusmill.llm import near_copies as nc
 
 FOLDER = "/root/testdata/sf0.001"
@@ -58,3 +60,21 @@ def test_edits_and_chains(spark):
             for at in rng.sample(range(len(words)), rng.choice((1, 2))):
                 words[at] = f"x{rng.randrange(5000)}"
     compare(spark.createDataFrame(rows, SCHEMA))
+
+
+def test_group_above_the_line_limit(spark):
+    """Near copies of one text, more than the limit of lines: the stage keeps them,
+    and still takes boilerplate out of documents that differ."""
+    rng = random.Random(4)
+    rows = [(i, "\n".join(["Share this page with friends", *texts(rng)]), "en", "s", 0) for i in range(60)]
+    one = texts(rng)
+    for i in range(60, 100):
+        lines = list(one)
+        k = rng.randrange(len(lines))
+        lines[k] = " ".join([f"y{i}", *lines[k].split()[1:]])
+        rows.append((i, "\n".join(lines), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs, FOLDER).collect()}
+    assert set(got) == set(range(100))
+    assert not any("Share" in got[i] for i in range(60)) and all(got[r[0]] == r[1] for r in rows[60:])
+    assert {r["doc_id"] for r in lf.clean_documents(docs).select("doc_id").collect()} == set(range(60))
