@@ -16,11 +16,15 @@ Layout under the store's folder:
 - ``manifest``: the Merkle tree over the roots, ``FAN`` children a node.
 
 Packs of lost or repeated tasks are no harm: only packs that the written tables
-name are read. ``read_ids`` and ``digests`` check every chunk's name, and
-``verify`` the tree up to its top.
-
-Defined cases: null and empty texts consist of the end id alone; null ids come
-first in the order, repeated ids follow each other; other columns are ignored.
+name are read. ``read_ids`` and ``digests`` check every chunk's name and every
+document's length, and fail if a chunk is lacking, damaged or of another length
+than its recipe says; ``check_manifest`` builds the tree anew up to its top.
+
+Defined cases: null and empty texts consist of the end id alone; a text that holds
+the content of a special token gets that token's id there, as in the library; a
+very long text is encoded in one piece and stored in chunks of at most ``MOST``
+ids; an empty table makes a store without documents; null ids come first in the
+order, repeated ids follow each other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +87,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these are encoded as a whole, as the library reads them as one id.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Memo(self.spaced, remember)
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -105,7 +110,10 @@ class WordTokenizer:
 
     def _encode(self, column: pa.StringArray) -> list[np.ndarray]:
         texts = [t or "" for t in column.to_pylist()]
-        odd = dict.fromkeys(np.flatnonzero(pc.match_substring_regex(column.fill_null(""), RUNS).to_numpy(False)).tolist())
+        found = pc.match_substring_regex(column.fill_null(""), RUNS)
+        for content in self.added:
+            found = pc.or_(found, pc.match_substring(column.fill_null(""), content))
+        odd = dict.fromkeys(np.flatnonzero(found.to_numpy(False)).tolist())
         if odd:
             odd = dict(zip(odd, self.whole([texts[i] for i in odd])))
             column = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.string())
@@ -347,41 +355,78 @@ def moved_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _complete(n_tokens: str, want: str) -> Column:
+    """``n_tokens`` where it is what the recipe says; an error elsewhere."""
+    lacking = F.raise_error(F.concat(F.lit("a document at place "), F.col("place").cast("string"), F.lit(" isn't whole")))
+    return F.when(F.col(n_tokens).eqNullSafe(F.col(want)), F.col(n_tokens)).otherwise(lacking.cast("long"))
+
+
+def _sound(chunk, sound) -> None:
+    """Fails for a chunk that is lacking (``sound`` is null) or isn't what its name says."""
+    for name, x in zip(chunk, sound):
+        if not x:
+            raise ValueError(f"chunk {name} is {'damaged' if x is False else 'lacking'}")
+
+
 def digests(store: Store) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, sound) of each document, computed from
+    """(doc_id, start, n_tokens, ids_crc32, n_chunks) of each document, computed from
     the stored chunks: every pack is read once, and only each chunk's CRC-32 goes
-    to the documents that name it."""
+    to the documents that name it. A lacking or damaged chunk is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not pc.all(b.column("sound").fill_null(False), min_count=0).as_py():
+                _sound(b.column("chunk").to_pylist(), b.column("sound").to_pylist())
             part = moved_crc(b.column("crc").to_numpy(), 4 * b.column("after").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column("place"), b.column("n"), pa.array(part), b.column("sound")], ["place", "n", "part", "sound"])
+            yield pa.RecordBatch.from_arrays([b.column("place"), b.column("n"), pa.array(part)], ["place", "n", "part"])
 
     recipes = store.table("recipes")
     named = recipes.select("place", F.explode("parts").alias("p")).select("place", F.col("p.chunk").alias("chunk"), F.col("p.after").alias("after"))
-    facts = named.join(_read_chunks(store, False), "chunk").mapInArrow(run, "place long, n long, part long, sound boolean")
-    whole = facts.groupBy("place").agg(F.sum("n").alias("n_tokens"), F.bit_xor("part").alias("ids_crc32"), F.bool_and("sound").alias("sound"))
-    return recipes.select("place", "doc_id", "start", F.size("parts").alias("n_chunks")).join(whole, "place").drop("place")
+    facts = named.join(_read_chunks(store, False), "chunk", "left").mapInArrow(run, "place long, n long, part long")
+    whole = facts.groupBy("place").agg(F.sum("n").alias("stored"), F.bit_xor("part").alias("ids_crc32"))
+    out = recipes.select("place", "doc_id", "start", "n_tokens", F.size("parts").alias("n_chunks")).join(whole, "place", "left")
+    return out.select("doc_id", "start", _complete("stored", "n_tokens").alias("n_tokens"), "ids_crc32", "n_chunks")
 
 
 def read_ids(store: Store) -> DataFrame:
-    """(doc_id, start, ids) of each document, put together from its chunks."""
+    """(doc_id, start, ids) of each document, put together from its chunks. A lacking
+    or damaged chunk is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [np.frombuffer(b"".join(x["ids"] for x in p), "<u4").tolist() for p in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
+            out = []
+            for place, want, parts in zip(b.column("place").to_pylist(), b.column("n_tokens").to_pylist(), b.column("parts").to_pylist()):
+                _sound([x["chunk"] for x in parts or []], [x["sound"] for x in parts or []])
+                ids = np.frombuffer(b"".join(x["ids"] for x in parts or []), "<u4").tolist()
+                if len(ids) != want:
+                    raise ValueError(f"the document at place {place} has {len(ids)} ids instead of {want}")
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
     recipes = store.table("recipes")
     named = recipes.select("place", F.explode("parts").alias("p")).select("place", F.col("p.pos").alias("pos"), F.col("p.chunk").alias("chunk"))
-    parts = named.join(_read_chunks(store, True).where("sound"), "chunk").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    held = named.join(_read_chunks(store, True), "chunk", "left")
+    parts = held.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk", "sound", "ids"))).alias("parts"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    return recipes.select("place", "doc_id", "start").join(parts, "place").drop("place").mapInArrow(run, f"doc_id {kind}, start long, ids array<long>")
+    return recipes.select("place", "doc_id", "start", "n_tokens").join(parts, "place", "left").mapInArrow(run, f"doc_id {kind}, start long, ids array<long>")
+
+
+def check_manifest(store: Store) -> None:
+    """Builds the Merkle tree anew from the recipes' chunk names; fails where a node
+    up to the top isn't the kept one."""
+    leaves = store.table("recipes").select("place", _root(F.transform("parts", lambda x: x["chunk"])).alias("again"), F.col("root").alias("told"))
+    if leaves.where(~F.col("again").eqNullSafe(F.col("told"))).take(1):
+        raise ValueError("a recipe's root isn't that of its chunks")
+    again, kept = merkle(leaves.select("place", F.col("again").alias("root"))), store.table("manifest").withColumnRenamed("root", "told")
+    both = again.join(kept, ["level", "place"], "full")
+    if wrong := both.where(~F.col("root").eqNullSafe(F.col("told"))).take(1):
+        raise ValueError(f"the manifest's node {wrong[0]['place']} of level {wrong[0]['level']} isn't that of its recipes")
 
 
 def verify(store: Store) -> bool:
     """Whether the manifest follows from the recipes, and every chunk from its data."""
-    again = merkle(store.table("recipes").select("place", _root(F.transform("parts", lambda x: x["chunk"])).alias("root")))
-    kept = store.table("manifest")
-    same = again.join(kept, ["level", "place", "root"]).count() == kept.count() == again.count()
-    return same and not _read_chunks(store, False).where("not sound").take(1)
+    try:
+        check_manifest(store)
+    except ValueError:
+        return False
+    return not _read_chunks(store, False).where("not sound").take(1)

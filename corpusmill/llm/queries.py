@@ -68,7 +68,8 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 
 def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = chunk_store.write_store(_table(spark, sf_dir, "documents"), BYTE_BPE)
-    return chunk_store.digests(store).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "sound")
+    chunk_store.check_manifest(store)
+    return chunk_store.digests(store).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks")
 
 
 def op4_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:

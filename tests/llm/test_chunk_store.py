@@ -1,18 +1,23 @@
+import glob
+import shutil
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import chunk_store as cs
 from corpusmill.llm.tokenizer_files import BYTE_BPE
+from corpusmill.shared import shared_dir
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def plain(docs):
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     out, start = [], 0
     for d in sorted(docs, key=lambda d: (d["doc_id"] is not None, d["doc_id"] or 0)):
         ids = [*t.encode(d["text"] or "", add_special_tokens=False).ids, 0]
@@ -24,7 +29,7 @@ def plain(docs):
 def check(docs):
     want = plain(docs.collect())
     store = cs.write_store(docs, BYTE_BPE)
-    got = sorted((tuple(r) for r in cs.digests(store).where("sound").select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in cs.digests(store).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
     assert got == [w[:4] for w in want]
     whole = sorted((tuple(r) for r in cs.read_ids(store).collect()), key=lambda r: r[1])
     assert [(d, s, list(x)) for d, s, x in whole] == [(d, s, x) for d, s, _, _, x in want]
@@ -71,17 +76,58 @@ def test_moved_crc():
     assert crc[0] ^ crc[1] == zlib.crc32(a + b)
 
 
-def test_damage_is_seen(spark, odd_docs):
-    import glob
+def test_special_tokens(spark):
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b  c", "<|endof text|>", "plain words", "x <|endoftext|><|endoftext|> y"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert Tokenizer.from_file(BYTE_BPE).encode(texts[0], add_special_tokens=False).ids.count(50256) == 1
 
-    store = cs.write_store(odd_docs.where("doc_id = 7"), BYTE_BPE)
+
+def failing(df):
+    with pytest.raises(Exception, match="damaged|lacking|isn't whole|instead of"):
+        df.collect()
+
+
+def one_pack(store):
     (pack,) = glob.glob(store.path.removeprefix("file://") + "/packs/*.pack")
-    chunk = store.table("chunks").first()
-    import zstandard
+    return pack
+
 
+def test_damage_is_an_error(spark, odd_docs):
+    store = cs.write_store(odd_docs.where("doc_id = 7"), BYTE_BPE)
+    pack, chunk = one_pack(store), store.table("chunks").first()
     data = bytearray(open(pack, "rb").read())
     wrong = bytes([2]) + zstandard.ZstdCompressor(level=1).compress(np.zeros(chunk["n"], "<u2").tobytes())
     assert len(wrong) <= chunk["size"]
     data[chunk["at"] : chunk["at"] + len(wrong)] = wrong
     open(pack, "wb").write(data)
     assert not cs.verify(store)
+    failing(cs.digests(store))
+    failing(cs.read_ids(store))
+
+
+def test_a_lacking_chunk_is_an_error(spark, odd_docs):
+    store = cs.write_store(odd_docs.where("doc_id in (1, 7, 8)"), BYTE_BPE)
+    chunks = store.table("chunks")
+    gone = chunks.orderBy("chunk").first()["chunk"]
+    less = cs.Store(spark, shared_dir(spark))
+    for name in ("recipes", "manifest"):
+        store.table(name).write.parquet(f"{less.path}/{name}")
+    chunks.where(F.col("chunk") != gone).write.parquet(f"{less.path}/chunks")
+    shutil.copytree(store.path.removeprefix("file://") + "/packs", less.path.removeprefix("file://") + "/packs")
+    failing(cs.digests(less))
+    failing(cs.read_ids(less))
+
+
+def test_another_manifest_is_an_error(spark, odd_docs):
+    store = cs.write_store(odd_docs, BYTE_BPE)
+    cs.check_manifest(store)
+    other = cs.Store(spark, shared_dir(spark))
+    store.table("recipes").write.parquet(f"{other.path}/recipes")
+    store.table("manifest").withColumn("root", F.sha2("root", 256)).write.parquet(f"{other.path}/manifest")
+    with pytest.raises(ValueError):
+        cs.check_manifest(other)
+    swapped = cs.Store(spark, shared_dir(spark))
+    store.table("recipes").withColumn("parts", F.when(F.col("doc_id") == 1, F.slice("parts", 1, 0)).otherwise(F.col("parts"))).write.parquet(f"{swapped.path}/recipes")
+    store.table("manifest").write.parquet(f"{swapped.path}/manifest")
+    with pytest.raises(ValueError):
+        cs.check_manifest(swapped)
