@@ -97,34 +97,34 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
 
 
-def _filled_sql(name: str, nodes: str, above: str, level: str, share: str) -> str:
-    """Water filling at a level, as common table expressions."""
+def _filled_sql(name: str, nodes: str, above: str, level: str) -> str:
+    """Water filling at a level in whole tokens, as common table expressions."""
     by = f"PARTITION BY {above}" if above else ""
+    rows = f"OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""
-{name}_w AS (SELECT *, ({share} - coalesce(sum(capacity) OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM {nodes}),
-{name}_f AS (SELECT *, (min(CASE WHEN capacity / weight > water THEN struct_pack(r := capacity / weight, k := {level}, w := water) END) OVER ({by})).w AS reached FROM {name}_w),
-{name} AS (SELECT *, CASE WHEN capacity / weight <= water THEN capacity ELSE least(capacity, weight * reached) END AS budget FROM {name}_f),
+{name}_w AS (SELECT *, coalesce(sum(capacity) {rows}, 0)::HUGEINT AS cb, coalesce(sum(weight) {rows}, 0)::HUGEINT AS wb, (sum(weight) OVER ({by}))::HUGEINT AS ws FROM {nodes}),
+{name}_e AS (SELECT *, capacity::HUGEINT * (ws - wb) <= (share - cb) * weight AS filled FROM {name}_w),
+{name}_f AS (SELECT *, min(CASE WHEN NOT filled THEN struct_pack(r := capacity / weight, k := {level}, cb := cb, wb := wb) END) OVER ({by}) AS e FROM {name}_e),
+{name} AS (SELECT *, CASE WHEN filled THEN capacity ELSE
+    ((share - e.cb) * (wb + weight - e.wb)) // (ws - e.wb) - ((share - e.cb) * (wb - e.wb)) // (ws - e.wb) END::BIGINT AS budget FROM {name}_f),
 """
 
 
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, text, coalesce('domain' || (TRY_CAST(nullif(regexp_extract(source, '([0-9])$', 1), '') AS INT) % 4), 'other') AS domain,
                   coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
-                  len(list_filter(string_split_regex(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
+                  len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
 p AS (SELECT * FROM d WHERE n_tokens > 0),
-s AS (SELECT domain, lang, source, sum(n_tokens) AS leaf_tokens, sum(n_tokens) * 2.0::DOUBLE AS capacity, 1.0::DOUBLE AS weight FROM p GROUP BY ALL),
-l AS (SELECT domain, lang, sum(capacity) AS capacity, CASE WHEN lang = 'en' THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM s GROUP BY domain, lang),
-t AS (SELECT domain, sum(capacity) AS capacity, CASE WHEN domain = 'domain1' THEN 3.0 ELSE 1.0 END::DOUBLE AS weight FROM l GROUP BY domain),
-b AS (SELECT floor(sum(n_tokens) * 0.5)::DOUBLE AS total FROM p),
-{_filled_sql("top", "(SELECT t.*, total AS share FROM t, b)", "", "domain", "share")}
-{_filled_sql("mid", "(SELECT l.*, top.budget AS share FROM l JOIN top USING (domain))", "domain", "lang", "share")}
-{_filled_sql("low", "(SELECT s.*, mid.budget AS share FROM s JOIN mid USING (domain, lang))", "domain, lang", "source", "share")}
-plan AS (SELECT domain, lang, source, leaf_tokens, floor(round(budget, 6))::BIGINT AS budget FROM low),
-q AS (SELECT domain, lang, source, (budget // leaf_tokens)::BIGINT AS whole, (budget % leaf_tokens)::BIGINT AS left_over FROM plan),
-o AS (SELECT p.*, whole, left_over, sum(n_tokens) OVER (PARTITION BY domain, lang, source
-        ORDER BY md5('42/' || whole || '/' || coalesce(doc_id::VARCHAR, 'null')), md5(text)) - n_tokens AS begun FROM p JOIN q USING (domain, lang, source))
+s AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS leaf_tokens, (sum(n_tokens) * 2)::BIGINT AS capacity, 1000000::BIGINT AS weight FROM p GROUP BY ALL),
+l AS (SELECT domain, lang, sum(capacity)::BIGINT AS capacity, CASE WHEN lang = 'en' THEN 2000000 ELSE 1000000 END::BIGINT AS weight FROM s GROUP BY domain, lang),
+t AS (SELECT domain, sum(capacity)::BIGINT AS capacity, CASE WHEN domain = 'domain1' THEN 3000000 ELSE 1000000 END::BIGINT AS weight FROM l GROUP BY domain),
+b AS (SELECT floor(sum(n_tokens) * 0.5)::BIGINT AS total FROM p),
+{_filled_sql("top", "(SELECT t.*, total AS share FROM t, b)", "", "domain")}
+{_filled_sql("mid", "(SELECT l.*, top.budget AS share FROM l JOIN top USING (domain))", "domain", "lang")}
+{_filled_sql("low", "(SELECT s.*, mid.budget AS share FROM s JOIN mid USING (domain, lang))", "domain, lang", "source")}
+q AS (SELECT domain, lang, source, (budget // leaf_tokens)::BIGINT AS whole, (budget % leaf_tokens)::BIGINT AS left_over FROM low),
+o AS (SELECT p.*, whole, left_over, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5(concat_ws('/', '42', whole, doc_id)), md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM p JOIN q USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, unnest(range(whole))::BIGINT AS epoch, n_tokens, n_tokens AS take_tokens FROM o WHERE whole > 0
 UNION ALL
 SELECT doc_id, domain, lang, source, whole AS epoch, n_tokens, least(n_tokens, left_over - begun)::BIGINT AS take_tokens FROM o WHERE begun < left_over
