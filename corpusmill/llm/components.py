@@ -9,15 +9,17 @@ from corpusmill.shared import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node goes to the smallest of its neighbourhood."""
+    """Every larger neighbour of a node goes to the smallest of its neighbourhood. The
+    smallest are written before the join, so that its sides are plain shuffles and
+    Spark can split the centre of a star."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("low").alias("a"), "b").distinct()
+    return both.where("b > a").join(written(low), "a").select(F.col("low").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours go to the smallest of them; a < b in ``edges``."""
-    low = edges.groupBy("b").agg(F.min("a").alias("low"))
+    low = written(edges.groupBy("b").agg(F.min("a").alias("low")))
     moved = edges.join(low, "b").where("a != low").select(F.col("low").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(low.select(F.col("low").alias("a"), "b")).distinct()
 

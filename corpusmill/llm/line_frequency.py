@@ -2,17 +2,22 @@
 
 Every line with a word is normalised (lower case, runs of white space as one
 space, trimmed) and hashed. A line is above the limit in a host if more than
-``max(min_docs, max_share * documents of the host)`` different documents of
-the host hold it. Exact copies of a document count once, so that a document
-is not taken for boilerplate because it was copied: that is for
-de-duplication to settle. Lines above the limit are removed; a document whose
-removed words exceed ``max_removed`` of its words, or that keeps fewer than
-``min_words`` words, is depleted and rejected.
-
-Defined cases: null text counts as an empty text; a null host is a host of
-its own; repeated rows get equal results; rows with a null id are kept apart
-by their text; other columns pass through ``clean_documents`` unchanged, also
-if their names look like those used here.
+``max(min_docs, max_share * documents of the host)`` distinct documents of the
+host hold it. Lines above the limit are removed; a document whose removed words
+exceed ``max_removed`` of its words, or that keeps fewer than ``min_words`` words,
+is depleted and rejected.
+
+``count`` says what is a distinct document: ``documents`` tells them by id, so
+that a line counts as often as it was copied; ``texts`` counts exact copies once;
+``near_copies`` counts near copies (five-word shingles, similarity 0.8 or more)
+once, so that a large group of copies isn't taken for boilerplate, but left for
+de-duplication to settle.
+
+Defined cases: null text counts as an empty text; a null host is a host of its
+own; repeated rows get equal results and count as one document; rows with a null
+id are told apart by their text; an empty table gives an empty result; a very long
+text is one row like any other, whose windows are found by sorting, in n log n;
+other columns pass through ``clean_documents`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import near_copies as near
+from corpusmill.llm.names import columns, fresh, quoted
 from corpusmill.shared import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -71,17 +77,17 @@ def _doubled(placed: Column) -> Column:
     return F.sort_array(F.array_distinct(F.flatten(pairs)))
 
 
+def _host(name: str) -> Column:
+    return F.coalesce(F.concat(F.lit("h:"), F.col(quoted(name)).cast("string")), F.lit("none"))
+
+
 def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One narrow row per document: base counts, and its distinct line hashes
     with the words that each stands for. Equal 3-word windows are found by
     sorting their hashes, so the work is n log n in the length of a text."""
     t = F.coalesce(F.col("t"), F.lit(""))
     m = F.size("grams")
-    read = docs.select(
-        F.col(doc_id).alias("id"),
-        F.coalesce(F.concat(F.lit("h:"), F.col(host).cast("string")), F.lit("none")).alias("host"),
-        F.col(text).alias("t"),
-    )
+    read = docs.select(F.col(quoted(doc_id)).alias("id"), _host(host).alias("host"), F.col(quoted(text)).alias("t"))
     lined = read.select(
         "id", "host", text_key(F.col("t")).alias("text_key"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("raw"),
@@ -113,28 +119,37 @@ def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     return at.select(*kept, F.when(F.col("at").isNotNull(), _let(F.col("at"), _covered)).otherwise(0).cast("long").alias("n_repeat_words"))
 
 
-def frequent_lines(prof: DataFrame, limits: Limits) -> DataFrame:
-    """(host, hash) of the lines above the host's limit. Both counts are of
-    distinct texts; a first grouping by text makes the second one free of hot
-    keys, and both combine before they shuffle."""
-    texts = prof.groupBy("host", "text_key").agg(F.lit(1).alias("one"))
-    host_docs = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
-    held = prof.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
+def counted_as(prof: DataFrame, count: str, groups: DataFrame | None = None) -> DataFrame:
+    """(host, document, lines): what counts as one document has one ``document``;
+    ``groups`` (text_key, near) says which texts are near copies."""
+    if count == "documents":
+        document = F.struct(F.col("id"), F.when(F.col("id").isNull(), F.col("text_key")).alias("text_key"))
+        return prof.select("host", document.alias("document"), "lines")
+    if count == "texts":
+        return prof.select("host", F.col("text_key").alias("document"), "lines")
+    if count == "near_copies":
+        own = prof.withColumn("text_key", F.coalesce("text_key", text_key(F.lit(""))))
+        return written(own.join(groups, "text_key").select("host", F.col("near").alias("document"), "lines"))
+    raise ValueError(f"documents can't be counted by {count}")
+
+
+def frequent_lines(rows: DataFrame, limits: Limits) -> DataFrame:
+    """(host, hash, docs) of the lines above the host's limit. Both counts are of
+    distinct documents; a first grouping by document makes the second one free of
+    hot keys, and both combine before they shuffle."""
+    host_docs = rows.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    held = rows.select("host", "document", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
     docs = held.distinct().groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > limits.min_docs)
     return docs.join(host_docs, "host").where(F.col("docs") > limits.max_share * F.col("host_docs")).select("host", "hash", "docs")
 
 
-def verdicts(prof: DataFrame, limits: Limits = Limits(), groups: DataFrame | None = None) -> DataFrame:
-    """A row per document: base counts, removed lines and words, verdict. Texts with
-    the same ``near`` in ``groups`` (text_key, near) count as one."""
-    counted = prof
-    if groups is not None:
-        own = prof.withColumn("text_key", F.coalesce("text_key", text_key(F.lit(""))))
-        counted = written(own.join(groups, "text_key").select("host", F.col("near").alias("text_key"), "lines"))
+def verdicts(prof: DataFrame, limits: Limits = Limits(), count: str = "documents", groups: DataFrame | None = None) -> DataFrame:
+    """A row per document: base counts, removed lines and words, verdict."""
     lines = prof.select("id", "host", "text_key", F.explode("lines").alias("x")).select("id", "host", "text_key", F.col("x.hash").alias("hash"), F.col("x.words").alias("words"))
     own = lines.groupBy("id", "host", "text_key", "hash").agg(F.max("words").alias("line_words"), F.count("*").alias("times"))
     rows = prof.groupBy("id", "host", "text_key").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-    hit = own.join(frequent_lines(counted, limits), ["host", "hash"])
+    # Written, so that the join is by broadcast if Spark finds them small, and of two plain shuffles that it can split if not.
+    hit = own.join(written(frequent_lines(counted_as(prof, count, groups), limits)), ["host", "hash"])
     removed = hit.groupBy("id", "host", "text_key").agg(
         F.sum(F.col("line_words") * F.col("times")).alias("removed_words"), F.sum("times").alias("removed_lines"), F.collect_set("hash").alias("removed_hashes")
     )
@@ -151,28 +166,32 @@ def verdicts(prof: DataFrame, limits: Limits = Limits(), groups: DataFrame | Non
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def line_quality(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def line_quality(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source", count: str = "documents") -> DataFrame:
     """A row per row of ``docs``: id, base counts, removed lines and words,
     ``base_failed`` and ``kept``. The texts are read once; what follows works on
     the narrow profiles, written in the shared folder."""
-    out = verdicts(written(profiles(docs, doc_id, text, host)), limits)
+    groups = near.groups(docs, text) if count == "near_copies" else None
+    out = verdicts(written(profiles(docs, doc_id, text, host)), limits, count, groups)
     once = out.where("rows = 1").drop("removed_hashes")
     more = out.where("rows > 1").drop("removed_hashes").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("i")
     return once.unionByName(more).withColumnRenamed("id", doc_id)
 
 
-def clean_documents(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str | None = "n_chars", near_copies: bool = False) -> DataFrame:
+def clean_documents(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", count: str = "documents") -> DataFrame:
     """The kept documents with the lines above the limits taken out; the columns
-    of ``docs``, with ``n_chars`` brought up to date where a text changed."""
+    of ``docs``, with ``n_chars``, if there is one, brought up to date where a text
+    changed. The texts are joined with what is rejected or changed alone."""
     prof = written(profiles(docs, doc_id, text, host))
-    v = verdicts(prof, limits, near.groups(docs, text) if near_copies else None).where("kept")
-    v = v.select(F.struct("id", "host", "text_key", "removed_hashes").alias("__v"))
-    key = F.coalesce(F.concat(F.lit("h:"), docs[host].cast("string")), F.lit("none"))
-    on = docs[doc_id].eqNullSafe(v["__v.id"]) & (key == v["__v.host"]) & text_key(docs[text]).eqNullSafe(v["__v.text_key"])
-    gone = F.col("__v.removed_hashes")
-    keep = F.filter(F.split(F.col(text), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(gone, normalised(_words(x)))))
-    cleaned = F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))
-    out = docs.join(v, on).withColumn(text, cleaned)
-    if n_chars:
-        out = out.withColumn(n_chars, F.when(gone.isNull(), F.col(n_chars)).otherwise(F.length(F.col(text)).cast(docs.schema[n_chars].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    v = verdicts(prof, limits, count, near.groups(docs, text) if count == "near_copies" else None)
+    name = fresh(docs.columns, "verdict")
+    changed = written(v.where("not kept or removed_hashes is not null").select("id", "host", "text_key", "kept", F.when(F.col("kept"), F.col("removed_hashes")).alias("hashes")))
+    changed = changed.select(F.struct("*").alias(name))
+    body, size = F.col(quoted(text)), quoted(n_chars)
+    on = F.col(quoted(doc_id)).eqNullSafe(F.col(f"{name}.id")) & (_host(host) == F.col(f"{name}.host")) & text_key(body).eqNullSafe(F.col(f"{name}.text_key"))
+    gone = F.col(f"{name}.hashes")
+    keep = F.filter(F.split(body, "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(gone, normalised(_words(x)))))
+    out = docs.join(changed, on, "left").where(F.coalesce(F.col(f"{name}.kept"), F.lit(True)))
+    out = out.withColumn(text, F.when(gone.isNull(), body).otherwise(F.array_join(keep, "\n")))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(gone.isNull(), F.col(size)).otherwise(F.length(body).cast(docs.schema[n_chars].dataType)))
+    return out.select(*columns(docs.columns))

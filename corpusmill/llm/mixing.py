@@ -135,7 +135,7 @@ def prefixes(parts: DataFrame, budget: float, max_epochs: int, weights: Mapping[
     rows before ``last`` (key, text_key); of the ``copies`` equal rows there, ``some``
     are taken as a whole and, if ``rest`` isn't 0, one more up to ``rest`` tokens.
     ``last`` is null if nothing of that epoch is taken."""
-    plan = written(budgets(parts.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens")), budget, max_epochs, weights))
+    plan = budgets(parts.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens")), budget, max_epochs, weights)
     plan = plan.select(*LEVELS, F.expr("budget div leaf_tokens").alias("whole"), (F.col("budget") % F.col("leaf_tokens")).alias("left_over")).where("whole > 0 or left_over > 0")
     plan = written(plan)
     ordered = parts.join(plan.where("left_over > 0"), list(LEVELS)).withColumn("key", _key(F.col("whole"), F.col("id"), seed)).withColumn("slice", F.substring("key", 1, SLICE))

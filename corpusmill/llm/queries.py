@@ -21,17 +21,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce('h:' || source, 'none') AS host, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, host, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+WITH d AS (SELECT doc_id, coalesce('i' || doc_id, 't' || md5(text)) AS document, coalesce('h:' || source, 'none') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, document, host, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 4),
 k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, host, t, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS lw
-      FROM (SELECT doc_id, host, t, unnest(ls) AS x FROM w)),
-m AS (SELECT doc_id, host, t, lower(array_to_string(lw, ' ')) AS line, len(lw) AS words FROM l),
-h AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
-f AS (SELECT host, line, count(DISTINCT t) AS docs FROM m GROUP BY host, line HAVING count(DISTINCT t) > 20),
+l AS (SELECT doc_id, document, host, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS lw
+      FROM (SELECT doc_id, document, host, unnest(ls) AS x FROM w)),
+m AS (SELECT doc_id, document, host, lower(array_to_string(lw, ' ')) AS line, len(lw) AS words FROM l),
+h AS (SELECT host, count(DISTINCT document) AS host_docs FROM d GROUP BY host),
+f AS (SELECT host, line, count(DISTINCT document) AS docs FROM m GROUP BY host, line HAVING count(DISTINCT document) > 20),
 x AS (SELECT f.host, f.line FROM f JOIN h USING (host) WHERE f.docs > 0.02 * h.host_docs),
 c AS (SELECT m.doc_id, count(*) AS removed_lines, sum(m.words) AS removed_words FROM m JOIN x ON m.host = x.host AND m.line = x.line GROUP BY m.doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
