@@ -7,7 +7,8 @@ the sample tables is a unit of 64 bytes, that is 64 8-bit sound samples; every
 another one, decodes the sample tables (times, sizes, chunk runs, chunk offsets,
 sync samples) and never looks into ``mdat``.
 
-Defined cases: null and empty texts become one unit of zero bytes; repeated
+Defined cases: null and empty texts become one unit of zero bytes; a very long text
+is one file, whose payload has a 64-bit size; an empty table gives an empty one; repeated
 rows get equal files, as nothing in a file depends on when or where it was made;
 other columns are ignored.
 """

@@ -7,13 +7,14 @@ the answer, the sum of margins settles ties. Related languages thus get machines
 that learn from each other's texts alone.
 
 Learning takes rows with text and a non-null language whose ``crc32(id as text)
-mod 3`` is not 1, at most about ``max_rows`` of each language, those with the
-smallest hash of their text. Their features are counted where the texts are;
-only those of the sample (``max_rows`` vectors of ``DIMS`` bytes' counts a
-language) go to the driver.
+mod 3`` is not 1, at most ``max_rows`` of each language, those with the smallest
+hash of id and text. Their features are counted where the texts are and written in
+the shared folder. Each pair's machine is a task of its own, over the vectors of its
+two sides (``max_rows`` for each language on them); only weights go to the driver.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0;
-with one language learnt, every other text gets it; with none, all get ``und``;
+with one language learnt, every other text gets it; with none, all get ``und``; a
+very long text is one row like any other, an empty table gives an empty result;
 repeated rows are treated alike; other columns are ignored.
 """
 
@@ -24,11 +25,15 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.names import quoted
+from corpusmill.llm.samples import smallest
+from corpusmill.shared import written
 from corpusmill.ship import ship
 
 DIMS = 2048
@@ -80,10 +85,9 @@ class Duels:
     weights: np.ndarray  # a row per pair
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray) -> Duels:
-        names = tuple(sorted(set(y.tolist())))
-        rows = [machine(x[m], np.where(y[m] == a, 1, -1)) for a, b in combinations(names, 2) for m in [(y == a) | (y == b)]]
-        return Duels(names, np.array(rows).reshape(-1, DIMS + 1))
+    def of(names, weights: Mapping[tuple[str, str], np.ndarray]) -> Duels:
+        names = tuple(sorted(names))
+        return Duels(names, np.array([weights[pair] for pair in combinations(names, 2)]).reshape(-1, DIMS + 1))
 
     def judge(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the winner, its least sure duel as a probability) per row."""
@@ -122,32 +126,52 @@ class Identifier:
         return langs, scores
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 1000, families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Identifier:
-    ship(docs.sparkSession)
-    known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("lang")).where(F.col("t").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    part = F.lit(0.0)
-    for name, n in counts.items():
-        part = F.when(F.col("lang") == name, min(1.0, max_rows / n)).otherwise(part)
-    unit = (F.xxhash64("t") % 1_000_000 + 1_000_000) % 1_000_000
+def vectors(docs: DataFrame, doc_id: str, text: str, lang: str, max_rows: int) -> DataFrame:
+    """(lang, x) of the sample; x is the text's features."""
+    own, t = F.col(quoted(doc_id)), F.col(quoted(text))
+    known = docs.select(own.alias("id"), t.cast("string").alias("t"), F.col(quoted(lang)).cast("string").alias("lang"))
+    known = known.where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}") & ~held_out(F.col("id")))
+    chosen = smallest(known.select("t", "lang", F.xxhash64("id", "t").alias("key")), "lang", "key", max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, vectors = [], []
-            for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if LETTER.search(t):
-                    langs.append(name)
-                    vectors.append(features(t).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(vectors, pa.binary())], ["lang", "x"])
-
-    rows = known.where(unit < part * 1_000_000).select("t", "lang").mapInArrow(run, "lang string, x binary").toArrow()
-    y = np.array(rows["lang"].to_pylist(), object)
-    x = np.array([np.frombuffer(v, np.float16) for v in rows["x"].to_pylist()], np.float32).reshape(-1, DIMS)
-    order = np.lexsort((x.sum(1), y.astype(str))) if len(y) else np.zeros(0, int)
-    x, y = x[order], y[order]
+            rows = [features(t).astype(np.float16).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.binary())], ["lang", "x"])
+
+    return written(chosen.select("t", "lang").mapInArrow(run, "lang string, x binary"))
+
+
+def trained(sample: DataFrame, duels: list[tuple[str, str, str, str, int]]) -> dict[tuple[str, str, str], np.ndarray]:
+    """Weights by (level, a, b); ``duels`` has (level, a, b, lang, side) for each language
+    that takes part on a side. A pair's vectors go to one task: ``max_rows`` for each
+    language of its sides."""
+    if not duels:
+        return {}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["lang", "x"])  # whatever the order that they came in
+        x = np.array([np.frombuffer(v, np.float16) for v in rows["x"]], np.float32).reshape(-1, DIMS)
+        first = rows.iloc[0]
+        return pd.DataFrame({"level": [first["level"]], "a": [first["a"]], "b": [first["b"]], "weights": [machine(x, rows["side"].to_numpy()).tobytes()]})
+
+    sides = sample.sparkSession.createDataFrame(duels, "level string, a string, b string, lang string, side int")
+    out = sample.join(sides, "lang").groupBy("level", "a", "b").applyInPandas(run, "level string, a string, b string, weights binary").collect()
+    return {(r["level"], r["a"], r["b"]): np.frombuffer(bytes(r["weights"])) for r in out}
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 1000, families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Identifier:
+    ship(docs.sparkSession)
+    sample = vectors(docs, doc_id, text, lang, max_rows)
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # a row per language
     family_of = {name: f for f, names in families.items() for name in names}
-    groups = np.array([family_of.get(name, name) for name in y], object)
-    return Identifier(Duels.fit(x, groups), {f: Duels.fit(x[groups == f], y[groups == f]) for f in set(groups.tolist())})
+    members: dict[str, list[str]] = {}
+    for name in langs:
+        members.setdefault(family_of.get(name, name), []).append(name)
+    duels = [("", a, b, x, side) for a, b in combinations(sorted(members), 2) for side, f in ((1, a), (-1, b)) for x in members[f]]
+    duels += [("in " + f, a, b, x, side) for f, names in members.items() for a, b in combinations(names, 2) for side, x in ((1, a), (-1, b))]
+    weights = trained(sample, duels)
+    of = lambda level, names: Duels.of(names, {k[1:]: w for k, w in weights.items() if k[0] == level})
+    return Identifier(of("", members), {f: of("in " + f, names) for f, names in members.items()})
 
 
 def identified(docs: DataFrame, model: Identifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

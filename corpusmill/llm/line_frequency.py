@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import near_copies as near
 from corpusmill.llm.names import columns, fresh, quoted
+from corpusmill.llm.rows import repeated
 from corpusmill.shared import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -173,8 +174,8 @@ def line_quality(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_
     groups = near.groups(docs, text) if count == "near_copies" else None
     out = verdicts(written(profiles(docs, doc_id, text, host)), limits, count, groups)
     once = out.where("rows = 1").drop("removed_hashes")
-    more = out.where("rows > 1").drop("removed_hashes").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("i")
-    return once.unionByName(more).withColumnRenamed("id", doc_id)
+    more = repeated(out.where("rows > 1").drop("removed_hashes"), "rows")
+    return once.drop("rows").unionByName(more).withColumnRenamed("id", doc_id)
 
 
 def clean_documents(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", count: str = "documents") -> DataFrame:

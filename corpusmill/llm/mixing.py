@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.names import columns, fresh, quoted
+from corpusmill.llm.rows import numbers, repeated
 from corpusmill.shared import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -152,14 +153,6 @@ def prefixes(parts: DataFrame, budget: float, max_epochs: int, weights: Mapping[
     return written(plan.join(last, list(LEVELS), "left").drop("left_over"))
 
 
-def _times(n: Column) -> Column:
-    """The numbers from 0 to n - 1; none if n is 0 or null."""
-    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-
-
-BLOCK = 4096
-
-
 def mixture(docs: DataFrame, budget: float = 0.5, max_epochs: int = 1, weights: Mapping[str, Mapping[str, float]] | None = None, seed: int = 42, **options) -> DataFrame:
     """(id, text_key, domain, lang, source, n_tokens, epoch, take_tokens): a row
     per document and epoch that is taken."""
@@ -169,11 +162,9 @@ def mixture(docs: DataFrame, budget: float = 0.5, max_epochs: int = 1, weights:
     planned = parts.join(plan.select(*LEVELS, "whole", "last"), list(LEVELS))
     here = F.struct(_key(F.col("whole"), F.col("id"), seed).alias("key"), F.col("text_key"))
     before = F.when(here < F.col("last"), F.array("whole")).otherwise(F.array().cast("array<bigint>"))
-    taken = planned.select(*told, F.explode(F.concat(_times(F.col("whole")), before)).alias("epoch")).select(*told, "epoch", F.col("n_tokens").alias("take_tokens"))
+    taken = planned.select(*told, F.explode(F.concat(numbers(F.col("whole")), before)).alias("epoch")).select(*told, "epoch", F.col("n_tokens").alias("take_tokens"))
     at = plan.where("last is not null").select(*told[:1], F.col("last.text_key").alias("text_key"), *told[2:], F.col("whole").alias("epoch"), "some", "rest")
-    # Blocks of equal rows are dealt out before they are spread, however many there are.
-    blocks = at.select(*told, "epoch", "some", F.explode(_times(F.ceil(F.col("some") / BLOCK))).alias("block")).repartition("id", "text_key", "block")
-    equal = blocks.select(*told, "epoch", F.explode(_times(F.least(F.lit(BLOCK), F.col("some") - F.col("block") * BLOCK)))).select(*told, "epoch", F.col("n_tokens").alias("take_tokens"))
+    equal = repeated(at.select(*told, "epoch", "some"), "some").select(*told, "epoch", F.col("n_tokens").alias("take_tokens"))
     partly = at.where("rest > 0").select(*told, "epoch", F.col("rest").alias("take_tokens"))
     return taken.unionByName(equal).unionByName(partly)
 
@@ -211,9 +202,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole, last, taken = F.col(f"{l}.whole"), F.col(f"{l}.last"), F.expr(f"{quoted(l)}.some + if({quoted(l)}.rest > 0, 1, 0)")
     at_end = F.coalesce((here == last) & (taken < F.col(f"{l}.copies")), F.lit(False))
     sure = whole + F.when(F.coalesce(here <= last, F.lit(False)), 1).otherwise(0)
-    out = rows.where(~at_end).select(*columns(docs.columns), F.explode(_times(sure)).alias(r)).select(*columns(docs.columns))
+    out = rows.where(~at_end).select(*columns(docs.columns), F.explode(numbers(sure)).alias(r)).select(*columns(docs.columns))
     if plan.where("some + if(rest > 0, 1, 0) < copies").take(1):
         equal = written(rows.where(at_end).select(*columns(docs.columns), F.struct(f"{m}.domain", f"{m}.lang", f"{m}.source", whole.alias("whole"), taken.alias("taken")).alias(m)))
         equal = _numbered(equal, [m], r)
-        out = out.unionByName(equal.select(*columns(docs.columns), F.explode(_times(F.col(f"{m}.whole") + F.when(F.col(quoted(r)) < F.col(f"{m}.taken"), 1).otherwise(0))).alias(r)).select(*columns(docs.columns)))
+        out = out.unionByName(equal.select(*columns(docs.columns), F.explode(numbers(F.col(f"{m}.whole") + F.when(F.col(quoted(r)) < F.col(f"{m}.taken"), 1).otherwise(0))).alias(r)).select(*columns(docs.columns)))
     return out

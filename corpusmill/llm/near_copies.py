@@ -99,13 +99,3 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = written(sketches(docs, text).dropDuplicates(["text_key"]))
     named = written(roots(rows, docs, text))
     return written(rows.select("text_key", "node").join(named, "node", "left").select("text_key", F.coalesce("root", "node").alias("near")))
-
-
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that with the smallest id, and of rows with one id
-    one. A row without an id can't stand for others, and stays."""
-    named = docs.where(F.col(doc_id).isNotNull())
-    ids = written(named.select(F.col(doc_id).alias("__keep"), text_key(F.col(text)).alias("text_key")))
-    keep = written(ids.join(groups(docs, text), "text_key").select("__keep", "near")).groupBy("near").agg(F.min("__keep").alias("__keep")).select("__keep").distinct()
-    kept = named.join(keep, named[doc_id] == keep["__keep"], "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))

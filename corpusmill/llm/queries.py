@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from corpusmill.llm import chunk_store, iso_media, langid, line_frequency, mixing, rollups, rule_ensemble, simhash, unigram, warc
+from corpusmill.llm import chunk_store, iso_media, langid, line_frequency, mixing, pipeline, rollups, rule_ensemble, simhash, unigram, warc
 from corpusmill.shared import shared_dir, written
 from corpusmill.llm.tokenizer_files import BYTE_BPE, PIECES
 
@@ -183,7 +182,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_rollups": op10_rollups,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_mixing": OP7_SQL, "op10_rollups": OP10_SQL}

@@ -12,7 +12,8 @@ commits of one id exactly one counts, and a commit that broke off leaves nothing
 that is read.
 
 Defined cases: null sources, languages and versions are groups of their own;
-null token counts are zero; an empty batch is committed too; totals of zero
+null token counts are zero; an empty batch is committed too; counts of very long
+texts are longs like any other; totals of zero
 documents and tokens are left out; equal rows add up; other columns are ignored.
 """
 

@@ -8,12 +8,17 @@ within radius 1, by exactly one anchor. A fingerprint is at home at that
 anchor, and is replicated to every anchor within radius + 1 = 2 of it: itself
 or one at distance 1, and at most 15 at distance 2. A linked pair therefore
 meets at the home anchor of either, and is compared there. No bucket is
-capped, and anchors are a function of the bits: nothing grows with the data.
+capped, and anchors are a function of the bits. There are 2**26 of them a half, so
+random meetings of different fingerprints grow with the square of their number over
+2**22: two a fingerprint at four million, and some five thousand at 10**10, where
+more and narrower parts would be called for.
 
 Defined cases: a null text counts as empty and gets fingerprint zero, which
 links like any other; repeated rows share one class; a text of fewer than
-three words is one shingle; null ids never name a component unless all its
-ids are null; other columns are ignored.
+three words is one shingle; a very long text is hashed in blocks of shingles; an
+empty table gives an empty result; null ids never name a component unless all its
+ids are null; other columns are ignored, or pass through ``deduplicated``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm import near_copies as near
 from corpusmill.llm.components import connected
+from corpusmill.llm.names import columns, fresh, quoted
 from corpusmill.shared import written
 from corpusmill.ship import ship
 
@@ -55,16 +62,16 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp) per row; fp holds the 64 bits as a signed long."""
+    """(id, text_key, fp) per row; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["id", "text_key", "fp"])
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).cast("binary").alias("t"), near.text_key(F.col(quoted(text))).alias("text_key"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_key binary, fp long")
 
 
 def _syndrome(x: Column) -> Column:
@@ -105,24 +112,55 @@ def links(fps: DataFrame, threshold: int = 3) -> DataFrame:
     return h.join(n, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def classes(rows: DataFrame, threshold: int = 3) -> DataFrame:
+    """(fp, root) of every fingerprint in ``rows``: those with one root are linked."""
+    own = written(rows.select("fp").distinct())
+    roots = connected(links(own, threshold)).select(F.col("node").alias("fp"), "root")
+    # Written, so that both sides of a join with it are plain shuffles: Spark can then split a fingerprint with many copies.
+    return written(own.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 3) -> DataFrame:
     """(id, fp, component_id) per row; the component is named by its smallest id."""
     rows = written(fingerprints(docs, doc_id, text))
-    classes = written(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected(links(classes.select("fp"), threshold))
-    named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = written(named)
+    named = rows.groupBy("fp").agg(F.min("id").alias("low")).join(classes(rows, threshold), "fp")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    # Written, so that both sides of the last join are plain shuffles: Spark can then split a fingerprint with many copies.
-    by_class = written(named.join(lowest, "root").select("fp", "component_id"))
+    by_class = written(written(named.select("fp", "root")).join(written(lowest), "root").select("fp", "component_id"))
     return rows.join(by_class, "fp").select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 3) -> DataFrame:
+def groups(rows: DataFrame, threshold: int, near: DataFrame | None) -> DataFrame:
+    """(id, root) per row of ``rows`` (id, text_key, fp). With ``near`` (text_key, near),
+    near copies of a row in a group are in that group too."""
+    own = rows.join(classes(rows, threshold), "fp").select("id", "text_key", "root")
+    if near is None:
+        return own.select("id", "root")
+    both = written(written(own).join(near, "text_key").select("id", "root", "near"))
+    # Groups of near copies that a class of fingerprints has in common become one.
+    pairs = both.select("root", "near").distinct()
+    low = written(pairs.groupBy("root").agg(F.min("near").alias("low"), F.max("near").alias("high")).where("low != high").select("root", "low"))
+    met = connected(pairs.join(low, "root").where("near != low").select(F.col("low").alias("a"), F.col("near").alias("b")))
+    met = written(met.select(F.col("node").alias("near"), F.col("root").alias("met")))
+    return both.join(met, "near", "left").select("id", F.coalesce("met", "near").alias("root"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 3, near_copies: bool = False) -> DataFrame:
     """One row of each component: that with the smallest id, and of rows with one
-    id one. A row without an id can't stand for others, and stays."""
-    ids = near_duplicates(docs, doc_id, text, threshold).where(F.col(doc_id) == F.col("component_id"))
-    keep = ids.select(F.col(doc_id).alias("__keep")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull())
-    kept = named.join(keep, named[doc_id] == keep["__keep"], "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    id one. A row without an id can't stand for others, and stays. With ``near_copies``,
+    texts of a five-word shingle similarity of 0.8 or more are linked as well,
+    however many bits their fingerprints differ in. The texts are joined with the
+    ids that go alone."""
+    named = docs.where(F.col(quoted(doc_id)).isNotNull())
+    rows = written(fingerprints(named, doc_id, text))
+    own = written(groups(rows, threshold, near.groups(docs, text) if near_copies else None))
+    lowest = written(own.groupBy("root").agg(F.min("id").alias("low")))
+    # A row per id: whether it goes, and whether several rows have it.
+    ids = own.join(lowest, "root").groupBy("id").agg(F.min(F.col("id") != F.col("low")).alias("goes"), (F.count("*") > 1).alias("several"))
+    changed = written(ids.where("goes or several"))
+    name = fresh(docs.columns, "changed")
+    told = docs.join(changed.select(F.struct("*").alias(name)), F.col(quoted(doc_id)) == F.col(f"{name}.id"), "left")
+    told = told.where(~F.coalesce(F.col(f"{name}.goes"), F.lit(False)))
+    out = told.where(~F.coalesce(F.col(f"{name}.several"), F.lit(False))).select(*columns(docs.columns))
+    if changed.where("several and not goes").take(1):
+        out = out.unionByName(told.where(F.col(f"{name}.several")).select(*columns(docs.columns)).dropDuplicates([doc_id]))
+    return out

@@ -10,7 +10,9 @@ model is loaded), so the best segmentation of a text is that of its units, each
 a run of markers with what follows it; a worker keeps the ids of units it has
 met, up to a bound.
 
-Defined cases: null and empty texts have no ids and decode to an empty text;
+Defined cases: null and empty texts have no ids and decode to an empty text; a very
+long text without spaces is searched in windows, with the same ids; an empty table
+gives an empty result;
 a U+2581 in a text is a marker like a space, and decodes as a space, as in the
 public library; repeated rows are encoded alike; other columns pass through.
 """
@@ -27,13 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from corpusmill.llm.names import fresh
 from corpusmill.llm.words import Memo, gathered, no_collection, split_words
 from corpusmill.ship import ship
 
 MARK = "▁"
 UNIT = re.compile(r" +[^ ]*")
 UNKNOWN_PENALTY = 10.0
+WINDOW = 1 << 16  # bytes of a unit that are searched at once
 
 
 @dataclass
@@ -123,15 +128,40 @@ class Encoder:
     def __init__(self, model: Model, remember: int = 200_000):
         self.model = model
         self.base, self.check, self.scores = model.base.tolist(), model.check.tolist(), model.scores.tolist()
-        self.unknown_score = model.unknown_score
+        self.unknown_score, self.longest = model.unknown_score, max([4, *map(len, model.spelling)])
         self.known = Memo(lambda words: [array("I", self.segment(b" " + w.encode())).tobytes() for w in words], remember)
 
     def segment(self, text: bytes) -> list[int]:
-        """Ids of a unit, by Viterbi."""
+        """Ids of a unit, by Viterbi. A unit longer than ``WINDOW`` is done window by
+        window: once all paths that are still open have a place in common, the ids up to
+        there are settled, and the search goes on from there."""
+        ids, size, start = array("I"), WINDOW, 0
+        while len(text) - start > size:
+            part = text[start : start + size + self.longest]
+            back, at = self.forward(part, size)
+            open_ = {p for p in range(at, len(back)) if back[p] is not None}
+            while len(open_) > 1:
+                last = max(open_)
+                open_ = open_ - {last} | {back[last][0]}
+            (common,) = open_
+            if common:
+                ids.extend(self.path(part, back, common))
+                start, size = start + common, WINDOW
+            else:
+                size *= 2
+        text = text[start:] if start else text
+        back, _ = self.forward(text, len(text))
+        rest = self.path(text, back, len(text))
+        return [*ids, *rest] if ids else rest
+
+    def forward(self, text: bytes, stop: int) -> tuple[list, int]:
+        """(start, piece) of the best path's last step to every place that a step from
+        before ``stop`` reaches, and the first place from ``stop`` on; the piece of an
+        unknown character is -1."""
         base, check, scores, n = self.base, self.check, self.scores, len(text)
-        best, back = [None] * (n + 1), [(0, 0)] * (n + 1)
-        best[0], at = 0.0, 0
-        while at < n:
+        best, back = [None] * (n + 1), [None] * (n + 1)
+        best[0], back[0], at = 0.0, (0, 0), 0
+        while at < stop:
             here, c = best[at], text[at]
             width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
             state, end, single = 0, at, False
@@ -152,7 +182,10 @@ class Encoder:
                 if best[end] is None or score > best[end]:
                     best[end], back[end] = score, (at, -1)
             at += width
-        ids, end = [], n
+        return back, at
+
+    def path(self, text: bytes, back: list, end: int) -> list[int]:
+        ids = []
         while end:
             at, piece = back[end]
             ids += [piece] if piece >= 0 else [self.byte(c) for c in reversed(text[at:end])]
@@ -204,13 +237,12 @@ def encoder(shared) -> Encoder:
 
 
 def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
-    """``docs`` with an array column of piece ids. The model is a fixed file of
-    some hundred kB, sent to the workers once."""
+    """``docs`` with an array column of piece ids, called ``ids``, with underscores after
+    it if there is such a column already. The model is a fixed file of some hundred
+    kB, sent to the workers once."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
-    names = docs.columns
-    if ids in names:
-        raise ValueError(f"there is a column {ids} already")
+    names, ids = docs.columns, fresh(docs.columns, ids)
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +255,7 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "pi
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, ids])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{ids}` array<int>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def checked(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

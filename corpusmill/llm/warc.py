@@ -14,7 +14,9 @@ Archives of lost or repeated tasks are no harm: only those in the written index
 are read.
 
 Defined cases: a null payload is empty; a null URL leaves out the target field;
-repeated page ids of a largest page are all responses; a null page id never
+repeated page ids of a largest page are all responses, repeated rows among them; a
+payload longer than a frame is a frame of its own; an empty table makes an index
+without records; a null page id never
 becomes a group's response unless the group has no other, and is read back as
 null; other columns are ignored.
 """

@@ -1,4 +1,7 @@
 import math
+import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -87,3 +90,59 @@ def test_rows(odd_docs, no_docs):
     assert all(r["round_trip"] for r in u.checked(odd_docs, PIECES).collect())
     assert u.encoded(no_docs, PIECES).count() == 0 and u.checked(no_docs, PIECES).count() == 0
     assert enc.decode(enc.encode("a▁b")) == "a b"
+
+
+def plain_ids(model, text):
+    """Unit by unit, the best of all segmentations by a table over places; the first found on ties."""
+    pieces = {s: i for i, s in enumerate(model.spelling) if s and i not in set(model.byte_ids)}
+    longest, lowest = max(map(len, pieces)), model.unknown_score
+    out = []
+    for unit in re.findall(" +[^ ]*", " " + text.replace("\u2581", " ")) if text else []:
+        b, best = unit.encode(), {0: (0.0, 0, None)}
+        for at in range(len(b)):
+            if at not in best or b[at] & 0xC0 == 0x80:
+                continue
+            width = len(b[at:].decode()[0].encode())
+            steps = [(n, pieces[b[at : at + n]]) for n in range(1, longest + 1) if b[at : at + n] in pieces and at + n <= len(b)]
+            if width not in [n for n, _ in steps]:
+                steps.append((width, -1))
+            for n, piece in steps:
+                score = best[at][0] + (lowest if piece < 0 else model.scores[piece])
+                if at + n not in best or score > best[at + n][0]:
+                    best[at + n] = (score, at, piece)
+        ids, end = [], len(b)
+        while end:
+            _, at, piece = best[end]
+            ids = ([piece] if piece >= 0 else [model.byte_ids[c] for c in b[at:end]]) + ids
+            end = at
+        out += ids
+    return out
+
+
+def test_the_query(spark, model, odd_docs, no_docs):
+    from corpusmill.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    byte = set(model.byte_ids)
+
+    def want(d):
+        ids = plain_ids(model, d["text"] or "")
+        return (d["doc_id"], len(ids), sum(i in byte for i in ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+
+    got = queries.op5_unigram(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(want, docs.collect()))
+    odd = u.checked(odd_docs, PIECES)
+    assert sorted(map(str, map(tuple, odd.collect()))) == sorted(map(str, map(want, odd_docs.collect())))
+    assert u.checked(no_docs, PIECES).count() == 0 and u.encoded(no_docs, PIECES).count() == 0
+
+
+def test_windows(model, monkeypatch):
+    """Units longer than a window have the same ids as without windows."""
+    rng = random.Random(6)
+    enc = u.Encoder(model)
+    texts = ["".join(rng.choice(["a", "the", "ing", "\u2603", "ß", "x", "tion", "\U0001d11e"]) for _ in range(n)).encode() for n in (5, 60, 300, 900)] + [b" " + b"a" * 700, b"=" * 500]
+    want = [enc.segment(t) for t in texts]
+    for window in (8, 33, 128):
+        monkeypatch.setattr(u, "WINDOW", window)
+        assert [enc.segment(t) for t in texts] == want
