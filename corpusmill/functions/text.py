@@ -25,19 +25,27 @@ def byte_column(line: Column, char_column: Column) -> Column:
     return (F.octet_length(F.substring(line, F.lit(1), char_column - 1)) + 1).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(line: Column, pattern: str) -> Column:
-    """All matches in a line as structs (at, text), ``at`` in characters from 1 on.
-    What lies between the matches gives their places, so that patterns may look
-    around them."""
-    found = F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1))
-    between = F.slice(F.split(line, pattern, -1), F.lit(1), F.size(found))
-    parts = F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("text")))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
-    step = lambda s, p: F.struct(
-        (s["next"] + p["gap"] + F.length(p["text"])).alias("next"),
-        F.concat(s["out"], F.array(F.struct((s["next"] + p["gap"]).alias("at"), p["text"].alias("text")))).alias("out"),
-    )
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda s: s["out"]))
+    """All matches in a line as structs (at, text), ``at`` in characters from 1 on; null
+    if there are none. What lies between the matches gives their places, so that
+    patterns may look around them."""
+
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(line, pattern, -1), F.lit(1), F.size(found))
+        parts = F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("text")))
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
+        step = lambda s, p: F.struct(
+            (s["next"] + p["gap"] + F.length(p["text"])).alias("next"),
+            F.concat(s["out"], F.array(F.struct((s["next"] + p["gap"]).alias("at"), p["text"].alias("text")))).alias("out"),
+        )
+        return F.aggregate(parts, start, step, lambda s: s["out"])
+
+    return let(F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1)), lambda found: F.when(F.size(found) > 0, placed(found)))
 
 
 def glob_regex(glob: str) -> str:
@@ -70,6 +78,7 @@ def glob_regex(glob: str) -> str:
 def test_path(path: Column) -> Column:
     """Whether a path looks like that of a test: a folder named for tests, or a
     file whose stem ends like one."""
+    # Names of folders and endings of stems that stand for tests.
     folders = r"(^|/)(tests|benches|examples|fixtures|__tests__|[^/]*_tests?|test_[^/]*)/"
     stem = r"(^|/)([^/]*_tests?|tests?|[^/]*\.(spec|test))\.[^./]+$"
     prefix = r"(^|/)test_[^/]*$"

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import line_count
 from corpusmill.operators.findings import normalised, outside, scan
 from corpusmill.operators.lines import lines
 from corpusmill.operators.metrics import file_metrics, metric_findings
@@ -101,32 +100,53 @@ def scan_code(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     that skip tests also skip lines in ``#[cfg(test)]`` items."""
     t = written(tokens(files))
     plain = lines(blanked(t))
+    tests = test_ranges(plain, blocks(t))
     parts = []
     for kind in ("comment", "doc_comment", "string", "code", "line"):
         if own := [r for r in rules if r.pattern and r.kind == kind]:
             parts.append(scan(plain, own) if kind == "code" else scan(lines(files), own) if kind == "line" else _in_tokens(t, kind, own))
-    if wanted := [r for r in rules if r.metric]:
-        measured = file_metrics(blanked(t), r"^\b$").drop("code_lines", "comment_lines", "comment_ratio")
-        told = measured.join(_comment_metrics(files, t), "path")
-        parts.append(metric_findings(told, wanted).withColumn("end_column", F.lit(1).cast("long")).withColumn("seq", F.lit(0).cast("long")))
+    skips = lambda r: r.skip_tests and r.language == "rust"
+    for skipped, wanted in ((tests, [r for r in rules if r.metric and skips(r)]), (None, [r for r in rules if r.metric and not skips(r)])):
+        if wanted:
+            found = metric_findings(code_metrics(files, t, skipped), wanted)
+            parts.append(found.withColumn("end_column", F.lit(1).cast("long")).withColumn("seq", F.lit(0).cast("long")))
     keep = ["path", "lang", "rule_id", "severity", "category", "message", "line", "column", "end_column", "matched_text", "seq"]
     out = parts[0].select(*keep)
     for p in parts[1:]:
         out = out.unionByName(p.select(*keep))
     skipping = [r.id for r in rules if r.skip_tests and r.language == "rust" and r.pattern]
     is_skipping = F.col("rule_id").isin(skipping) & (F.col("lang") == "rust")
-    kept = outside(out.where(is_skipping), test_ranges(plain, blocks(t))).unionByName(out.where(~is_skipping))
+    kept = outside(out.where(is_skipping), tests).unionByName(out.where(~is_skipping))
     return normalised(kept)
 
 
-def _comment_metrics(files: DataFrame, t: DataFrame) -> DataFrame:
+def code_metrics(files: DataFrame, t: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """Metrics of source files from their tokens ``t``; lines in ``skipped`` ranges
+    (path, start, end_excl), as those of tests, don't count."""
+    gone = None
+    bare = blanked(t)
+    if skipped is not None:
+        gone = skipped.select("path", F.explode(F.sequence("start", F.col("end_excl") - 1)).alias("n")).distinct()
+        per_file = gone.groupBy("path").agg(F.collect_set(F.col("n").cast("int")).alias("skip"))  # at most a file's lines
+        bare = bare.join(per_file, "path", "left")
+    measured = file_metrics(bare, r"^\b$", "skip" if skipped is not None else None).drop("code_lines", "comment_lines", "comment_ratio")
+    return measured.join(_comment_metrics(measured, t, gone), "path")
+
+
+def _comment_metrics(measured: DataFrame, t: DataFrame, gone: DataFrame | None) -> DataFrame:
     """(path, code_lines, comment_lines, comment_ratio): lines with something other
-    than comments, and distinct lines of comments that document nothing."""
-    code = t.where("kind in ('code', 'string') and text rlike '[^ \\t\\r\\n\\f]'").select("path", F.explode(F.sequence("line", "end_line")).alias("n")).distinct()
-    docs = t.where("kind = 'doc_comment'").select("path", F.explode(F.sequence("line", "end_line")).alias("n")).distinct()
-    remarks = t.where("kind = 'comment'").select("path", F.explode(F.sequence("line", "end_line")).alias("n")).distinct().join(docs, ["path", "n"], "left_anti")
+    than comments, and distinct lines of comments that document nothing; without
+    the lines (path, n) that are ``gone``."""
+
+    def lines_of(rows: DataFrame) -> DataFrame:
+        out = rows.select("path", F.explode(F.sequence("line", "end_line")).alias("n")).distinct()
+        return out if gone is None else out.join(gone, ["path", "n"], "left_anti")
+
+    code = lines_of(t.where("kind in ('code', 'string') and text rlike '[^ \\t\\r\\n\\f]'"))
+    docs = lines_of(t.where("kind = 'doc_comment'"))
+    remarks = lines_of(t.where("kind = 'comment'")).join(docs, ["path", "n"], "left_anti")
     count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
-    out = files.select("path", line_count(F.col("text")).alias("all")).join(count(code, "code_lines"), "path", "left").join(count(remarks, "comment_lines"), "path", "left")
+    out = measured.select("path", F.col("file_lines").alias("all")).join(count(code, "code_lines"), "path", "left").join(count(remarks, "comment_lines"), "path", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("path", zero("code_lines"), zero("comment_lines"), F.when(F.col("all") > 0, F.coalesce("comment_lines", F.lit(0)) / F.col("all")).otherwise(0.0).alias("comment_ratio"))
 

@@ -30,21 +30,21 @@ def lone_owners(declared: DataFrame, implemented: DataFrame, local: DataFrame) -
     return found.join(local, ["type", "root"], "left_semi")
 
 
-def reaching(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
+def reaching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes from which a seed is reached along (caller, callee). Each round adds the
     callers of what the last round added, and is cut off by a checkpoint in the
-    shared folder; cycles end it as they add nothing."""
+    shared folder; it ends when a round adds nothing, as one does sooner or later, since
+    nodes are added once."""
     shared_root(edges.sparkSession)
     edges = edges.select("caller", "callee").distinct().checkpoint()
     known = seeds.select(F.col("node")).distinct().checkpoint()
     fresh = known
-    for _ in range(max_rounds):
+    while True:
         callers = edges.join(fresh, edges["callee"] == fresh["node"]).select(F.col("caller").alias("node")).distinct()
         fresh = callers.join(known, "node", "left_anti").checkpoint()
         if not fresh.take(1):
             return known
         known = known.unionByName(fresh).checkpoint()
-    raise RuntimeError("no end after max_rounds")
 
 
 def unasserted(tests: DataFrame, calls: DataFrame, asserting: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import byte_column, glob_regex, keyed, matches, test_path
+from corpusmill.functions.text import byte_column, glob_regex, keyed, matches, split_lines, test_path
 from corpusmill.plans.rules import Rule
 
 KEY = ("rule_id", "path", "line", "column")
@@ -27,28 +27,86 @@ def _of_rule(found: Column, i: int) -> Column:
     return F.transform(found, lambda m: F.struct(F.lit(i).alias("rule"), m["at"].alias("at"), m["text"].alias("text")))
 
 
-def scan(all_lines: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
-    """(path, lang, rule_id, severity, category, message, line, column,
-    end_column, matched_text, seq): every match of every rule, in one pass over the
-    lines. ``seq`` is the place of a finding in its file, by line and rule. Columns
-    named in ``keep`` stay."""
+def _with_patterns(rules: Sequence[Rule]) -> list[Rule]:
     rules = [r for r in rules if r.pattern]
     if not rules:
         raise ValueError("no rule with a pattern")
+    return rules
+
+
+def _applies(rules: Sequence[Rule]) -> Column:
+    """Per rule, whether it looks at the file."""
+    return F.array(*[F.coalesce(where_applies(r), F.lit(False)) for r in rules])
+
+
+def _any(rules: Sequence[Rule]) -> str:
+    return "|".join(f"(?:{r.pattern})" for r in rules)
+
+
+def _found(text: Column, on: Column, rules: Sequence[Rule]) -> Column:
+    """(rule, at, text) of every match in a line. Places are worked out for rules that
+    match at all."""
     found = []
     for i, r in enumerate(rules):
-        hits = F.when(where_applies(r) & (~F.col("text").rlike(r.unless) if r.unless else F.lit(True)), matches(F.col("text"), r.pattern))
-        found.append(_of_rule(F.coalesce(hits, F.array().cast("array<struct<at:int,text:string>>")), i))
-    told = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.message).alias("message")) for r in rules])
-    some = all_lines.where(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)))
-    rows = some.select("path", "lang", "line", "text", *keep, F.explode(F.flatten(F.array(*found))).alias("m")).withColumn("r", F.element_at(told, F.col("m.rule") + 1))
-    at, text = F.col("m.at"), F.col("m.text")
-    return rows.select(
-        "path", "lang", "r.rule_id", "r.severity", "r.category", "r.message", "line", byte_column(F.col("text"), at).alias("column"),
-        byte_column(F.col("text"), at + F.length(text)).alias("end_column"), text.alias("matched_text"), (F.col("line") * len(rules) + F.col("m.rule")).alias("seq"), *keep,
+        hit = on[i] & text.rlike(r.pattern)
+        found.append(F.when(hit & ~text.rlike(r.unless) if r.unless else hit, _of_rule(matches(text, r.pattern), i)))
+    return F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
+
+
+def _told(rules: Sequence[Rule]) -> Column:
+    return F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.message).alias("message")) for r in rules])
+
+
+def _finding(line: Column, text: Column, m: Column, rules: Sequence[Rule], *more: Column) -> Column:
+    r = F.element_at(_told(rules), m["rule"] + 1)
+    return F.struct(
+        *[r[c].alias(c) for c in ("rule_id", "severity", "category", "message")], line.cast("long").alias("line"), byte_column(text, m["at"]).alias("column"),
+        byte_column(text, m["at"] + F.length(m["text"])).alias("end_column"), m["text"].alias("matched_text"), (line * len(rules) + m["rule"]).cast("long").alias("seq"), *more,
     )
 
 
+def file_findings(files: DataFrame, rules: Sequence[Rule], context: int | None = None, region: int | None = None) -> DataFrame:
+    """``files`` with the text replaced by ``findings``, an array of all matches of all
+    rules; within a row, so nothing is shuffled. ``seq`` is the place of a finding in its
+    file, by line and rule. ``context`` asks for the trimmed lines within that many
+    lines, joined by line ends, ``region`` for the lines with their numbers; both are cut
+    out where the finding is made, while the file's lines are at hand."""
+    rules = _with_patterns(rules)
+    rest = [c for c in files.columns if c != "text"]
+    rows = files.select(*rest, split_lines(F.col("text")).alias("_lines"), _applies(rules).alias("_on"))
+
+    def around(line: Column, reach: int, show) -> Column:
+        low = F.greatest(line - reach, F.lit(1)).cast("int")
+        return F.array_join(F.transform(F.slice("_lines", low, (line + reach - low + 1).cast("int")), lambda x, i: show(x, low + i)), "\n")
+
+    def of_line(s: Column) -> Column:
+        more = [] if context is None else [around(s["line"], context, lambda x, n: F.trim(x)).alias("context")]
+        more += [] if region is None else [around(s["line"], region, lambda x, n: F.concat(n.cast("string"), F.lit(": "), x)).alias("region")]
+        return F.transform(_found(s["text"], F.col("_on"), rules), lambda m: _finding(s["line"], s["text"], m, rules, *more))
+
+    numbered = F.transform("_lines", lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("text")))
+    some = F.filter(numbered, lambda s: s["text"].rlike(_any(rules)))
+    return rows.select(*rest, F.flatten(F.transform(some, of_line)).alias("findings"))
+
+
+def scan_files(files: DataFrame, rules: Sequence[Rule], context: int | None = None, region: int | None = None) -> DataFrame:
+    """A row per finding: the columns of ``files`` but the text, and rule_id, severity,
+    category, message, line, column, end_column, matched_text, seq, and what is asked for."""
+    found = file_findings(files, rules, context, region)
+    rest = [c for c in found.columns if c != "findings"]
+    return found.select(*rest, F.explode("findings").alias("f")).select(*rest, "f.*")
+
+
+def scan(all_lines: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+    """As ``scan_files``, from rows (path, lang, line, text) of lines or of tokens.
+    Columns named in ``keep`` stay."""
+    rules = _with_patterns(rules)
+    text = F.col("text")
+    some = all_lines.where(text.rlike(_any(rules))).withColumn("_on", _applies(rules))
+    rows = some.select("path", "lang", *keep, F.explode(F.transform(_found(text, F.col("_on"), rules), lambda m: _finding(F.col("line"), text, m, rules))).alias("f"))
+    return rows.select("path", "lang", "f.*", *keep)
+
+
 def normalised(findings: DataFrame) -> DataFrame:
     """Of findings of one rule at one place the first emitted stays."""
     first = Window.partitionBy(*KEY).orderBy("seq", "matched_text")
@@ -106,6 +164,24 @@ def baseline_of(findings: DataFrame) -> DataFrame:
     return findings.select("hash", "rule_id", "path").orderBy("path", "rule_id", "hash")
 
 
+BASELINE_VERSION = 1
+
+
+def write_baseline(findings: DataFrame, path: str) -> None:
+    """A baseline as JSON lines, each with the format's version; in files, for a
+    repository of any size."""
+    baseline_of(findings).select(F.lit(BASELINE_VERSION).alias("version"), "hash", "rule_id", "path").write.json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, rule_id, path) of a written baseline; another version's is refused, as its
+    hashes may be of other things."""
+    rows = spark.read.schema("version int, hash string, rule_id string, path string").json(path)
+    if other := rows.where(~F.col("version").eqNullSafe(BASELINE_VERSION)).take(1):
+        raise ValueError(f"a baseline of version {other[0]['version']}; this reads version {BASELINE_VERSION}")
+    return rows.drop("version")
+
+
 def beyond_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Multiset difference: of equal hashes, as many are dropped as the baseline
     holds, the first by place."""

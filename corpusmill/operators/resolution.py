@@ -22,7 +22,7 @@ def unresolved(references: DataFrame, builtins: DataFrame, local: DataFrame, dec
     governing manifest declares, nor one of its alias prefixes. A file without a
     manifest (``dir`` null) has no unresolved references."""
     out = references.where(F.col("dir").isNotNull())
-    out = out.join(F.broadcast(builtins.select("name")), "name", "left_anti")
+    out = out.join(builtins.select("name"), "name", "left_anti")
     out = out.join(local.select("path", "name"), ["path", "name"], "left_anti")
     out = out.join(declared.select("dir", "name"), ["dir", "name"], "left_anti")
     if aliases is not None:
@@ -32,6 +32,7 @@ def unresolved(references: DataFrame, builtins: DataFrame, local: DataFrame, dec
     return out
 
 
+#: Endings under which an import finds a file.
 EXTENSIONS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".json", "/index.ts", "/index.tsx", "/index.js")
 
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import keyed, strip_control
+from corpusmill.shared import written
 
 
 def capped(candidates: DataFrame, most: int, order: tuple[str, ...] = ("path", "line", "column", "rule_id")) -> DataFrame:
     """Adds ``sent``: the first ``most`` candidates in order go to the model, the
     rest are returned unverified. The limit is that of a budget for calls; it is
     found by a top-k, not by ordering all."""
+    candidates = written(candidates)  # found once; the limit's place, its ties and the result all start from the files
     first = candidates.select(*order).orderBy(*order).limit(most)
     last = first.agg(F.max(F.struct(*order)).alias("last"), F.count("*").alias("n")).first()
     if last["n"] < most:
@@ -22,9 +24,9 @@ def capped(candidates: DataFrame, most: int, order: tuple[str, ...] = ("path", "
     bound = F.struct(*[F.lit(last["last"][c]).cast(candidates.schema[c].dataType).alias(c) for c in order])
     ties = Window.partitionBy(*order).orderBy(F.lit(1))
     below = F.struct(*order) < bound
-    edge = F.struct(*order) == bound
     room = most - candidates.where(below).count()
-    return candidates.withColumn("sent", below | (edge & (F.row_number().over(ties) <= room)))
+    edge = candidates.where(F.struct(*order) == bound).withColumn("sent", F.row_number().over(ties) <= room)
+    return candidates.where(F.struct(*order) != bound).withColumn("sent", below).unionByName(edge)
 
 
 def islands(at: DataFrame, reach: int) -> DataFrame:
@@ -39,26 +41,27 @@ def islands(at: DataFrame, reach: int) -> DataFrame:
 
 def clusters(at: DataFrame, reach: int = 25, most: int = 8, most_lines: int = 200) -> DataFrame:
     """As ``islands``, but a cluster holds up to ``most`` places and ``most_lines``
-    lines. That makes it a greedy walk, done per island: no cluster crosses one."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, start, end, n = [], 0, 0, 0
-        for line in sorted(pdf["line"]):
-            lo, hi = max(1, line - reach), line + reach
-            if n and lo <= end and n < most and hi - start + 1 <= most_lines:
-                end, n = max(end, hi), n + 1
-            else:
-                if n:
-                    rows.append((start, end, n))
-                start, end, n = lo, hi, 1
-        rows.append((start, end, n))
-        return pd.DataFrame(rows, columns=["start", "end", "n"]).assign(path=pdf["path"].iloc[0])[["path", "start", "end", "n"]]
-
+    lines. That makes it a greedy walk over the lines of an island in order, as a fold:
+    no cluster crosses an island, and an island lies in one file."""
     w = Window.partitionBy("path").orderBy("line", "column")
     before = F.max(F.col("line") + reach).over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = at.select("path", "line", "column").withColumn("new", F.when(F.greatest(F.col("line") - reach, F.lit(1)) <= before, 0).otherwise(1))
     told = opened.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return told.groupBy("path", "island").applyInPandas(walk, "path string, start long, end long, n long")
+    long = lambda x: F.lit(x).cast("long")
+
+    def step(s: Column, line: Column) -> Column:
+        low, high = F.greatest(line - reach, long(1)), line + reach
+        fits = (s["n"] > 0) & (low <= s["end"]) & (s["n"] < most) & (high - s["start"] + 1 <= most_lines)
+        ended = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["n"].alias("n")))
+        return F.struct(
+            F.when(fits, s["start"]).otherwise(low).alias("start"), F.when(fits, F.greatest(s["end"], high)).otherwise(high).alias("end"),
+            F.when(fits, s["n"] + 1).otherwise(long(1)).alias("n"), F.when(fits | (s["n"] == 0), s["out"]).otherwise(F.concat(s["out"], ended)).alias("out"),
+        )
+
+    none = F.struct(long(0).alias("start"), long(0).alias("end"), long(0).alias("n"), F.array().cast("array<struct<start:bigint,end:bigint,n:bigint>>").alias("out"))
+    last = lambda s: F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["n"].alias("n"))))
+    places = told.groupBy("path", "island").agg(F.sort_array(F.collect_list(F.col("line").cast("long"))).alias("lines"))
+    return places.select("path", F.explode(F.aggregate("lines", none, step, last)).alias("c")).select("path", "c.*")
 
 
 def verdict_keys(candidates: DataFrame) -> DataFrame:

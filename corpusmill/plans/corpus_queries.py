@@ -11,7 +11,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import crossfile, findings, fixes, lines, metrics, resolution, review
 from corpusmill.plans.rules import TEXT_RULES, active, suggest
 from corpusmill.sources import sinks
-from corpusmill.sources.tables import documents, table
+from corpusmill.sources.tables import documents, spread, table
 from corpusmill.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +72,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
-    return findings.scan(_lines(spark, sf), PATTERNS)
+    return findings.scan_files(documents(spark, sf), PATTERNS)
 
 
 def _directives(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,18 +227,18 @@ SELECT p.path, p.line, string_agg(trim(l.text, ' '), chr(10) ORDER BY l.line) AS
 
 @query(_context_sql(2))
 def context_window_2(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.context(_found(spark, sf).select("path", "line").distinct(), _lines(spark, sf), 2)
+    return findings.scan_files(documents(spark, sf), PATTERNS, context=2).select("path", "line", "context").distinct()
 
 
 @query(_context_sql(25))
 def context_window_25(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.context(_found(spark, sf).select("path", "line").distinct(), _lines(spark, sf), 25)
+    return findings.scan_files(documents(spark, sf), PATTERNS, context=25).select("path", "line", "context").distinct()
 
 
 @query(f"""{FOUND}, p AS (SELECT DISTINCT path, line FROM found WHERE severity = 'error')
 SELECT p.path, p.line, string_agg(l.line || ': ' || l.text, chr(10) ORDER BY l.line) AS region FROM p JOIN l ON p.path = l.path AND l.line BETWEEN p.line - 3 AND p.line + 3 GROUP BY p.path, p.line""")
 def numbered_region(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.numbered(_found(spark, sf).where("severity = 'error'"), _lines(spark, sf), 3)
+    return findings.scan_files(documents(spark, sf), [r for r in PATTERNS if r.severity == "error"], region=3).select("path", "line", "region").distinct()
 
 
 ISLANDS = f"""{FOUND}, o AS (SELECT path, line, "column", CASE WHEN greatest(line - 2, 1) <= max(line + 2) OVER (PARTITION BY path ORDER BY line, "column" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM found),
@@ -250,9 +250,13 @@ def cluster_islands(spark: SparkSession, sf: str) -> DataFrame:
     return review.islands(_found(spark, sf), 2).drop("cluster")
 
 
-@query()
+@query(f"""RECURSIVE {FOUND}, o AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) AS k FROM found),
+w AS (SELECT path, k, greatest(line - 2, 1) AS s, line + 2 AS e, 1::BIGINT AS n, 1 AS c FROM o WHERE k = 1
+UNION ALL SELECT o.path, o.k, CASE WHEN fits THEN s ELSE low END, CASE WHEN fits THEN greatest(e, high) ELSE high END, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN fits THEN c ELSE c + 1 END
+  FROM (SELECT o.path, o.k, w.s, w.e, w.n, w.c, greatest(o.line - 2, 1) AS low, o.line + 2 AS high, greatest(o.line - 2, 1) <= w.e AND w.n < 8 AND o.line + 2 - w.s + 1 <= 20 AS fits FROM w JOIN o ON o.path = w.path AND o.k = w.k + 1) o)
+SELECT path, max(s) AS start, max(e) AS "end", max(n) AS n FROM w GROUP BY path, c""")
 def cluster_capped(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy clusters with caps; a walk, so tested against a plain version."""
+    """Greedy clusters of at most 8 places and 20 lines."""
     return review.clusters(_found(spark, sf), 2, 8, 20)
 
 
@@ -262,7 +266,7 @@ h AS (SELECT *, sha256(rule_id || chr(0) || path || chr(0) || trim(matched_text,
 
 
 def _hashed(spark: SparkSession, sf: str) -> DataFrame:
-    return findings.hashed(lines.context(_found(spark, sf), _lines(spark, sf), 2))
+    return findings.hashed(findings.scan_files(documents(spark, sf), PATTERNS, context=2))
 
 
 @query(f'{CONTEXTS} SELECT path, rule_id, line, "column", hash FROM h')
@@ -573,13 +577,103 @@ def streamed_findings(spark: SparkSession, sf: str) -> DataFrame:
         from corpusmill.sources.tables import document_path
 
         files = batch.where("text is not null").select(document_path().alias("path"), "lang", "text")
-        findings.scan(lines.lines(files), PATTERNS).select(*COLUMNS).write.mode("overwrite").parquet(f"{out}/found/batch={n}")
+        findings.scan_files(files, PATTERNS).select(*COLUMNS).write.mode("overwrite").parquet(f"{out}/found/batch={n}")
 
     source = spark.readStream.schema(raw.schema).parquet(f"{sf}/documents.parque[t]")  # as a pattern, which a file and a folder both match
     incremental.run_once(source, each, f"{out}/state")
     return spark.read.parquet(f"{out}/found").select(*COLUMNS)
 
 
+@query(f"{FOUND} SELECT {COLS} FROM found")
+def cached_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same findings from a cache that a scan of other files has left: entries of
+    files that are as they were stay, the others are scanned, those that are gone go."""
+    from corpusmill.shared import written
+
+    files = documents(spark, sf)
+    cache = written(incremental.cached_scan(_old(files), None, PATTERNS))
+    return incremental.cached_findings(written(incremental.cached_scan(files, cache, PATTERNS))).select(*COLUMNS)
+
+
+@query(f"""{CONTEXTS}, b AS (SELECT hash, count(*) AS held FROM h WHERE line % 2 = 0 GROUP BY hash),
+n AS (SELECT h.*, row_number() OVER (PARTITION BY hash ORDER BY path, line, "column") AS nth FROM h)
+SELECT path, rule_id, line, "column", n.hash FROM n LEFT JOIN b ON n.hash = b.hash WHERE nth > coalesce(held, 0)""")
+def baseline_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings beyond a baseline that was written to a file and read again."""
+    from corpusmill.shared import shared_dir, written
+
+    path, now = f"{shared_dir(spark)}/baseline", written(_hashed(spark, sf))
+    findings.write_baseline(now.where("line % 2 = 0"), path)
+    return findings.beyond_baseline(now, findings.read_baseline(spark, path)).select("path", "rule_id", "line", "column", "hash")
+
+
+# Sources made of the parts table, a Rust file a part, for the operators on code.
+SOURCES = """src AS (SELECT p_partkey, 'src/p' || p_partkey || '.rs' AS path, p_name, p_brand, p_type, p_size, p_size % 2 = 0 AS checked,
+  'impl Priced for P' || p_partkey || ' { fn price(&self) -> f64 { ' || p_size || '.0 } } ' AS body FROM part)"""
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    key, even = F.col("p_partkey").cast("string"), F.col("p_size") % 2 == 0
+    text = F.concat(
+        F.lit("/// "), "p_name", F.lit("\npub struct P"), key, F.lit(";\nimpl Priced for P"), key, F.lit(" { fn price(&self) -> f64 { "), F.col("p_size").cast("string"), F.lit(".0 } } // TODO "), "p_brand",
+        F.lit('\nconst KIND: &str = "'), "p_type", F.lit(' // {";\n#[cfg(test)]\nmod tests {\n'), F.when(even, "    fn check() { price().unwrap(); }\n").otherwise(""), F.lit("}\nfn last() { x.unwrap(); }\n"),
+    )
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(F.concat(F.lit("src/p"), key, F.lit(".rs")).alias("path"), F.lit("rust").alias("lang"), text.alias("text"))
+
+
+@query(f"""{SOURCES} SELECT path, 'doc_comment' AS kind, '/// ' || p_name AS text, 1 AS line, 1 AS "column" FROM src
+UNION ALL SELECT path, 'comment', '// TODO ' || p_brand, 3, strlen(body) + 1 FROM src
+UNION ALL SELECT path, 'string', '"' || p_type || ' // {{"', 4, 20 FROM src""")
+def code_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments and strings of sources, with their places."""
+    from corpusmill.operators import code
+
+    return code.tokens(_sources(spark, sf)).where("kind != 'code'").select("path", "kind", "text", "line", "column")
+
+
+@query(f"""{SOURCES} SELECT path, 2 AS line, 'type' AS kind, 'P' || p_partkey AS name, '' AS of FROM src
+UNION ALL SELECT path, 3, 'impl', 'Priced', 'P' || p_partkey FROM src UNION ALL SELECT path, 3, 'function', 'price', '' FROM src UNION ALL SELECT path, 6, 'mod', 'tests', '' FROM src
+UNION ALL SELECT path, 7, 'function', 'check', '' FROM src WHERE checked UNION ALL SELECT path, CASE WHEN checked THEN 9 ELSE 8 END, 'function', 'last', '' FROM src""")
+def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Types, implementations, modules and functions that sources declare."""
+    from corpusmill.operators import code
+
+    return code.symbols(lines.lines(code.blanked(code.tokens(_sources(spark, sf)))))
+
+
+@query(f"""{SOURCES} SELECT path, depth, start, "end" FROM (
+SELECT path, 0 AS depth, 3 AS start, 3 AS "end" FROM src UNION ALL SELECT path, 1, 3, 3 FROM src UNION ALL SELECT path, 0, 6, CASE WHEN checked THEN 8 ELSE 7 END FROM src
+UNION ALL SELECT path, 1, 7, 7 FROM src WHERE checked UNION ALL SELECT path, 0, CASE WHEN checked THEN 9 ELSE 8 END, CASE WHEN checked THEN 9 ELSE 8 END FROM src)""")
+def code_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of braces by depth and lines; braces in strings don't count."""
+    from corpusmill.operators import code
+
+    return code.blocks(code.tokens(_sources(spark, sf))).select("path", "depth", "start", "end")
+
+
+@query(f"""{SOURCES} SELECT path, 'open-task' AS rule_id, 'warning' AS severity, 3 AS line, strlen(body) + 4 AS "column", 'TODO' AS matched_text FROM src
+UNION ALL SELECT path, 'unwrap', 'error', CASE WHEN checked THEN 9 ELSE 8 END, 14, '.unwrap()' FROM src""")
+def code_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of rules on comments and on code; what stands in tests isn't one."""
+    from corpusmill.operators import code
+    from corpusmill.plans.code_rules import CODE_RULES
+
+    rules = [r for r in CODE_RULES if r.id in ("open-task", "unwrap", "dash-in-comment")]
+    return code.scan_code(_sources(spark, sf), rules).select("path", "rule_id", "severity", "line", "column", "matched_text")
+
+
+@query(f"""{SOURCES} SELECT path, 4::BIGINT AS code_lines, 1::BIGINT AS comment_lines, 2::BIGINT AS function_count, 5::BIGINT AS file_lines, 0.2::DOUBLE AS comment_ratio FROM src""")
+def code_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of sources without the lines of their tests."""
+    from corpusmill.operators import code
+    from corpusmill.shared import written
+
+    files = _sources(spark, sf)
+    t = written(code.tokens(files))
+    tests = code.test_ranges(lines.lines(code.blanked(t)), code.blocks(t))
+    return code.code_metrics(files, t, tests).select("path", "code_lines", "comment_lines", "function_count", "file_lines", "comment_ratio")
+
+
 def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query: findings less what directives switch off, one for each
     place, escalated by their number."""

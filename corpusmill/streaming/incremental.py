@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import keyed
+from corpusmill.operators.findings import file_findings
+from corpusmill.plans.rules import Rule
 
 
 def rules_hash(rules) -> str:
@@ -31,6 +33,23 @@ def split(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return misses, hits
 
 
+def cached_scan(files: DataFrame, cache: DataFrame | None, rules: Sequence[Rule]) -> DataFrame:
+    """The new cache (stamp, path, lang, findings): the entries of files that are as they
+    were, and those of the others, which alone are scanned. Entries of files that are
+    gone aren't in it. What is cached is each file's own matches; what depends on other
+    files or on numbers (escalation, cross-file checks, baselines) is worked out from
+    ``cached_findings`` each time and never stored."""
+    now = stamped(files.select("path", "lang", "text"), rules_hash(rules))
+    if cache is None:
+        return file_findings(now, rules).select("stamp", "path", "lang", "findings")
+    misses, hits = split(now, cache)
+    return hits.select("stamp", "path", "lang", "findings").unionByName(file_findings(misses, rules).select("stamp", "path", "lang", "findings"))
+
+
+def cached_findings(cache: DataFrame) -> DataFrame:
+    return cache.select("path", "lang", F.explode("findings").alias("f")).select("path", "lang", "f.*")
+
+
 def pruned(cache: DataFrame, files: DataFrame) -> DataFrame:
     """Entries whose file is still there as it was."""
     return cache.join(files.select("stamp"), "stamp", "left_semi")

@@ -236,11 +236,11 @@ def test_code_rules(spark):
     rules = R.active(CODE_RULES)
     rows = code.scan_code(df, rules).collect()
     got = {(r["path"], r["rule_id"], r["line"]) for r in rows}
-    rust = {("open-task", 3), ("open-task", 5), ("vague-doc", 2), ("doc-of-kind", 2), ("unwrap", 3), ("dash-in-comment", 3), ("cloud-token", 5), ("debug-macro", 5), ("hedged-comment", 6), ("dropped-result", 11)}
+    rust = {("open-task", 3), ("open-task", 5), ("vague-doc", 2), ("doc-opens-with-kind", 2), ("unwrap", 3), ("dash-in-comment", 3), ("cloud-token", 5), ("debug-macro", 5), ("hedged-comment", 6), ("dropped-result", 11)}
     # A line with an exempt call is exempt as a whole.
     assert {(i, n) for p, i, n in got if p == "src/a.rs"} == rust - {("dropped-result", 11)}
     assert {(i, n) for p, i, n in got if p == "src/b.ts"} == {("any-type", 2), ("double-cast", 2), ("open-task", 2), ("query-by-text", 3), ("plain-sort", 3), ("local-mock", 3), ("evaluated-text", 3)}
-    assert {i for p, i, _ in got if p == "tests/a.rs"} == {"vague-doc", "doc-of-kind"}
+    assert {i for p, i, _ in got if p == "tests/a.rs"} == {"vague-doc", "doc-opens-with-kind"}
     for r in rows:  # every place is where the text is, in bytes
         text = next(t for p, t in (("src/a.rs", SAMPLE), ("src/b.ts", ts), ("tests/a.rs", SAMPLE)) if p == r["path"])
         line = text.split("\n")[r["line"] - 1].encode()
