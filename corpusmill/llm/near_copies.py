@@ -14,8 +14,9 @@ set aren't, which adds keys in common (none of 4000 random pairs was missed at 1
 No bucket is capped. First each text of a bucket meets the bucket's smallest one.
 Where that leaves a bucket in more than one component, all its pairs across
 components meet, unless fewer than ``LIKE`` of their 36 min-hashes are equal (a pair
-at 0.8 has 29 on average, with a deviation of 2.4, or 3.4 at 18 shingles). That second step can grow with
-the square of a bucket of texts that share a key, but are no near copies.
+at 0.8 has 29 on average, with a deviation of 2.4, or 3.4 at 18 shingles). That
+second step can grow with the square of a bucket of texts that share a key, but are
+no near copies.
 
 Defined cases: words are told apart by ASCII white space and compared in lower
 case; a text of fewer than five words is one shingle; null counts as empty; texts
@@ -69,7 +70,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     first = F.zip_with(before, "set", lambda a, b: F.when(a.isNull() | (_place(a) != _place(b)), b))
     firsts = ordered.select("text_key", F.xxhash64("set").alias("node"), n.alias("n"), F.filter(first, lambda x: x.isNotNull()).alias("firsts"))
     at = F.sequence(F.lit(-POINTS // 2), F.lit(POINTS // 2 - 1))
-    follows = F.transform(at, lambda k: F.coalesce(F.filter("firsts", lambda x: _place(x) >= k)[0], F.col("firsts")[0]))
+    follows = F.transform(at, lambda k: F.coalesce(F.get(F.filter("firsts", lambda x: _place(x) >= k), F.lit(0)), F.get("firsts", F.lit(0))))
     return firsts.select("text_key", "node", "n", follows.alias("hashes"))
 
 
