@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import chunk_store, iso_media, langid, line_frequency, mixing, pipeline, rollups, rule_ensemble, simhash, unigram, warc
 from corpusmill.shared import shared_dir, written
+from corpusmill.sources.tables import spread
 from corpusmill.llm.tokenizer_files import BYTE_BPE, PIECES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,30 @@ def test_broken_commit_leaves_nothing(spark):
     except Exception:
         pass
     assert r.batches() == [] and r.commit("1", rollups.inserts(a)) and totals(r) == {("s", "en", "v1"): (1, 5)}
+
+
+def test_compaction(spark):
+    a = spark.createDataFrame([("s", "en", "v1", 5), ("t", "en", "v1", 2)], ROW)
+    r = rollups.Rollup(spark, shared_dir(spark))
+    assert r.compact() and totals(r) == {}
+    assert r.commit("1", rollups.inserts(a)) and r.commit("2", rollups.inserts(a)) and r.compact()
+    assert totals(r) == {("s", "en", "v1"): (2, 10), ("t", "en", "v1"): (2, 4)}
+    assert not r.commit("1", rollups.inserts(a)) and r.commit("3", rollups.deletes(a))
+    assert totals(r) == {("s", "en", "v1"): (1, 5), ("t", "en", "v1"): (1, 2)} and len(r._parts()[1]) == 2
+    assert r.compact() and len(r._parts()[1]) == 1 and r.batches() == ["1", "2", "3"]
+    assert totals(rollups.Rollup(spark, r.path)) == {("s", "en", "v1"): (1, 5), ("t", "en", "v1"): (1, 2)}
+
+
+def test_competing_commits(spark):
+    """The marker that is there first counts; an empty one counts for nothing."""
+    a = spark.createDataFrame([("s", "en", "v1", 5)], ROW)
+    r = rollups.Rollup(spark, shared_dir(spark))
+    assert r._put("commits/id=x", "one") and not r._put("commits/id=x", "two") and r._said("commits/id=x") == "one"
+    r._fs.create(r._path(f"{r.path}/commits/id=y"), False).close()
+    assert "y" not in r.batches() and r.commit("y", rollups.inserts(a)) and not r.commit("y", rollups.inserts(a))
+
+
+def test_clashing_names(spark):
+    a = spark.createDataFrame([("s", "en", "v1", 5)], ROW).selectExpr("*", "1 as sign", "2 as n_docs", "3 as attempt")
+    r = rollups.Rollup(spark, shared_dir(spark))
+    assert r.commit("1", rollups.inserts(a)) and totals(r) == {("s", "en", "v1"): (1, 5)}
