@@ -11,12 +11,15 @@ probability of 0.9998 if the places were independent; neighbouring ones of a sma
 set aren't, which adds keys in common (none of 4000 random pairs was missed at 18,
 46, 92 and 300 shingles each). Every candidate is then decided by its exact similarity.
 
-No bucket is capped. First each text of a bucket meets the bucket's smallest one.
-Where that leaves a bucket in more than one component, all its pairs across
-components meet, unless fewer than ``LIKE`` of their 36 min-hashes are equal (a pair
-at 0.8 has 29 on average, with a deviation of 2.4, or 3.4 at 18 shingles). That
-second step can grow with the square of a bucket of texts that share a key, but are
-no near copies.
+No bucket is capped. First each text of a bucket meets the bucket's smallest one,
+unless fewer than ``LIKE`` of their 36 min-hashes are equal (a pair at 0.8 has 29 on
+average, with a deviation of 2.4, or 3.4 at 18 shingles). Texts of buckets which that
+leaves in more than one component are then joined exactly, by the prefix filter: of a
+set in order of the shingles' frequency among these texts, rarest first, two sets at
+0.8 have a shingle in common within the first fifth (and one) of either, and their
+first common one leaves enough after it. Passages that many texts share come last
+in that order and make no pairs; what meets are components that share a rare shingle,
+so pairs grow with the square of the components at one, not of a bucket.
 
 Defined cases: words are told apart by ASCII white space and compared in lower
 case; a text of fewer than five words is one shingle; null counts as empty; texts
@@ -69,9 +72,11 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     before = F.concat(F.array(F.lit(None).cast("long")), F.slice("set", F.lit(1), n - 1))
     first = F.zip_with(before, "set", lambda a, b: F.when(a.isNull() | (_place(a) != _place(b)), b))
     firsts = ordered.select("text_key", F.xxhash64("set").alias("node"), n.alias("n"), F.filter(first, lambda x: x.isNotNull()).alias("firsts"))
-    at = F.sequence(F.lit(-POINTS // 2), F.lit(POINTS // 2 - 1))
-    follows = F.transform(at, lambda k: F.coalesce(F.get(F.filter("firsts", lambda x: _place(x) >= k), F.lit(0)), F.get("firsts", F.lit(0))))
-    return firsts.select("text_key", "node", "n", follows.alias("hashes"))
+    # Each stands for the places after the one before it, and the first also for those after the last.
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("firsts", F.lit(1), F.size("firsts") - 1))
+    own = F.zip_with(before, "firsts", lambda a, b: F.array_repeat(b, (_place(b) - F.coalesce(_place(a), F.lit(-POINTS // 2 - 1))).cast("int")))
+    after = F.array_repeat(F.get("firsts", F.lit(0)), (F.lit(POINTS // 2 - 1) - _place(F.element_at("firsts", -1))).cast("int"))
+    return firsts.select("text_key", "node", "n", F.concat(F.flatten(own), after).alias("hashes"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -82,6 +87,45 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return one.join(a, "a").where(9 * F.size(F.array_intersect("set_a", "set_b")) >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``pairs`` of nodes (a, b) whose sizes and min-hashes leave a similarity of 0.8 open."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
+    sizes = (5 * F.col("a_n") >= 4 * F.col("b_n")) & (5 * F.col("b_n") >= 4 * F.col("a_n"))
+    equal = F.size(F.filter(F.zip_with("a_hashes", "b_hashes", lambda x, y: x == y), lambda x: x))
+    # Written before each join, as in ``similar``.
+    return written(written(pairs).join(b, "b")).join(a, "a").where(sizes & (equal >= LIKE)).select("a", "b")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(shingle, node, root, n, place): of each set (node, root, set) the shingles among the
+    first n - ceil(4 n / 5) + 1 by frequency in ``sets``, and their places in that order,
+    from 0. Shingles of one set alone hold the first places and are left out."""
+    each = sets.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    often = written(each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"))
+    known = each.join(often, "shingle").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("known"))
+    alone = F.col("n") - F.size("known")
+    length = F.greatest(F.floor(F.col("n") / 5) + 1 - alone, F.lit(0)).cast("int")
+    cut = known.select("node", "root", "n", alone.alias("alone"), F.posexplode(F.slice("known", F.lit(1), length)).alias("i", "x"))
+    return cut.select(F.col("x.shingle").alias("shingle"), "node", "root", "n", (F.col("alone") + F.col("i")).alias("place"))
+
+
+def across(sets: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b; a < b) of different roots that the prefix filter leaves, of ``sets``
+    (node, root, set). The smaller set of a pair has the shingle within its first ninth, and
+    the larger is of the same class of sizes or the next. Roots meet first, so that nodes of
+    one root don't."""
+    keys = written(prefixes(sets).withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25)))))
+    a, b = (keys.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "n", "place", "class")]) for x in "ab")
+    a = a.where("9 * a_place <= a_n").withColumn("b_class", F.explode(F.array(F.col("a_class"), F.col("a_class") + 1))).drop("a_class")
+    own = [x.select("shingle", f"{c}_root", "b_class").distinct() for c, x in (("a", a), ("b", b))]
+    meet = written(own[0].join(written(own[1]), ["shingle", "b_class"]).where("a_root != b_root"))
+    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
+    found = meet.join(a, ["shingle", "a_root", "b_class"]).join(b, ["shingle", "b_root", "b_class"])
+    found = found.where(order & (9 * left >= 4 * (F.col("a_n") + F.col("b_n"))))
+    return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def roots(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the nodes that have near copies with other shingle sets."""
     nodes = written(rows.groupBy("node").agg(F.first("text_key").alias("text_key"), F.first("n").alias("n"), F.first("hashes").alias("hashes")))
@@ -92,16 +136,12 @@ def roots(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     which = written(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "text_key"))
     sets = written(_with_shingles(written(_texts(docs, text).join(which, "text_key").select("node", "t").dropDuplicates(["node"]))))
     first = met.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(similar(first, sets))
+    links = written(similar(alike(first, nodes), sets))
     # What the first step left apart.
-    named = written(met.join(connected(links), "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
+    named = written(met.join(connected(links), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
     split = written(named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band"))
-    apart = written(named.join(split, "band").join(nodes.select("node", "hashes"), "node"))
-    a, b = (apart.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "root", "hashes")]) for x in "ab")
-    like = F.size(F.filter(F.zip_with("a_hashes", "b_hashes", lambda x, y: x == y), lambda x: x)) >= LIKE
-    sizes = (5 * F.col("a_n") >= 4 * F.col("b_n")) & (5 * F.col("b_n") >= 4 * F.col("a_n"))
-    on = (a["band"] == b["band"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & sizes & like
-    more = written(similar(a.join(b, on).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets))
+    apart = written(named.join(split, "band").select("node", "root").distinct())
+    more = written(similar(across(written(apart.join(sets, "node").select("node", "root", "set"))), sets))
     return connected(links.unionByName(more))
 
 
