@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
@@ -26,13 +32,33 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI in the shared one."""
-    return f"{shared_root(spark)}/corpusmill-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_root(spark)}/corpusmill-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, new folders lie in one that is removed at its end. What outlives it
+    has to be written, before it ends, at a path that was made before it began."""
+    folder = shared_dir(spark)
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later jobs
-    start from the files, so a lost executor costs no recomputation before them."""
+    start from the files, so a lost executor costs no recomputation before them.
+    Its shuffle files are of no more use then and go at once."""
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/table"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
