@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import near_copies as near
 from corpusmill.llm.names import columns, fresh, quoted
 from corpusmill.llm.rows import repeated
-from corpusmill.shared import written
+from corpusmill.shared import scratch, shared_dir, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -182,10 +182,14 @@ def clean_documents(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "d
     """The kept documents with the lines above the limits taken out; the columns
     of ``docs``, with ``n_chars``, if there is one, brought up to date where a text
     changed. The texts are joined with what is rejected or changed alone."""
-    prof = written(profiles(docs, doc_id, text, host))
-    v = verdicts(prof, limits, count, near.groups(docs, text) if count == "near_copies" else None)
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/changed"
+    with scratch(spark):
+        groups = near.groups(docs, text) if count == "near_copies" else None
+        v = verdicts(written(profiles(docs, doc_id, text, host)), limits, count, groups)
+        v = v.where("not kept or removed_hashes is not null")
+        changed = written(v.select("id", "host", "text_key", "kept", F.when(F.col("kept"), F.col("removed_hashes")).alias("hashes")), path)
     name = fresh(docs.columns, "verdict")
-    changed = written(v.where("not kept or removed_hashes is not null").select("id", "host", "text_key", "kept", F.when(F.col("kept"), F.col("removed_hashes")).alias("hashes")))
     changed = changed.select(F.struct("*").alias(name))
     body, size = F.col(quoted(text)), quoted(n_chars)
     on = F.col(quoted(doc_id)).eqNullSafe(F.col(f"{name}.id")) & (_host(host) == F.col(f"{name}.host")) & text_key(body).eqNullSafe(F.col(f"{name}.text_key"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected
-from corpusmill.shared import written
+from corpusmill.shared import scratch, shared_dir, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 BANDS, ROWS, LIKE = 12, 3, 17
@@ -148,6 +148,9 @@ def roots(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """(text_key, near) per different text; texts with one ``near`` are near copies,
     or are joined by a chain of them."""
-    rows = written(sketches(docs, text).dropDuplicates(["text_key"]))
-    named = written(roots(rows, docs, text))
-    return written(rows.select("text_key", "node").join(named, "node", "left").select("text_key", F.coalesce("root", "node").alias("near")))
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/groups"
+    with scratch(spark):
+        rows = written(sketches(docs, text).dropDuplicates(["text_key"]))
+        named = written(roots(rows, docs, text))
+        return written(rows.select("text_key", "node").join(named, "node", "left").select("text_key", F.coalesce("root", "node").alias("near")), path)

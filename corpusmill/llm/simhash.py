@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import near_copies as near
 from corpusmill.llm.components import connected
 from corpusmill.llm.names import columns, fresh, quoted
-from corpusmill.shared import written
+from corpusmill.shared import scratch, shared_dir, written
 from corpusmill.ship import ship
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -151,12 +151,15 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     however many bits their fingerprints differ in. The texts are joined with the
     ids that go alone."""
     named = docs.where(F.col(quoted(doc_id)).isNotNull())
-    rows = written(fingerprints(named, doc_id, text))
-    own = written(groups(rows, threshold, near.groups(docs, text) if near_copies else None))
-    lowest = written(own.groupBy("root").agg(F.min("id").alias("low")))
-    # A row per id: whether it goes, and whether several rows have it.
-    ids = own.join(lowest, "root").groupBy("id").agg(F.min(F.col("id") != F.col("low")).alias("goes"), (F.count("*") > 1).alias("several"))
-    changed = written(ids.where("goes or several"))
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/changed"
+    with scratch(spark):
+        rows = written(fingerprints(named, doc_id, text))
+        own = written(groups(rows, threshold, near.groups(docs, text) if near_copies else None))
+        lowest = written(own.groupBy("root").agg(F.min("id").alias("low")))
+        # A row per id: whether it goes, and whether several rows have it.
+        ids = own.join(lowest, "root").groupBy("id").agg(F.min(F.col("id") != F.col("low")).alias("goes"), (F.count("*") > 1).alias("several"))
+        changed = written(ids.where("goes or several"), path)
     name = fresh(docs.columns, "changed")
     told = docs.join(changed.select(F.struct("*").alias(name)), F.col(quoted(doc_id)) == F.col(f"{name}.id"), "left")
     told = told.where(~F.coalesce(F.col(f"{name}.goes"), F.lit(False)))
