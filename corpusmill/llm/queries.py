@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chunk_store, iso_media, langid, line_frequency, mixing, pipeline, rollups, rule_ensemble, simhash, unigram, warc
+from corpusmill.llm import chunk_store, iso_media, langid, line_frequency, mixing, periodic_runs, phrases, pipeline, rollups, rule_ensemble, simhash, unigram, url_reputation, warc
 from corpusmill.shared import shared_dir, written
 from corpusmill.sources.tables import spread
 from corpusmill.llm.tokenizer_files import BYTE_BPE, PIECES
@@ -172,6 +172,109 @@ SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w UNION ALL
+      SELECT lang, 2, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) FROM w UNION ALL
+      SELECT lang, 3, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) FROM w),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+u AS (SELECT lang, phrase, k, a, unnest(range(1, k)) AS cut, ws FROM c),
+v AS (SELECT u.*, x.a AS l, y.a AS r, (1000000::HUGEINT * u.a * u.a) // (x.a::HUGEINT * y.a) AS score FROM u
+      JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.ws[1:cut], ' ')
+      JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.ws[cut + 1:], ' ')),
+m AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+b AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a FROM c WHERE k = 3) GROUP BY ALL),
+q AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, m.a DESC, m.phrase) AS rank FROM m LEFT JOIN b ON m.lang = b.lang AND m.phrase = b.phrase
+      WHERE longest IS NULL OR 2 * longest < m.a)
+SELECT q.lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM q JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, told by a checksum of the id, the words from
+    one on repeat with a period; both follow from the checksum and the number of words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("ws"))
+    g, n = F.floor(F.col("h") / 10), F.size("ws").cast("long")
+    at = words.where("h % 10 = 0 and size(ws) > 0").select("doc_id", "ws", g.alias("g"), (g % n).alias("a"), n.alias("n"))
+    period = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))
+    told = at.select("doc_id", "ws", "a", period.alias("p"))
+    repeated = F.transform("ws", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("ws", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    rest = words.where("not coalesce(h % 10 = 0 and size(ws) > 0, false)").select("doc_id", "text")
+    return rest.unionByName(told.select("doc_id", F.array_join(repeated, " ").alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(_with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    better = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]  # noqa: E731  a later run only if its exponent is greater
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda s, x: F.when(better(x, s), x).otherwise(s))
+    told = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise("")
+    found = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.floor(F.lit(1000) * F.col("b.length") / F.col("b.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: What op13 judges by, as given.
+URL_RULES = [
+    url_reputation.UrlRule("org", "/", "allow"),
+    url_reputation.UrlRule("example.org", "/es/", "block"),
+    url_reputation.UrlRule("example.org", "/en/1", "block"),
+    url_reputation.UrlRule("com", "/fr/", "allow"),
+    url_reputation.UrlRule("com", "/de/", "block"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_reputation.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level_sql(name: str, children: str, parent: str, above: str) -> str:
+    """A level of the hierarchy: its parents' rates as priors, the strength of these, and its rates."""
+    return f"""
+{name}_m AS (SELECT c.*, q.rate AS prior, q.rate / 1e6 AS p FROM {children} c JOIN {parent} q USING ({above})),
+{name}_t AS (SELECT sum(floor((k - n * p) * (k - n * p) / n * 1e6)::HUGEINT)::DOUBLE AS a, sum(floor(p * (1.0::DOUBLE - p) * 1e6)::HUGEINT)::DOUBLE AS b,
+                    sum(floor((n - 1) * p * (1.0::DOUBLE - p) * 1e6)::HUGEINT)::DOUBLE AS c FROM {name}_m WHERE n > 0),
+{name}_s AS (SELECT floor((1e6 - rho) * 1e6 / rho) AS s FROM (SELECT CASE WHEN c > 0 THEN least(500000, greatest(1000, floor((a - b) * 1e6 / c))) ELSE 500000 END AS rho FROM {name}_t)),
+{name} AS (SELECT m.*, s, floor((k * 1e6 + s * prior / 1e6) / (n * 1e6 + s) * 1e6)::BIGINT AS rate FROM {name}_m m, {name}_s),
+"""
+
+
+def _fits_sql(rule: url_reputation.UrlRule) -> str:
+    return f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
+
+
+_LONGEST = sorted(URL_RULES, key=lambda r: (-len(r.name), r.name))
+OP13_SQL = rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS (SELECT *, CASE {" ".join(f"WHEN {_fits_sql(r)} THEN '{r.name}'" for r in _LONGEST)} END AS rule FROM p),
+v AS (SELECT *, CASE WHEN rule IN ({", ".join(f"'{r.name}'" for r in URL_RULES if r.verdict == "block")}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS told FROM j),
+h AS (SELECT host, count(told)::BIGINT AS n, count_if(told = 'block')::BIGINT AS k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM v GROUP BY host),
+e AS (SELECT *, CASE WHEN regexp_matches(bare, '^[0-9.]*$|^\[') THEN bare
+                     WHEN regexp_matches(bare, '\.(ac\.uk|co\.jp|co\.nz|co\.uk|com\.au|com\.br|org\.uk)$') THEN regexp_extract(bare, '([^.]*\.)?[^.]*\.[^.]*$')
+                     ELSE regexp_extract(bare, '([^.]*\.)?[^.]*$') END AS domain FROM h),
+o AS (SELECT host, n, k, domain, CASE WHEN regexp_matches(domain, '^[0-9.]*$|^\[') THEN '' ELSE regexp_replace(domain, '^[^.]*\.', '') END AS suffix, 0 AS root FROM e),
+d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM o GROUP BY ALL),
+s AS (SELECT suffix, 0 AS root, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM d GROUP BY ALL),
+a AS (SELECT root, floor((sum(k) + 1) * 1e6 / (sum(n) + 2))::BIGINT AS rate FROM s GROUP BY root),
+{_level_sql("top", "s", "a", "root")}
+{_level_sql("mid", "d", "top", "suffix")}
+{_level_sql("low", "(SELECT host, domain, n, k FROM o)", "mid", "domain")}
+x AS (SELECT host, k + (s / 1e6) * p AS alpha, n - k + (s / 1e6) * (1.0::DOUBLE - p) AS beta FROM low),
+y AS (SELECT host, alpha / (alpha + beta) AS mean, alpha, beta FROM x),
+z AS (SELECT host, mean > 0.5 AND (mean - 0.5) * (mean - 0.5) > {1.645 * 1.645!r}::DOUBLE * (alpha * beta) / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1.0)) AS bad FROM y)
+SELECT page_id, v.host, path, rule, coalesce(told, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM v JOIN z ON v.host = z.host
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -183,7 +286,10 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_rollups": op10_rollups,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_url_filter": op13_url_filter,
     "pipeline": pipeline.run,
 }
 
-ORACLES = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_mixing": OP7_SQL, "op10_rollups": OP10_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_mixing": OP7_SQL, "op10_rollups": OP10_SQL, "op11_collocations": OP11_SQL, "op13_url_filter": OP13_SQL}
