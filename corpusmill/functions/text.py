@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def matches(line: Column, pattern: str) -> Column:
-    """All matches in a line as structs (at, text), ``at`` in characters from 1 on; null
+def matches(line: Column, pattern: Column) -> Column:
+    """All matches in a line, of a pattern that may differ from row to row, as structs (at, text), ``at`` in characters from 1 on; null
     if there are none. What lies between the matches gives their places, so that
     patterns may look around them."""
 
@@ -45,7 +46,7 @@ def matches(line: Column, pattern: str) -> Column:
         )
         return F.aggregate(parts, start, step, lambda s: s["out"])
 
-    return let(F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1)), lambda found: F.when(F.size(found) > 0, placed(found)))
+    return let(F.regexp_extract_all(line, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1)), lambda found: F.when(F.size(found) > 0, placed(found)))
 
 
 def glob_regex(glob: str) -> str:
@@ -75,14 +76,18 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+#: Names of folders and endings of stems that stand for tests.
+TEST_PATHS = (
+    r"(^|/)(tests|benches|examples|fixtures|__tests__|[^/]*_tests?|test_[^/]*)/",
+    r"(^|/)([^/]*_tests?|tests?|[^/]*\.(spec|test))\.[^./]+$",
+    r"(^|/)test_[^/]*$",
+)
+
+
 def test_path(path: Column) -> Column:
     """Whether a path looks like that of a test: a folder named for tests, or a
     file whose stem ends like one."""
-    # Names of folders and endings of stems that stand for tests.
-    folders = r"(^|/)(tests|benches|examples|fixtures|__tests__|[^/]*_tests?|test_[^/]*)/"
-    stem = r"(^|/)([^/]*_tests?|tests?|[^/]*\.(spec|test))\.[^./]+$"
-    prefix = r"(^|/)test_[^/]*$"
-    return path.rlike(folders) | path.rlike(stem) | path.rlike(prefix)
+    return reduce(lambda a, b: a | b, [path.rlike(x) for x in TEST_PATHS])
 
 
 def ancestors(path: Column) -> Column:

@@ -7,24 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import byte_column, glob_regex, keyed, matches, split_lines, test_path
+from corpusmill.functions.text import TEST_PATHS, byte_column, glob_regex, keyed, matches, split_lines
+from corpusmill.plans.literals import one_of, required
 from corpusmill.plans.rules import Rule
 
 KEY = ("rule_id", "path", "line", "column")
+#: Rules that are passed by together, and from how many required strings on they are looked up in one pass.
+BLOCK, INDEXED = 16, 24
 
 
-def where_applies(rule: Rule) -> Column:
-    """The files that a rule looks at."""
-    out = F.lit(True) if rule.language is None else F.col("lang") == rule.language
+def _text(x: str | None) -> str:
+    """A string in SQL."""
+    return "CAST(NULL AS STRING)" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _where_applies(rule: Rule) -> str:
+    out = ["true" if rule.language is None else f"lang = {_text(rule.language)}"]
     if rule.files:
-        out = out & F.col("path").rlike("|".join(map(glob_regex, rule.files)))
+        out.append(f"path RLIKE {_text('|'.join(map(glob_regex, rule.files)))}")
     if rule.ignores:
-        out = out & ~F.col("path").rlike("|".join(map(glob_regex, rule.ignores)))
-    return out & ~test_path(F.col("path")) if rule.skip_tests else out
+        out.append(f"NOT path RLIKE {_text('|'.join(map(glob_regex, rule.ignores)))}")
+    if rule.skip_tests:
+        out += [f"NOT path RLIKE {_text(x)}" for x in TEST_PATHS]
+    return " AND ".join(out)
+
+
+def where_applies(rule: Rule) -> Column:
+    """The files that a rule looks at."""
+    return F.expr(_where_applies(rule))
 
 
-def _of_rule(found: Column, i: int) -> Column:
-    return F.transform(found, lambda m: F.struct(F.lit(i).alias("rule"), m["at"].alias("at"), m["text"].alias("text")))
+def _of_rule(found: Column, i: Column) -> Column:
+    return F.transform(found, lambda m: F.struct(i.alias("rule"), m["at"].alias("at"), m["text"].alias("text")))
 
 
 def _with_patterns(rules: Sequence[Rule]) -> list[Rule]:
@@ -34,27 +48,59 @@ def _with_patterns(rules: Sequence[Rule]) -> list[Rule]:
     return rules
 
 
-def _applies(rules: Sequence[Rule]) -> Column:
-    """Per rule, whether it looks at the file."""
-    return F.array(*[F.coalesce(where_applies(r), F.lit(False)) for r in rules])
+def _holds(text: str, rule: Rule) -> str:
+    """Whether the text has a string without which the rule can't match."""
+    return "(" + " OR ".join(f"contains({text}, {_text(x)})" for x in required(rule.pattern) or ()) + ")" if required(rule.pattern) else "true"
+
+
+def _index(rules: Sequence[Rule]) -> list[str]:
+    """The required strings that are looked up all at once: those of several characters, if there
+    are many."""
+    out = sorted({x for r in rules for x in required(r.pattern) or () if len(x) > 1})
+    return out if len(out) > INDEXED else []
+
+
+def _applies(rules: Sequence[Rule], index: Sequence[str]) -> Column:
+    """Per rule, whether it looks at the file and may find something in its text. ``_present`` has, of the
+    strings of the index, the longest at every place; it has those in it that it contains."""
+    out = []
+    for r in rules:
+        strings = required(r.pattern) or ()
+        if strings and index and all(len(x) > 1 for x in strings):
+            held = f"arrays_overlap(_present, array({', '.join(_text(y) for y in index if any(x in y for x in strings))}))"
+        else:
+            held = _holds("text", r)
+        out.append(f"coalesce({_where_applies(r)} AND {held}, false)")
+    return F.expr(f"array({', '.join(out)})")
+
+
+def _hits(text: str, rules: Sequence[Rule]) -> str:
+    """The rules, by number, that match in a line. A line is searched for a rule's pattern only if the
+    file and the line have one of its required strings."""
+    blocks = []
+    for k in range(0, len(rules), BLOCK):
+        own = [f"CASE WHEN _on[{i}] AND {_holds(text, r)} AND {text} RLIKE {_text(r.pattern)}{f' AND NOT {text} RLIKE {_text(r.unless)}' if r.unless else ''} THEN {i} END" for i, r in enumerate(rules[k : k + BLOCK], k)]
+        blocks.append(f"CASE WHEN _some[{k // BLOCK}] THEN array({', '.join(own)}) END")
+    return f"array_compact(flatten(array_compact(array({', '.join(blocks)}))))"
 
 
-def _any(rules: Sequence[Rule]) -> str:
-    return "|".join(f"(?:{r.pattern})" for r in rules)
+def _with_rules(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``rows`` with ``_on``, a flag per rule, and ``_some``, one per block of them."""
+    index = _index(rules)
+    present = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?=({one_of(index)}))"), F.lit(1))) if index else F.array().cast("array<string>")
+    told = rows.withColumn("_present", present).withColumn("_on", _applies(rules, index)).drop("_present")
+    return told.withColumn("_some", F.array(*[F.array_contains(F.slice("_on", k + 1, BLOCK), True) for k in range(0, len(rules), BLOCK)]))
 
 
-def _found(text: Column, on: Column, rules: Sequence[Rule]) -> Column:
-    """(rule, at, text) of every match in a line. Places are worked out for rules that
-    match at all."""
-    found = []
-    for i, r in enumerate(rules):
-        hit = on[i] & text.rlike(r.pattern)
-        found.append(F.when(hit & ~text.rlike(r.unless) if r.unless else hit, _of_rule(matches(text, r.pattern), i)))
-    return F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
+def _found(text: Column, hits: Column, rules: Sequence[Rule]) -> Column:
+    """(rule, at, text) of every match in a line, for the rules that match."""
+    patterns = F.expr(f"array({', '.join(_text(r.pattern) for r in rules)})")
+    return F.flatten(F.transform(hits, lambda i: _of_rule(matches(text, F.element_at(patterns, i + 1)), i)))
 
 
 def _told(rules: Sequence[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.message).alias("message")) for r in rules])
+    names = ("rule_id", "severity", "category", "message")
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {_text(v)}" for n, v in zip(names, (r.id, r.severity, r.category, r.message))) + ")" for r in rules) + ")")
 
 
 def _finding(line: Column, text: Column, m: Column, rules: Sequence[Rule], *more: Column) -> Column:
@@ -73,7 +119,8 @@ def file_findings(files: DataFrame, rules: Sequence[Rule], context: int | None =
     out where the finding is made, while the file's lines are at hand."""
     rules = _with_patterns(rules)
     rest = [c for c in files.columns if c != "text"]
-    rows = files.select(*rest, split_lines(F.col("text")).alias("_lines"), _applies(rules).alias("_on"))
+    rows = _with_rules(files, rules).select(*rest, split_lines(F.col("text")).alias("_lines"), "_on", "_some")
+    rows = rows.select(*rest, "_lines", F.expr(f"transform(_lines, x -> {_hits('x', rules)})").alias("_hits"))
 
     def around(line: Column, reach: int, show) -> Column:
         low = F.greatest(line - reach, F.lit(1)).cast("int")
@@ -82,11 +129,12 @@ def file_findings(files: DataFrame, rules: Sequence[Rule], context: int | None =
     def of_line(s: Column) -> Column:
         more = [] if context is None else [around(s["line"], context, lambda x, n: F.trim(x)).alias("context")]
         more += [] if region is None else [around(s["line"], region, lambda x, n: F.concat(n.cast("string"), F.lit(": "), x)).alias("region")]
-        return F.transform(_found(s["text"], F.col("_on"), rules), lambda m: _finding(s["line"], s["text"], m, rules, *more))
+        return F.transform(_found(s["text"], s["hits"], rules), lambda m: _finding(s["line"], s["text"], m, rules, *more))
 
-    numbered = F.transform("_lines", lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("text")))
-    some = F.filter(numbered, lambda s: s["text"].rlike(_any(rules)))
-    return rows.select(*rest, F.flatten(F.transform(some, of_line)).alias("findings"))
+    # Zipped, since a column used within a function of each line would be worked out for each of them.
+    paired = F.zip_with("_lines", "_hits", lambda x, h: F.struct(x.alias("text"), h.alias("hits")))
+    numbered = F.transform(paired, lambda s, i: F.struct((i + 1).cast("long").alias("line"), s["text"].alias("text"), s["hits"].alias("hits")))
+    return rows.select(*rest, F.flatten(F.transform(F.filter(numbered, lambda s: F.size(s["hits"]) > 0), of_line)).alias("findings"))
 
 
 def scan_files(files: DataFrame, rules: Sequence[Rule], context: int | None = None, region: int | None = None) -> DataFrame:
@@ -94,7 +142,8 @@ def scan_files(files: DataFrame, rules: Sequence[Rule], context: int | None = No
     category, message, line, column, end_column, matched_text, seq, and what is asked for."""
     found = file_findings(files, rules, context, region)
     rest = [c for c in found.columns if c != "findings"]
-    return found.select(*rest, F.explode("findings").alias("f")).select(*rest, "f.*")
+    # From explode Spark infers a filter on the array's size below it, which would scan every file once more.
+    return found.select(*rest, F.explode_outer("findings").alias("f")).where("f is not null").select(*rest, "f.*")
 
 
 def scan(all_lines: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
@@ -102,9 +151,9 @@ def scan(all_lines: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ())
     Columns named in ``keep`` stay."""
     rules = _with_patterns(rules)
     text = F.col("text")
-    some = all_lines.where(text.rlike(_any(rules))).withColumn("_on", _applies(rules))
-    rows = some.select("path", "lang", *keep, F.explode(F.transform(_found(text, F.col("_on"), rules), lambda m: _finding(F.col("line"), text, m, rules))).alias("f"))
-    return rows.select("path", "lang", "f.*", *keep)
+    rows = _with_rules(all_lines, rules).where(F.array_contains("_on", True)).withColumn("_hits", F.expr(_hits("text", rules)))
+    rows = rows.select("path", "lang", *keep, F.explode_outer(F.transform(_found(text, F.col("_hits"), rules), lambda m: _finding(F.col("line"), text, m, rules))).alias("f"))
+    return rows.where("f is not null").select("path", "lang", "f.*", *keep)
 
 
 def normalised(findings: DataFrame) -> DataFrame:

@@ -53,5 +53,5 @@ def metric_findings(metrics: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                         F.concat(shown(r.metric, F.col(r.metric)), F.lit(" " + r.metric.replace("_", " "))).alias("matched_text")))
         for r in wanted
     ]
-    rows = metrics.select("path", "lang", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("f"))
+    rows = metrics.select("path", "lang", F.explode_outer(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("f")).where("f is not null")
     return rows.select("path", "lang", "f.*", F.lit(1).cast("long").alias("line"), F.lit(1).cast("long").alias("column"))

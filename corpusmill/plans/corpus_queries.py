@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import crossfile, findings, fixes, lines, metrics, resolution, review
-from corpusmill.plans.rules import TEXT_RULES, active, suggest
+from corpusmill.operators import crossfile, findings, fixes, fixpoint, lines, metrics, resolution, review
+from corpusmill.plans.rules import FIX_RULES, TEXT_RULES, active, suggest
 from corpusmill.sources import sinks
 from corpusmill.sources.tables import documents, spread, table
 from corpusmill.streaming import incremental
@@ -284,7 +284,9 @@ n AS (SELECT h.*, row_number() OVER (PARTITION BY hash ORDER BY path, line, "col
 SELECT path, rule_id, line, "column", n.hash FROM n LEFT JOIN b ON n.hash = b.hash WHERE nth > coalesce(held, 0)""")
 def counting_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     """Findings beyond a baseline that was taken when files had three lines."""
-    now = _hashed(spark, sf)
+    from corpusmill.shared import written
+
+    now = written(_hashed(spark, sf))
     return findings.beyond_baseline(now, findings.baseline_of(now.where("line <= 3"))).select("path", "rule_id", "line", "column", "hash")
 
 
@@ -506,6 +508,73 @@ def non_overlapping_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return fixes.first_of_overlaps(spans)
 
 
+def _placed_sql(rules) -> str:
+    """Matches of rules by byte ranges of their files: path, line, rule_id, seq, start, "end"."""
+    parts = "\nUNION ALL".join(
+        f"""
+SELECT path, line, '{r.id}' AS rule_id, {i} AS seq, {_quoted(r.replacement)} AS inserted, base + strlen(substring(text, 1, lead)) AS start, base + strlen(substring(text, 1, lead)) + strlen(m[k]) AS "end" FROM (
+SELECT *, m[k] AS matched, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT AS lead
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT *, regexp_extract_all(text, {_quoted(r.pattern)}) AS m, string_split_regex(text, {_quoted(r.pattern)}) AS p FROM lb
+  WHERE regexp_matches(text, {_quoted(r.pattern)}){" AND NOT regexp_matches(path, '^(?:.*/)?es/.*$')" if r.ignores else ""})))"""
+        for i, r in enumerate(rules)
+    )
+    return f"""lb AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM l),
+placed AS ({parts})"""
+
+
+SAFE = fixpoint.fixable(FIX_RULES)
+#: Lines after one that begins like this keep what they have, all of it or by rule.
+KEPT = f"""kept AS (SELECT path, line + 1 AS target_line, CASE WHEN starts_with(text, '{WILD}') THEN NULL ELSE 'symbol-pair' END AS rule_id FROM l WHERE starts_with(text, '{WILD}') OR starts_with(text, '{AIMED}')),
+held AS (SELECT * FROM placed WHERE EXISTS (SELECT 1 FROM kept WHERE kept.path = placed.path AND kept.target_line = placed.line AND (kept.rule_id IS NULL OR kept.rule_id = placed.rule_id)))"""
+
+
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    d = _directives(spark, sf)
+    return d.withColumn("rule_id", F.when(F.col("rule_id").isNotNull(), "symbol-pair"))
+
+
+@query(f"""{LINES}, {_placed_sql(SAFE)}, {KEPT} SELECT path, rule_id, start, "end" FROM held""")
+def protected_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte ranges of matches that a directive switches off."""
+    return fixpoint.protected_ranges(documents(spark, sf), SAFE, _kept(spark, sf))
+
+
+@query(f"""RECURSIVE {LINES}, {_placed_sql(SAFE)}, {KEPT},
+free AS (SELECT * FROM placed WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.path = placed.path AND held.rule_id = placed.rule_id AND placed.start < held."end" AND held.start < placed."end")),
+o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start, seq, "end") AS k FROM free),
+w AS (SELECT path, k, start AS s, "end" AS e, true AS taken FROM o WHERE k = 1
+UNION ALL SELECT o.path, o.k, CASE WHEN fits THEN o.start ELSE o.s END, CASE WHEN fits THEN o."end" ELSE o.e END, fits
+  FROM (SELECT o.path, o.k, o.start, o."end", w.s, w.e, o.start >= w.e AND o.start <> w.s AS fits FROM w JOIN o ON o.path = w.path AND o.k = w.k + 1) o)
+SELECT o.path, start AS position, "end" - start AS deleted, inserted FROM o JOIN w ON o.path = w.path AND o.k = w.k WHERE taken""")
+def fix_round(spark: SparkSession, sf: str) -> DataFrame:
+    """The edits of the first round over files with protected ranges."""
+    files = documents(spark, sf)
+    rows = fixpoint.with_protected(files, fixpoint.protected_ranges(files, SAFE, _kept(spark, sf)))
+    return fixpoint.one_round(rows, SAFE).select("path", F.explode("edits").alias("e")).select("path", "e.*")
+
+
+@query()
+def fix_fixpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """Files rewritten until nothing changes, but for what directives protect."""
+    files = documents(spark, sf)
+    return fixpoint.fixed(files, SAFE, fixpoint.protected_ranges(files, SAFE, _kept(spark, sf))).select("path", "text", "n_fixes", "rounds", "settled")
+
+
+@query(f"""RECURSIVE {LINES}, {_placed_sql(SAFE)},
+g AS (SELECT path, rule_id || ':' || line // 4 AS "group", min(start) AS first_at, list(struct_pack(p := start, d := "end" - start, i := inserted) ORDER BY start) AS es FROM placed GROUP BY path, rule_id, line // 4),
+o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY first_at, "group") AS k FROM g),
+w AS (SELECT path, k, es AS kept, true AS taken FROM o WHERE k = 1
+UNION ALL SELECT path, k, CASE WHEN fits THEN list_concat(kept, es) ELSE kept END, fits
+  FROM (SELECT o.path, o.k, o.es, w.kept, len(list_filter(o.es, lambda a: len(list_filter(w.kept, lambda b: a.p = b.p OR a.p < b.p + b.d AND b.p < a.p + a.d)) > 0)) = 0 AS fits FROM w JOIN o ON o.path = w.path AND o.k = w.k + 1))
+SELECT path, "group", e.p AS position, e.d AS deleted, e.i AS inserted FROM (SELECT o.path, "group", unnest(es) AS e FROM o JOIN w ON o.path = w.path AND o.k = w.k WHERE taken)""")
+def edit_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """All edits of a rule in four lines are made or none: a group that clashes with one before it goes."""
+    rows = fixpoint.matched(documents(spark, sf), SAFE).select("path", F.explode_outer("found").alias("f")).where("f is not null").select("path", "f.*")
+    new = F.element_at(F.array(*[F.lit(r.replacement) for r in SAFE]), (F.col("seq") + 1).cast("int"))
+    group = F.concat("rule_id", F.lit(":"), F.floor(F.col("line") / 4).cast("string"))
+    return fixpoint.chosen_groups(rows.select("path", group.alias("group"), F.col("start").alias("position"), (F.col("end") - F.col("start")).alias("deleted"), new.alias("inserted")))
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
 def windowed_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.windowed_counts(table(spark, sf, "events"))

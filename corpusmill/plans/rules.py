@@ -19,7 +19,8 @@ TOKENS = ("comment", "doc_comment", "string", "code", "line")
 @dataclass(frozen=True)
 class Rule:
     """A rule has a pattern over tokens of some kind, or a metric with a threshold.
-    ``language`` None means any; the key of a rule is (id, language)."""
+    ``language`` None means any; the key of a rule is (id, language). A replacement that
+    may change what a text means is ``unsafe``."""
 
     id: str
     severity: str
@@ -37,6 +38,7 @@ class Rule:
     files: tuple[str, ...] = ()
     ignores: tuple[str, ...] = ()
     replacement: str | None = None
+    unsafe: bool = False
     note: str | None = None
 
     def __post_init__(self):
@@ -103,3 +105,12 @@ TEXT_RULES = (
     Rule("many-lines", "warning", "slop", "$value lines in a file", metric="file_lines", threshold=30, min_lines=10),
     Rule("mostly-remarks", "warning", "slop", "Remarks make up $value of this file", metric="comment_ratio", threshold=0.4, min_lines=5),
 )
+
+#: Rewrites of prose that are repeated until nothing changes.
+FIX_RULES = (
+    *(r for r in TEXT_RULES if r.replacement is not None),
+    Rule("digit-run", "warning", "slop", "Four digits in a row", pattern=r"[0-9]{4}", replacement="0", ignores=("**/es/**",)),
+    Rule("symbol-pair", "warning", "slop", "Symbols side by side", pattern=r"[#*$%&]{2}", replacement="#"),
+    Rule("bang-pair", "warning", "slop", "Exclamation marks side by side", pattern=r"!!", replacement="!"),
+    Rule("doubled-the", "warning", "slop", "The same article twice", pattern=r"\b[Tt]he the\b", replacement="the", unsafe=True),
+)
