@@ -8,8 +8,8 @@ All phrases of a length are extended at once by the words that follow (from the
 reversed transform) or go before (from the other), and the second interval follows
 from the counts of smaller words. Suffixes are ordered by their first depth - 1 words
 only: no more is needed to extend a phrase of that length. The counts of shards are
-then summed. They are sent as compressed blocks of sorted phrases, a block for each
-shard and part of the hash range, so that no key is hot: a phrase is sent at most
+then summed. They are sent as compressed blocks of sorted phrases, one for each
+shard, length and part of the hash range, so that no key is hot: a phrase is sent at most
 once per shard. The number of parts grows with the bytes of all texts, and with it
 each summing task holds a bounded number of phrases.
 
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.names import quoted
-from corpusmill.llm.word_arrays import classes, words_in
+from corpusmill.llm.word_arrays import classes, slices, words_in
 from corpusmill.shared import written
 from corpusmill.ship import ship
 
 KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words of a shard, and bytes of text to a part of the hash range.
-SHARD, PART = 2_000_000, 8_000_000
+SHARD, PART = 800_000, 8_000_000
 
 
 @dataclass
@@ -80,7 +80,7 @@ class Index:
         return np.searchsorted(held, symbols.astype(np.int64) * n + places)
 
     def single(self) -> Phrases:
-        ids = np.arange(1, self.base)
+        ids = np.arange(1, self.base, dtype=np.int32)
         return Phrases([ids], self.begins[1:-1], self.begins[1:-1], np.diff(self.begins)[1:])
 
     def extended(self, p: Phrases, right: bool, both: bool = True) -> Phrases:
@@ -94,12 +94,14 @@ class Index:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(keys)))
         which, symbols = np.divmod(keys[first], self.base)
+        del keys
         moved = None if other is None else other[which] + first - begins[which]
         kept = symbols > 0
         which, symbols, n = which[kept], symbols[kept], n[kept]
         moved = None if moved is None else moved[kept]
         grown = self._ranks(transform, symbols, own[which]) if both else None
         words = [w[which] for w in p.words]
+        symbols = symbols.astype(np.int32)
         return Phrases([*words, symbols], moved, grown, n) if right else Phrases([symbols, *words], grown, moved, n)
 
     def enumerated(self, depth: int) -> Iterator[Phrases]:
@@ -136,31 +138,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def blocks(texts: pa.Array, depth: int, parts: int, most: int = SHARD) -> Iterator[tuple[int, bytes]]:
-    """(part, block) of each shard of ``texts``: a block is an Arrow stream of the phrases of a
-    part of the hash range and of their counts."""
-    for sequence, words in _sequences(texts, most):
+    """(part, block) of each shard of ``texts``: a block is an Arrow stream of the phrases of one
+    length in a part of the hash range, and of their counts."""
+    rows = (texts.slice(begin, end - begin) for begin, end in slices(texts, 6 * most))  # a word has about six bytes
+    for sequence, words in (x for some in rows for x in _sequences(some, most)):
         hashes = np.concatenate([[0], np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))]).astype(np.uint64)
-        named: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
         for p in Index(sequence, len(words), depth).enumerated(depth):
             order = np.arange(len(p.n)) if len(p.words) < 3 else np.lexsort(p.words[::-1]) if len(p.words) > 3 else np.sort(p.words[0].astype(np.int64) << 32 | np.arange(len(p.n))) & 0xFFFFFFFF
-            ids, h = [w[order] for w in p.words], np.zeros(len(order), np.uint64)
-            for w in ids:
-                h = _mixed(h + hashes[w])
-            named.append((((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint32), ids, p.n[order]))
-        grouped = [(part, np.argsort(part.astype(np.uint16) if parts <= 65536 else part, kind="stable"), ids, n) for part, ids, n in named]
-        tables, edges = [], []
-        for part, order, ids, n in grouped:
-            columns = [words.take(pa.array(w[order] - 1)) for w in ids]
-            phrase = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
-            tables.append(pa.table({"phrase": phrase, "n": pa.array(n[order].astype(np.int64))}))
-            edges.append(np.searchsorted(part[order], np.arange(parts + 1)))
-        for i in range(parts):
-            rows = [t.slice(e[i], e[i + 1] - e[i]) for t, e in zip(tables, edges) if e[i + 1] > e[i]]
-            if rows:
+            h = np.zeros(len(order), np.uint64)
+            for w in p.words:
+                h = _mixed(h + hashes[w[order]])
+            part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 65536 else np.uint32)
+            dealt = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[dealt], np.arange(parts + 1))
+            order = order[dealt]
+            columns = [words.take(pa.array(w[order] - 1)) for w in p.words]
+            rows = pa.table({"phrase": columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " "), "n": pa.array(p.n[order].astype(np.int64))})
+            del columns, h, part, dealt, order
+            for i in np.flatnonzero(np.diff(edges)).tolist():
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    for t in rows:
-                        out.write_table(t)
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows.slice(edges[i], edges[i + 1] - edges[i]))
                 yield i, sink.getvalue().to_pybytes()
 
 
@@ -211,7 +209,7 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", depth: int =
                 own = t["text"].filter(pc.equal(t["lang"], name)).combine_chunks()
                 held.setdefault(name, []).append(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own)
                 sizes[name] = sizes.get(name, 0) + (pc.sum(pc.binary_length(own)).as_py() or 0)
-            while sum(sizes.values()) > 6 * shard:  # bytes; a word has about six
+            while sum(sizes.values()) > 6 * shard:
                 yield from flushed(max(sizes, key=sizes.get))
         for name in list(sizes):
             yield from flushed(name)

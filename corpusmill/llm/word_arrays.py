@@ -57,7 +57,7 @@ def words_in(column: pa.Array, kinds: np.ndarray, lowered: bool = False) -> Word
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
     row = np.searchsorted(at, starts, side="right") - 1
-    piece = row + np.cumsum(kind == BREAK)[starts] if len(starts) else row
+    piece = row + np.cumsum(kind == BREAK, dtype=np.int32)[starts] if len(starts) else row
     return Words(pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)), row, piece)
 
 
