@@ -202,13 +202,11 @@ def _with_repeats(docs: DataFrame) -> DataFrame:
     one on repeat with a period; both follow from the checksum and the number of words."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("ws"))
-    g, n = F.floor(F.col("h") / 10), F.size("ws").cast("long")
-    at = words.where("h % 10 = 0 and size(ws) > 0").select("doc_id", "ws", g.alias("g"), (g % n).alias("a"), n.alias("n"))
-    period = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))
-    told = at.select("doc_id", "ws", "a", period.alias("p"))
+    n, g = F.size("ws").cast("long"), F.floor(F.col("h") / 10)
+    at = words.select("doc_id", "text", "ws", F.when(n > 0, g % n).alias("a"), n.alias("n"), g.alias("g"))
+    told = at.select("doc_id", "text", "ws", "a", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).alias("p"))
     repeated = F.transform("ws", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("ws", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
-    rest = words.where("not coalesce(h % 10 = 0 and size(ws) > 0, false)").select("doc_id", "text")
-    return rest.unionByName(told.select("doc_id", F.array_join(repeated, " ").alias("text")))
+    return told.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
