@@ -1,20 +1,22 @@
 """Source code as tokens and blocks, by DataFrame functions.
 
 One regular expression with an alternative for every kind of token splits a file
-without a gap, so that places follow from running sums of lengths. Blocks come
-from the depth of braces. This serves rules on comments, strings and lines of
-code, metrics, test ranges and declarations; it is no syntax tree.
+without a gap, so that places follow from running sums of lengths (``tokens``). Blocks
+come from matching brackets. This serves rules on comments, strings and lines of
+code, metrics, test ranges and declarations; it is no syntax tree. What is worked out
+per file stays in its row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.findings import normalised, outside, scan
 from corpusmill.operators.lines import lines
+from corpusmill.operators import tokens as token_rows
 from corpusmill.operators.metrics import file_metrics, metric_findings
 from corpusmill.plans.rules import Rule
 from corpusmill.shared import written
@@ -36,35 +38,17 @@ def token_pattern(lang: str) -> str:
     return "|".join([LINE_COMMENT, BLOCK_COMMENT, *strings, WORD, r"[ \t\r]++", REST])
 
 
-def _kind(lang: Column, x: Column) -> Column:
-    quote = F.substring(x, 1, 1).isin('"', "'", "`") | x.rlike(r'^(b"|r#*")')
-    return (
-        F.when(x.rlike(r"^//[/!](?!/)") & (lang == "rust") | x.rlike(r"^/\*\*(?!/)"), "doc_comment")
-        .when(x.startswith("//") | x.startswith("/*"), "comment")
-        .when(quote & (F.length(x) > 1), "string")
-        .otherwise("code")
-    )
+def token_arrays(files: DataFrame) -> DataFrame:
+    """(path, lang, text, tokens): see ``tokens``."""
+    return token_rows.token_arrays(files, token_pattern)
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(path, lang, i, kind, text, line, column, end_line, depth): ``column`` in
+    """(path, lang, i, kind, text, line, column, end_line, depth): a row per token, ``column`` in
     bytes from 1 on, ``depth`` the braces open before the token."""
-    rust, script = (F.regexp_extract_all("text", F.lit(f"({token_pattern(x)})"), F.lit(1)) for x in ("rust", "typescript"))
-    t = files.select("path", "lang", F.posexplode(F.when(F.col("lang") == "rust", rust).otherwise(script)).alias("i", "text"))
-    before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    kind = _kind(F.col("lang"), F.col("text"))
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    sized = t.withColumn("kind", kind).withColumn("bytes", F.octet_length("text")).withColumn("breaks", breaks)
-    tail = F.octet_length(F.substring_index("text", "\n", -1))
-    step = F.when((F.col("kind") == "code") & (F.col("text") == "{"), 1).when((F.col("kind") == "code") & (F.col("text") == "}"), -1).otherwise(0)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    at = sized.withColumn("at", zero(F.sum("bytes").over(before)))
-    placed = at.select(
-        "path", "lang", "i", "kind", "text", (zero(F.sum("breaks").over(before)) + 1).alias("line"),
-        (F.col("at") - zero(F.max(F.when(F.col("breaks") > 0, F.col("at") + F.col("bytes") - tail)).over(before)) + 1).alias("column"), "breaks",
-        zero(F.sum(step).over(before)).alias("depth"),
-    )
-    return placed.withColumn("end_line", F.col("line") + F.col("breaks")).drop("breaks")
+    t = token_arrays(files).select("path", "lang", F.explode_outer("tokens").alias("t")).where("t is not null")
+    kind = F.when(F.col("t.kind").isin("word", "sign", "blank"), "code").otherwise(F.col("t.kind"))
+    return t.select("path", "lang", "t.i", kind.alias("kind"), *[f"t.{c}" for c in ("text", "line", "column", "end_line", "depth")])
 
 
 def _blank(text: Column) -> Column:
@@ -75,16 +59,20 @@ def _blank(text: Column) -> Column:
 
 
 def blanked(t: DataFrame) -> DataFrame:
-    """(path, lang, text): the files with comments and what is in strings as blanks;
-    lines and byte columns stay."""
-    inner = F.concat(F.substring("text", 1, 1), _blank(F.substring(F.col("text"), F.lit(2), F.length("text") - 2)), F.substring("text", -1, 1))
-    part = F.when(F.col("kind") == "code", F.col("text")).when(F.col("kind") == "string", inner).otherwise(_blank(F.col("text")))
-    return t.groupBy("path", "lang").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("b")))).alias("p")).select("path", "lang", F.array_join(F.transform("p", lambda x: x["b"]), "").alias("text"))
+    """(path, lang, text) of token arrays: the files with comments and what is in strings as
+    blanks; lines and byte columns stay."""
+
+    def shown(x: Column) -> Column:
+        inner = F.concat(F.substring(x["text"], 1, 1), _blank(F.substring(x["text"], F.lit(2), F.length(x["text"]) - 2)), F.substring(x["text"], -1, 1))
+        return F.when(x["kind"].isin("word", "sign", "blank"), x["text"]).when(x["kind"] == "string", inner).otherwise(_blank(x["text"]))
+
+    return t.withColumn("text", F.array_join(F.transform("tokens", shown), "")).drop("tokens")
 
 
 def _in_tokens(t: DataFrame, kind: str, rules: Sequence[Rule]) -> DataFrame:
     """Matches within tokens of a kind, at their places in the file."""
-    rows = t.where(F.col("kind") == kind).select("path", "lang", "line", "text", "column")
+    own = F.filter("tokens", lambda x: x["kind"] == kind)
+    rows = t.select("path", "lang", F.explode_outer(own).alias("x")).where("x is not null").select("path", "lang", "x.line", "x.text", "x.column")
     found = scan(rows.select("path", "lang", F.struct("line", "column", "text").alias("token"), "text", F.lit(0).cast("long").alias("line")), rules, keep=("token",))
     before = F.decode(F.substring(F.encode("token.text", "UTF-8"), F.lit(1), (F.col("column") - 1).cast("int")), "UTF-8")
     breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
@@ -98,7 +86,7 @@ def scan_code(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Findings of all rules over source files, each kind of rule on what it looks at.
     The files are tokenised once and the tokens written in the shared folder. Rules
     that skip tests also skip lines in ``#[cfg(test)]`` items."""
-    t = written(tokens(files))
+    t = written(token_arrays(files))
     plain = lines(blanked(t))
     tests = test_ranges(plain, blocks(t))
     parts = []
@@ -120,44 +108,36 @@ def scan_code(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return normalised(kept)
 
 
+def _lines_of(kinds: Sequence[str]) -> Column:
+    """The distinct lines that hold tokens of these kinds, but those in skipped ranges."""
+    own = F.filter("tokens", lambda x: x["kind"].isin(*kinds) & x["text"].rlike(r"[^ \t\r\n\f]"))
+    each = F.array_distinct(F.flatten(F.transform(own, lambda x: F.sequence(x["line"], x["end_line"]))))
+    return F.filter(each, lambda n: ~F.exists("skip", lambda r: (n >= r["start"]) & (n < r["end_excl"])))
+
+
 def code_metrics(files: DataFrame, t: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
-    """Metrics of source files from their tokens ``t``; lines in ``skipped`` ranges
-    (path, start, end_excl), as those of tests, don't count."""
-    gone = None
-    bare = blanked(t)
-    if skipped is not None:
-        gone = skipped.select("path", F.explode(F.sequence("start", F.col("end_excl") - 1)).alias("n")).distinct()
-        per_file = gone.groupBy("path").agg(F.collect_set(F.col("n").cast("int")).alias("skip"))  # at most a file's lines
-        bare = bare.join(per_file, "path", "left")
-    measured = file_metrics(bare, r"^\b$", "skip" if skipped is not None else None).drop("code_lines", "comment_lines", "comment_ratio")
-    return measured.join(_comment_metrics(measured, t, gone), "path")
-
-
-def _comment_metrics(measured: DataFrame, t: DataFrame, gone: DataFrame | None) -> DataFrame:
-    """(path, code_lines, comment_lines, comment_ratio): lines with something other
-    than comments, and distinct lines of comments that document nothing; without
-    the lines (path, n) that are ``gone``."""
-
-    def lines_of(rows: DataFrame) -> DataFrame:
-        out = rows.select("path", F.explode(F.sequence("line", "end_line")).alias("n")).distinct()
-        return out if gone is None else out.join(gone, ["path", "n"], "left_anti")
-
-    code = lines_of(t.where("kind in ('code', 'string') and text rlike '[^ \\t\\r\\n\\f]'"))
-    docs = lines_of(t.where("kind = 'doc_comment'"))
-    remarks = lines_of(t.where("kind = 'comment'")).join(docs, ["path", "n"], "left_anti")
-    count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
-    out = measured.select("path", F.col("file_lines").alias("all")).join(count(code, "code_lines"), "path", "left").join(count(remarks, "comment_lines"), "path", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("path", zero("code_lines"), zero("comment_lines"), F.when(F.col("all") > 0, F.coalesce("comment_lines", F.lit(0)) / F.col("all")).otherwise(0.0).alias("comment_ratio"))
+    """Metrics of source files from their token arrays ``t``; lines in ``skipped`` ranges
+    (path, start, end_excl), as those of tests, don't count. Lines of code have something other than
+    comments; lines of comments are those that document nothing."""
+    none = F.array().cast("array<struct<start:bigint,end_excl:bigint>>")
+    if skipped is None:
+        rows = t.withColumn("skip", none)
+    else:
+        per_file = skipped.groupBy("path").agg(F.collect_list(F.struct("start", "end_excl")).alias("skip"))
+        rows = t.join(per_file, "path", "left").withColumn("skip", F.coalesce("skip", none))
+    remarks = F.array_except(_lines_of(["comment"]), _lines_of(["doc_comment"]))
+    count = lambda c, name: F.size(c).cast("long").alias(name)
+    counted = rows.select("path", "lang", "text", "tokens", "skip", count(_lines_of(["word", "sign", "string"]), "own_code"), count(remarks, "own_remarks"))
+    out = file_metrics(blanked(counted), r"^\b$", "skip", ("own_code", "own_remarks")).drop("code_lines", "comment_lines", "comment_ratio")
+    ratio = F.when(F.col("file_lines") > 0, F.col("own_remarks") / F.col("file_lines")).otherwise(0.0)
+    return out.withColumn("comment_ratio", ratio).withColumnsRenamed({"own_code": "code_lines", "own_remarks": "comment_lines"})
 
 
 def blocks(t: DataFrame) -> DataFrame:
-    """(path, depth, start, end): lines of each pair of braces. A closing brace ends
-    the last one opened at its depth."""
-    braces = t.where((F.col("kind") == "code") & F.col("text").isin("{", "}")).withColumn("depth", F.when(F.col("text") == "{", F.col("depth")).otherwise(F.col("depth") - 1))
-    w = Window.partitionBy("path", "depth").orderBy("i")
-    paired = braces.withColumn("end", F.lead("line").over(w)).withColumn("end_i", F.lead("i").over(w)).where("text = '{' and end is not null")
-    return paired.select("path", "depth", F.col("line").alias("start"), "end", F.col("i").alias("start_i"), "end_i")
+    """(path, depth, start, end, start_i, end_i): lines and tokens of each pair of braces."""
+    opened = F.filter("tokens", lambda x: (x["kind"] == "sign") & (x["text"] == "{") & (x["pair"] >= 0))
+    each = F.transform(opened, lambda x: F.struct(x["depth"].alias("depth"), x["line"].alias("start"), F.get("tokens", x["pair"])["line"].alias("end"), x["i"].alias("start_i"), x["pair"].alias("end_i")))
+    return t.select("path", F.explode_outer(each).alias("b")).where("b is not null").select("path", "b.*")
 
 
 def test_ranges(code_lines: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.shared import shared_root, written
+from corpusmill.shared import written
+
+#: Tables of rounds that are read one by one.
+MOST_ROUNDS = 16
 
 
 def shared_messages(messages: DataFrame, least_chars: int = 10, least_files: int = 2) -> DataFrame:
@@ -32,19 +37,21 @@ def lone_owners(declared: DataFrame, implemented: DataFrame, local: DataFrame) -
 
 def reaching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes from which a seed is reached along (caller, callee). Each round adds the
-    callers of what the last round added, and is cut off by a checkpoint in the
-    shared folder; it ends when a round adds nothing, as one does sooner or later, since
-    nodes are added once."""
-    shared_root(edges.sparkSession)
-    edges = edges.select("caller", "callee").distinct().checkpoint()
-    known = seeds.select(F.col("node")).distinct().checkpoint()
-    fresh = known
+    callers of what the last round added, and writes these alone in the shared folder; it
+    ends when a round adds nothing, as one does sooner or later, since nodes are
+    added once. The tables of rounds are put together now and then, so that plans stay short."""
+    edges = written(edges.select("caller", "callee").distinct())
+    fresh = written(seeds.select("node").distinct())
+    rounds = [fresh]
     while True:
+        known = reduce(DataFrame.unionByName, rounds)
         callers = edges.join(fresh, edges["callee"] == fresh["node"]).select(F.col("caller").alias("node")).distinct()
-        fresh = callers.join(known, "node", "left_anti").checkpoint()
+        fresh = written(callers.join(known, "node", "left_anti"))
         if not fresh.take(1):
             return known
-        known = known.unionByName(fresh).checkpoint()
+        rounds.append(fresh)
+        if len(rounds) > MOST_ROUNDS:
+            rounds = [written(reduce(DataFrame.unionByName, rounds))]
 
 
 def unasserted(tests: DataFrame, calls: DataFrame, asserting: DataFrame) -> DataFrame:

@@ -17,19 +17,20 @@ IMPORT = r"^\s*(pub\s+)?(use\s+[\w:{]|extern\s+crate\s|import\s)"
 FUNCTION = r"\bfn\s+\w+|\bfunction\b|=>"
 
 
-def file_metrics(files: DataFrame, remark: str = REMARK, skip: str | None = None) -> DataFrame:
+def file_metrics(files: DataFrame, remark: str = REMARK, skip: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(path, lang, file_lines, code_lines, comment_lines, comment_ratio,
     import_count, function_count), computed within each row. ``skip`` names an
-    array column of line numbers that don't count."""
+    array column of ranges (start, end_excl) of lines that don't count; columns named in ``keep`` stay."""
     lines = split_lines(F.col("text"))
     if skip:
-        lines = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.coalesce(F.col(skip), F.array().cast("array<int>")), s["i"] + 1)), lambda s: s["x"])
-    rows = files.select("path", "lang", lines.alias("ls"), line_count(F.col("text")).alias("all_lines"))
+        numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("x")))
+        lines = F.transform(F.filter(numbered, lambda s: ~F.exists(skip, lambda r: (s["n"] >= r["start"]) & (s["n"] < r["end_excl"]))), lambda s: s["x"])
+    rows = files.select("path", "lang", *keep, lines.alias("ls"), line_count(F.col("text")).alias("all_lines"))
     count = lambda test: F.size(F.filter("ls", test)).cast("long")
     n = F.size("ls").cast("long")
     remarks = count(lambda x: x.rlike(remark))
     return rows.select(
-        "path", "lang", "all_lines", n.alias("file_lines"),
+        "path", "lang", *keep, "all_lines", n.alias("file_lines"),
         count(lambda x: ~x.rlike(BLANK) & ~x.rlike(remark)).alias("code_lines"),
         remarks.alias("comment_lines"),
         F.when(n > 0, remarks / n).otherwise(0.0).alias("comment_ratio"),

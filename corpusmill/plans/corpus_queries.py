@@ -707,7 +707,7 @@ def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """Types, implementations, modules and functions that sources declare."""
     from corpusmill.operators import code
 
-    return code.symbols(lines.lines(code.blanked(code.tokens(_sources(spark, sf)))))
+    return code.symbols(lines.lines(code.blanked(code.token_arrays(_sources(spark, sf)))))
 
 
 @query(f"""{SOURCES} SELECT path, depth, start, "end" FROM (
@@ -717,7 +717,7 @@ def code_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of braces by depth and lines; braces in strings don't count."""
     from corpusmill.operators import code
 
-    return code.blocks(code.tokens(_sources(spark, sf))).select("path", "depth", "start", "end")
+    return code.blocks(code.token_arrays(_sources(spark, sf))).select("path", "depth", "start", "end")
 
 
 @query(f"""{SOURCES} SELECT path, 'open-task' AS rule_id, 'warning' AS severity, 3 AS line, strlen(body) + 4 AS "column", 'TODO' AS matched_text FROM src
@@ -738,11 +738,165 @@ def code_metrics(spark: SparkSession, sf: str) -> DataFrame:
     from corpusmill.shared import written
 
     files = _sources(spark, sf)
-    t = written(code.tokens(files))
+    t = written(code.token_arrays(files))
     tests = code.test_ranges(lines.lines(code.blanked(t)), code.blocks(t))
     return code.code_metrics(files, t, tests).select("path", "code_lines", "comment_lines", "function_count", "file_lines", "comment_ratio")
 
 
+# Sources of several shapes: lists of imports, nested modules, tests and helpers, comments and strings with brackets,
+# letters of several bytes, both kinds of line ends. ``d`` modules lie around the functions, so those begin in line d + 2.
+SHAPES = """sh AS (SELECT p_partkey AS k, p_type, p_size % 5 AS d, p_partkey % 3 AS e, 'r' || p_size % 4 AS root, 'r' || p_size % 4 || '/src/p' || p_partkey || '.rs' AS path, p_partkey % 2 = 0 AS own FROM part)"""
+
+
+def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_type", "p_size"))
+    key, d, e = F.col("p_partkey").cast("string"), (F.col("p_size") % 5).cast("int"), (F.col("p_partkey") % 3).cast("string")
+    use = F.when(e == "0", "use std::{fmt, io::{Read, self}}; // {\n").when(e == "1", "pub use ::serde::Deserialize as De;\n").otherwise(F.concat(F.lit("use a"), key, F.lit("::*;\n")))
+    begins = F.array_join(F.transform(F.slice(F.array(*[F.lit(i) for i in range(1, 5)]), F.lit(1), d), lambda i: F.concat(F.lit("mod m"), i.cast("string"), F.lit(" { /* \u00e9{ */\n"))), "")
+    test = F.concat(F.lit("#[test] fn t"), key, F.lit("() { helper"), e, F.lit("(1); x.check::<u8>('}'); }\n"))
+    inner = F.when(e == "0", "assert!(true)").when(e == "1", F.lit("helper0(2)")).otherwise("noop(3)")
+    helper = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("fn helper"), e, F.lit("() { "), inner, F.lit("; }\n"))).otherwise("// no helper\n")
+    go = F.concat(F.lit('fn go() { bail!("no \u00e9 part '), "p_type", F.lit('"); anyhow::ensure!(x, format!("size {} is odd"), r"raw text here"); }\n'))
+    text = F.concat(use, begins, test, helper, go, F.repeat(F.lit("}\n"), d))
+    path = F.concat(F.lit("r"), (F.col("p_size") % 4).cast("string"), F.lit("/src/p"), key, F.lit(".rs"))
+    return part.select(path.alias("path"), F.lit("rust").alias("lang"), F.when(F.col("p_size") % 7 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text).alias("text"))
+
+
+@query(f"""{SHAPES} SELECT path, 0 AS level, 1 AS line, 1 AS end_line, 'use std::' AS head FROM sh WHERE e = 0 UNION ALL SELECT path, 1, 1, 1, 'fmt, io::' FROM sh WHERE e = 0
+UNION ALL SELECT path, m - 1, m + 1, 2 * d + 5 - m, 'mod m' || m FROM (SELECT *, unnest(range(1, d + 1)) AS m FROM sh)
+UNION ALL SELECT path, d, d + 2, d + 2, '#[test] fn t' || k || '()' FROM sh UNION ALL SELECT path, d, d + 3, d + 3, 'fn helper' || e || '()' FROM sh WHERE own UNION ALL SELECT path, d, d + 4, d + 4, 'fn go()' FROM sh""")
+def code_block_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of braces as a tree, with what stands before each."""
+    from corpusmill.operators import blocks, code
+
+    return blocks.block_tree(code.token_arrays(_shapes(spark, sf))).where("kind = '{'").select("path", "level", F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), "head")
+
+
+@query(f"""{SHAPES} SELECT path, d AS level, 'fn go()' AS head, CASE WHEN own THEN 3 ELSE 2 END AS nth, CASE WHEN own THEN 'fn helper' || e || '()' ELSE '#[test] fn t' || k || '()' END AS before_head FROM sh WHERE d > 1""")
+def code_block_siblings(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions right inside a module that lies in one, which have a call and no test around them, and the brother before each."""
+    from corpusmill.operators import blocks, code
+    from corpusmill.shared import written
+
+    t = written(code.token_arrays(_shapes(spark, sf)))
+    tree = written(blocks.block_tree(t)).where("kind = '{'")
+    modules = tree.where("head like 'mod %'")
+    inner = blocks.inside(modules, modules)
+    from corpusmill.operators import facts
+
+    found = facts.calls(t).where("name = 'bail'").withColumn("parent", F.lit(-1))
+    rows = blocks.has(blocks.inside(blocks.siblings(tree), inner, neighbour=True), found)
+    return blocks.not_inside(rows, tree.where("head like '%#[test]%'")).where("head like 'fn %'").select("path", "level", "head", "nth", "before_head")
+
+
+OWNED = f"""{SHAPES}, oc AS (SELECT path, root, 't' || k AS owner, 'helper' || e AS name, d + 2 AS line FROM sh UNION ALL SELECT path, root, 't' || k, 'check', d + 2 FROM sh
+UNION ALL SELECT path, root, 'helper' || e, CASE e WHEN 0 THEN 'assert' WHEN 1 THEN 'helper0' ELSE 'noop' END, d + 3 FROM sh WHERE own
+UNION ALL SELECT path, root, 'go', unnest(['bail', 'ensure', 'format']), d + 4 FROM sh)"""
+
+
+@query(f"{OWNED} SELECT path, owner, name, line::BIGINT AS line FROM oc")
+def code_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """What functions call, by name."""
+    from corpusmill.operators import blocks, code, facts
+    from corpusmill.shared import written
+
+    t = written(code.token_arrays(_shapes(spark, sf)))
+    return facts.owned_calls(t, blocks.block_tree(t)).select("path", "owner", "name", "line")
+
+
+MESSAGES = f"""{SHAPES}, em AS (SELECT path, (d + 4)::BIGINT AS line, 17::BIGINT AS "column", 'no é part ' || p_type AS text FROM sh
+UNION ALL SELECT path, d + 4, 17 + strlen('"no é part ' || p_type || '"); anyhow::ensure!(x, format!('), 'size {{}} is odd' FROM sh)"""
+
+
+@query(f'{MESSAGES} SELECT path, line, "column", text FROM em')
+def code_error_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Strings within macros that make errors."""
+    from corpusmill.operators import code, facts
+
+    return facts.error_messages(code.token_arrays(_shapes(spark, sf))).select("path", "line", "column", "text")
+
+
+@query(f"{MESSAGES}, n AS (SELECT text, count(DISTINCT path) AS files FROM em GROUP BY text HAVING count(DISTINCT path) > 1) SELECT path, line, text, files FROM em JOIN n USING (text)")
+def code_shared_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of errors that several files hold."""
+    from corpusmill.operators import code, facts
+    from corpusmill.shared import written
+
+    return crossfile.shared_messages(written(facts.error_messages(code.token_arrays(_shapes(spark, sf))).select("path", "line", "text")))
+
+
+@query(f"""{SHAPES} SELECT path, 1::BIGINT AS line, 'std' AS root, unnest(['fmt', 'Read', 'io']) AS name, false AS glob FROM sh WHERE e = 0
+UNION ALL SELECT path, 1, 'serde', 'De', false FROM sh WHERE e = 1 UNION ALL SELECT path, 1, 'a' || k, NULL, true FROM sh WHERE e = 2""")
+def code_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that sources import, and from where."""
+    from corpusmill.operators import code, facts
+
+    return facts.rust_uses(code.token_arrays(_shapes(spark, sf)))
+
+
+@query(f"""{SHAPES} SELECT path, name FROM (SELECT path, root, unnest(CASE e WHEN 0 THEN ['std'] WHEN 1 THEN ['serde'] ELSE ['a' || k] END) AS name FROM sh)
+WHERE NOT (name = 'std') AND NOT (name = 'serde' AND root IN ('r0', 'r2')) AND NOT (name LIKE 'a%' AND length(name) < 4) AND root <> 'r3'""")
+def code_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports from packages that the nearest manifest doesn't name; a root without a manifest says nothing."""
+    from corpusmill.operators import code, facts
+
+    uses = facts.rust_uses(code.token_arrays(_shapes(spark, sf))).where("root is not null")
+    folder = F.split_part("path", F.lit("/"), F.lit(1))
+    refs = uses.select("path", F.when(folder != "r3", folder).alias("dir"), F.col("root").alias("name"), F.col("root").alias("specifier")).distinct()
+    short = refs.where("name like 'a%' and length(name) < 4").select("dir", "name").distinct()
+    declared = short.unionByName(spark.createDataFrame([("r0", "serde"), ("r2", "serde")], "dir string, name string"))
+    none = spark.createDataFrame([], "path string, name string"), spark.createDataFrame([], "dir string, prefix string, wildcard boolean")
+    return resolution.unresolved(refs, spark.createDataFrame([("std",)], "name string"), none[0], declared, none[1]).select("path", "name")
+
+
+#: Helpers are known in their file, and those of every tenth part in their root.
+@query(f"""RECURSIVE {OWNED}, fn AS (SELECT path, root, k, 'helper' || e AS name, e = 0 AS asserts FROM sh WHERE own),
+hp AS (SELECT path AS scope, name, asserts FROM fn UNION ALL SELECT root, name, bool_or(asserts) FROM fn WHERE k % 10 = 0 GROUP BY root, name),
+rs AS (SELECT oc.*, coalesce(a.scope, b.scope) AS callee_scope FROM oc LEFT JOIN hp a ON a.scope = oc.path AND a.name = oc.name LEFT JOIN hp b ON b.scope = oc.root AND b.name = oc.name),
+ed AS (SELECT path AS scope, owner, callee_scope, name FROM rs UNION ALL SELECT root, owner, callee_scope, name FROM rs WHERE (root, owner) IN (SELECT scope, name FROM hp) AND path IN (SELECT path FROM fn WHERE k % 10 = 0)),
+ok AS (SELECT scope, name FROM hp WHERE asserts UNION SELECT h.scope, h.name FROM hp h JOIN ed ON ed.scope = h.scope AND ed.owner = h.name JOIN ok ON ok.scope = ed.callee_scope AND ok.name = ed.name)
+SELECT path, 't' || k AS test FROM sh WHERE NOT EXISTS (SELECT 1 FROM rs JOIN ok ON ok.scope = rs.callee_scope AND ok.name = rs.name WHERE rs.path = sh.path AND rs.owner = 't' || sh.k)""")
+def code_unasserted_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Tests none of whose calls reaches a helper that asserts something, as the names resolve where they are called."""
+    from corpusmill.operators import blocks, code, facts
+    from corpusmill.shared import written
+
+    t = written(code.token_arrays(_shapes(spark, sf)))
+    tree = written(blocks.block_tree(t))
+    root = F.split_part("path", F.lit("/"), F.lit(1))
+    owned = written(facts.owned_calls(t, tree).withColumn("root", root))
+    tests = facts.functions(tree).where("is_test").select("path", F.col("name").alias("test"))
+    own = facts.functions(tree).where("name like 'helper%'").select("path", root.alias("root"), "name").distinct()
+    direct = owned.where("name = 'assert'").select("path", F.col("owner").alias("name")).distinct().withColumn("asserts", F.lit(True))
+    told = own.join(direct, ["path", "name"], "left").withColumn("asserts", F.coalesce("asserts", F.lit(False)))
+    public = F.regexp_extract("path", "p([0-9]+)", 1).cast("long") % 10 == 0
+    helpers = written(told.select(F.col("path").alias("scope"), "name", "asserts").unionByName(told.where(public).groupBy(F.col("root").alias("scope"), "name").agg(F.bool_or("asserts").alias("asserts"))))
+    resolved = written(facts.resolved_calls(owned, helpers, spark.createDataFrame([], "path string, name string, scope string")))
+    edges = resolved.select(F.col("path").alias("scope"), F.col("owner").alias("name"), "callee_scope", F.col("name").alias("callee"))
+    shared = resolved.where(public).select(F.col("root").alias("scope"), F.col("owner").alias("name"), "callee_scope", F.col("name").alias("callee"))
+    good = facts.asserting(helpers, edges.unionByName(shared))
+    reached = resolved.join(good, (resolved["callee_scope"] == good["scope"]) & (resolved["name"] == good["name"]), "left_semi").select("path", F.col("owner").alias("test"))
+    return tests.join(reached, ["path", "test"], "left_anti")
+
+
+def _scripts(spark: SparkSession, sf: str) -> DataFrame:
+    key, n = F.col("p_partkey").cast("string"), (F.col("p_size") % 7).cast("string")
+    text = F.concat(
+        F.lit("import { a,\n  b } from 'pkg"), n, F.lit("'; // import 'no'\nimport type { T } from 'types';\nexport { q } from \"other\";\nconst z\u00e9 = require(\"./f"), key, F.lit('");\nimport "side/'),
+        (F.col("p_partkey") % 3).cast("string"), F.lit('";\nconst s = `import "x" from`;\n'),
+    )
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(F.concat(F.lit("web/p"), key, F.lit(".ts")).alias("path"), F.lit("typescript").alias("lang"), text.alias("text"))
+
+
+@query("""s AS (SELECT p_partkey AS k, p_size % 7 AS n, 'web/p' || p_partkey || '.ts' AS path FROM part)
+SELECT path, 1::BIGINT AS line, 1::BIGINT AS "column", 'pkg' || n AS specifier FROM s UNION ALL SELECT path, 5, 21, './f' || k FROM s UNION ALL SELECT path, 6, 1, 'side/' || k % 3 FROM s""")
+def script_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules that scripts import or require."""
+    from corpusmill.operators import code, facts
+
+    return facts.script_imports(code.token_arrays(_scripts(spark, sf)))
+
+
 def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query: findings less what directives switch off, one for each
     place, escalated by their number."""

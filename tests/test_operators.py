@@ -71,7 +71,7 @@ def test_long_tokens(spark):
 
 
 def test_code_structure(spark):
-    t = code.tokens(files(spark, ("a.rs", "rust", RUST)))
+    t = code.token_arrays(files(spark, ("a.rs", "rust", RUST)))
     plain = lines.lines(code.blanked(t))
     ranges = code.test_ranges(plain, code.blocks(t)).collect()
     assert [(r["start"], r["end_excl"]) for r in ranges] == [(10, 14)]
