@@ -101,6 +101,21 @@ def keyed(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """The HMAC-SHA256 of a message under a key, both strings or binary, in lower-case hex. A key of more than 64
+    bytes is hashed first; it is padded to 64, and each byte is combined with the two fixed ones."""
+    raw = key.cast("binary")
+    short = F.when(F.octet_length(raw) > 64, F.sha2(raw, 256)).otherwise(F.hex(raw))
+    padded = F.rpad(short, 128, "0")
+
+    def with_each(byte: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(padded, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(byte)))
+        return F.unhex(F.array_join(F.transform(each, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+    inner = F.unhex(F.sha2(F.concat(with_each(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(with_each(0x5C), inner), 256)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Normalised Levenshtein: 1 for equal strings."""
     longest = F.greatest(F.length(a), F.length(b))

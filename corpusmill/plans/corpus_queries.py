@@ -67,6 +67,10 @@ DIRECTIVES = f"""d AS (SELECT path, line AS comment_line, line + 1 AS target_lin
 RANGES = """g AS (SELECT path, line AS start, line + 3 AS end_excl FROM l WHERE length(text) < 30)"""
 
 
+def documents_with_id(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).where("text is not null")
+
+
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.lines(documents(spark, sf))
 
@@ -897,6 +901,131 @@ def script_imports(spark: SparkSession, sf: str) -> DataFrame:
     return facts.script_imports(code.token_arrays(_scripts(spark, sf)))
 
 
+# Manifests of the nations' folders, which lie in their regions'; of these and the top one some are workspaces. A supplier is a
+# dependency of its nation, by path, inherited or plain, and some are renamed; regions declare what can be inherited.
+MANIFESTS = """pk AS (SELECT 'w' || n_regionkey || '/n-' || n_nationkey AS dir, 'n-' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'lib_' || n_nationkey END AS lib, false AS ws FROM nation
+UNION ALL SELECT 'w' || r_regionkey, 'w-' || r_regionkey, NULL, r_regionkey <> 1 FROM region UNION ALL SELECT '', 'top', 'top_lib', true),
+dp AS (SELECT 'w' || n_regionkey || '/n-' || n_nationkey AS dir, 'dependencies' AS section, 'dep-' || s_suppkey % 40 AS key, CASE WHEN s_suppkey % 7 = 0 THEN 'other' END AS package,
+    CASE WHEN s_suppkey % 3 = 0 THEN '../../w' || s_suppkey % 5 || '/./n-' || s_suppkey % 25 END AS path, s_suppkey % 3 = 1 AS inherits FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT dir, 'workspace.dependencies', 'dep-' || j, CASE WHEN j % 5 = 0 THEN 'other' END, CASE WHEN j % 4 < 3 THEN CASE WHEN dir = '' THEN '' ELSE '../' END || 'w' || j % 5 || '/n-' || j % 25 END, false
+  FROM (SELECT dir, unnest(range(40)) AS j FROM pk WHERE ws))"""
+
+
+@query(f"""{MANIFESTS}, up AS (SELECT pk.dir, max(r.dir) AS root FROM pk JOIN pk r ON r.ws AND (r.dir = '' OR r.dir = pk.dir OR starts_with(pk.dir, r.dir || '/')) GROUP BY pk.dir),
+tg AS (SELECT dir, regexp_extract(path, '(w[0-9]+/(?:\\./)?n-[0-9]+)$', 1) AS target FROM dp WHERE package IS NULL AND path IS NOT NULL
+  UNION ALL SELECT a.dir, regexp_extract(g.path, '(w[0-9]+/n-[0-9]+)$', 1) FROM dp a JOIN up USING (dir) JOIN dp g ON g.dir = up.root AND g.key = a.key AND g.section = 'workspace.dependencies' WHERE a.inherits AND a.package IS NULL AND a.path IS NULL AND g.package IS NULL AND g.path IS NOT NULL)
+SELECT dir, replace(name, '-', '_') AS name FROM pk UNION SELECT dir, lib FROM pk WHERE lib IS NOT NULL UNION SELECT dir, replace(key, '-', '_') FROM dp
+UNION SELECT tg.dir, pk.lib FROM tg JOIN pk ON pk.dir = replace(tg.target, './', '') WHERE pk.lib IS NOT NULL""")
+def importable_names(spark: SparkSession, sf: str) -> DataFrame:
+    """What each package may import, with dependencies that are inherited from the nearest workspace above."""
+    from corpusmill.operators import manifests
+    from corpusmill.shared import written
+
+    text, none = lambda *xs: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in xs]), F.lit(None).cast("string")
+    nation, region, supplier = (table(spark, sf, x) for x in ("nation", "region", "supplier"))
+    n, r, key = F.col("n_nationkey"), F.col("n_regionkey"), F.col("s_suppkey")
+    lib = F.when(n % 2 == 0, text("lib_", n))
+    packages = nation.select(text("w", r, "/n-", n).alias("dir"), text("n-", n).alias("name"), lib.alias("lib_name"), F.lit(False).alias("is_workspace"))
+    packages = packages.unionByName(region.select(text("w", F.col("r_regionkey")).alias("dir"), text("w-", F.col("r_regionkey")).alias("name"), none.alias("lib_name"), (F.col("r_regionkey") != 1).alias("is_workspace")))
+    packages = written(packages.unionByName(spark.createDataFrame([("", "top", "top_lib", True)], packages.schema)))
+    own = supplier.join(nation, F.col("s_nationkey") == n).select(
+        text("w", r, "/n-", n).alias("dir"), F.lit("dependencies").alias("section"), text("dep-", key % 40).alias("key"), F.when(key % 7 == 0, "other").alias("package"),
+        F.when(key % 3 == 0, text("../../w", key % 5, "/./n-", key % 25)).alias("path"), (key % 3 == 1).alias("workspace"),
+    )
+    j = F.col("j")
+    shared = packages.where("is_workspace").select("dir", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("j"))
+    shared = shared.select("dir", F.lit(manifests.SHARED).alias("section"), text("dep-", j).alias("key"), F.when(j % 5 == 0, "other").alias("package"), F.when(j % 4 < 3, text(F.when(F.col("dir") == "", "").otherwise("../"), "w", j % 5, "/n-", j % 25)).alias("path"), F.lit(False).alias("workspace"))
+    return manifests.importable(packages, own.unionByName(shared))
+
+
+#: An ignore file at the top and one in a host's folder, as they might lie in a mirror of the pages.
+IGNORED = [("", "# mirrored pages\n*.html\n!**/1*.html\n/m.*/\n\nde/\nfr/[1-4]*\n!fr/3*"), ("tionble.example.org", "en/*\n!en/7*"), ("tionble.example.org/es", "!*.html\n9??")]
+
+
+def _ignored_sql() -> str:
+    """The same patterns, as regular expressions by hand: folder, line, negated, for folders alone, expression."""
+    rows = [
+        ("", 1, False, False, r"^(?:.*/)?[^/]*\.html$"), ("", 2, True, False, r"^(?:.*/)?1[^/]*\.html$"), ("", 3, False, True, r"^m\.[^/]*$"), ("", 5, False, True, r"^(?:.*/)?de$"),
+        ("", 6, False, False, r"^fr/[1-4][^/]*$"), ("", 7, True, False, r"^fr/3[^/]*$"),
+        ("tionble.example.org", 0, False, False, r"^en/[^/]*$"), ("tionble.example.org", 1, True, False, r"^en/7[^/]*$"),
+        ("tionble.example.org/es", 0, True, False, r"^(?:.*/)?[^/]*\.html$"), ("tionble.example.org/es", 1, False, False, r"^(?:.*/)?9[^/][^/]$"),
+    ]
+    return ", ".join(f"('{d}', {n}, {neg}, {only}, '{x}')" for d, n, neg, only, x in rows)
+
+
+@query(f"""ru AS (SELECT * FROM (VALUES {_ignored_sql()}) AS t(dir, nth, negated, for_folders, x)),
+u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages),
+s AS (SELECT page_id, path, string_split(path, '/') AS ps FROM u),
+en AS (SELECT page_id, path, array_to_string(ps[1:k], '/') AS entry, k < len(ps) AS folder FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM s)),
+m AS (SELECT page_id, path, entry, negated, row_number() OVER (PARTITION BY page_id, path, entry ORDER BY length(dir) DESC, nth DESC) AS w FROM en JOIN ru ON (dir = '' OR starts_with(entry, dir || '/')) AND (folder OR NOT for_folders)
+  AND regexp_matches(CASE WHEN dir = '' THEN entry ELSE substring(entry, length(dir) + 2) END, x))
+SELECT page_id, path FROM u WHERE (page_id, path) NOT IN (SELECT page_id, path FROM m WHERE w = 1 AND NOT negated)""")
+def ignored_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that ignore files in their folders leave in."""
+    from corpusmill.operators import ignores
+
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    files = spark.createDataFrame(IGNORED, "dir string, text string")
+    return ignores.kept(spread(table(spark, sf, "pages").select("page_id", "url")).select("page_id", path.alias("path")), ignores.patterns(files))
+
+
+@query(f"""{FOUND}, c AS (SELECT DISTINCT rule_id || chr(0) || matched_text AS k FROM found WHERE category = 'security'),
+v AS (SELECT k, strlen(k) % 10 / 10 AS p FROM c) SELECT sha256(k) AS key, CASE WHEN strlen(k) % 3 = 0 THEN true ELSE p >= 0.5 END AS is_issue, CASE WHEN strlen(k) % 3 = 0 THEN 1 ELSE p END::DOUBLE AS probability FROM v""")
+def stored_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on findings from a store: half of them asked first, some overruled, then all asked, of which only the rest is
+    new to the model; compacted on the way."""
+    from corpusmill.operators.verdicts import VerdictStore
+    from corpusmill.shared import shared_dir, written
+
+    prompt = F.concat_ws("\0", "rule_id", "matched_text")
+    candidates = written(_found(spark, sf).where("category = 'security'").select(T.keyed(F.col("rule_id"), F.col("matched_text")).alias("key"), prompt.alias("prompt")))
+    store = VerdictStore(spark, shared_dir(spark))
+    model = lambda prompts: [len(x.encode()) % 10 / 10 for x in prompts]
+    third = F.octet_length("prompt") % 3 == 0
+    store.ask(candidates.where(F.octet_length("prompt") % 2 == 0), model)
+    overruled = candidates.where(third).select("key", F.lit(True).alias("is_issue"), F.lit(1.0).alias("probability"), F.lit("by hand").alias("reason"))
+    store.put(overruled.distinct())
+    store.compact()
+    return store.ask(candidates, model).select("key", "is_issue", "probability")
+
+
+TRIED = ", ".join(f"('{r.id}', {_quoted(r.pattern)}, {_quoted(r.unless)})" for r in [*PATTERNS, *[r for r in FIX_RULES if r not in PATTERNS]])
+
+
+@query(f"""r AS (SELECT * FROM (VALUES {TRIED}, ('untested', 'x', NULL)) AS t(rule_id, pattern, unless)), n AS (SELECT rule_id, row_number() OVER (ORDER BY rule_id) - 1 AS i, count(*) OVER () AS m FROM r WHERE rule_id <> 'untested'),
+c AS (SELECT rule_id, text, doc_id % 3 = 0 AS should_match FROM documents JOIN n ON doc_id % m = i WHERE text IS NOT NULL), t AS (SELECT c.*, regexp_matches(text, pattern) AS matched FROM c JOIN r USING (rule_id)),
+s AS (SELECT rule_id, count(*) FILTER (matched = should_match) AS passed, count(*) FILTER (matched <> should_match) AS failed FROM t GROUP BY rule_id)
+SELECT rule_id, coalesce(passed, 0) AS passed, coalesce(failed, 0) AS failed, CASE WHEN failed > 0 THEN 'fail' WHEN passed > 0 THEN 'pass' ELSE 'none' END AS status FROM r LEFT JOIN s USING (rule_id)""")
+def rule_self_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules tried on documents that stand in for their snippets, each on its own."""
+    from corpusmill.operators import selftests
+
+    rules = [*PATTERNS, *[r for r in FIX_RULES if r not in PATTERNS]]
+    named = spark.createDataFrame([*[(r.id, r.pattern, r.unless) for r in rules], ("untested", "x", None)], "rule_id string, pattern string, unless string")
+    ids = F.array(*[F.lit(x) for x in sorted(r.id for r in rules)])
+    cases = documents_with_id(spark, sf).select(F.get(ids, (F.col("doc_id") % len(rules)).cast("int")).alias("rule_id"), F.col("text").alias("snippet"), (F.col("doc_id") % 3 == 0).alias("should_match"))
+    return selftests.summary(named, cases)
+
+
+SECRETS = ("key", "a longer key, of more than sixty-four bytes, which is hashed \u00e9 before it is used")
+
+
+def _hmac_sql(key: str) -> str:
+    import hashlib
+
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pad = lambda byte: f"unhex('{bytes(x ^ byte for x in raw).hex()}')"
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode(url))))"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_hmac_sql(SECRETS[0])} ELSE {_hmac_sql(SECRETS[1])} END AS signature FROM pages")
+def signed_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of entries signed with one of two secrets."""
+    secret = F.when(F.col("page_id") % 2 == 0, SECRETS[0]).otherwise(SECRETS[1])
+    return table(spark, sf, "pages").select("page_id", T.hmac_sha256(secret, F.col("url")).alias("signature"))
+
+
 def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query: findings less what directives switch off, one for each
     place, escalated by their number."""
