@@ -36,6 +36,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +83,12 @@ class WordTokenizer:
     punctuation is put together from the word and the punctuation, between which
     there is always a cut as well."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, model: str, remember: int = 400_000):
+        """``model``: the text of a tokenizer's file."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(model)
         #: Texts that hold one of these are encoded as a whole, as the library reads them as one id.
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Memo(self.spaced, remember)
@@ -139,13 +141,16 @@ class WordTokenizer:
         return [np.frombuffer(odd[i], np.uint32) if i in odd else ids[at[i] : at[i + 1]] for i in range(len(texts))]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[int, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(shared) -> WordTokenizer:
+    """The worker's tokenizer for a broadcast model, made once."""
+    key = getattr(shared, "id", id(shared))
+    if key not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[key] = WordTokenizer(shared.value)
+    return _tokenizers[key]
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -192,10 +197,12 @@ class Store:
 
 
 def _cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """A row per chunk of each document; its data only where this task first met it."""
+    """A row per chunk of each document; its data only where this task first met it. The tokenizer's file,
+    of a few MB, is read by the driver and sent to the workers once."""
+    shared = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack, met = tokenizer(tokenizer_path), zstandard.ZstdCompressor(level=1), set()
+        encode, pack, met = tokenizer(shared), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], np.uint32)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):

@@ -1,6 +1,7 @@
 import glob
 import shutil
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ def test_odd_rows(odd_docs, no_docs):
 
 
 def test_word_tokenizer():
-    t = cs.WordTokenizer(BYTE_BPE, remember=3)
+    t = cs.WordTokenizer(Path(BYTE_BPE).read_text(encoding="utf-8"), remember=3)
     texts = ["", " ", "  ", "a  b", " a", "a ", "a   b", "\n\n x", "x \n y", "  \n", "<|endoftext|> a", "x  \ty", "é☃  ☃", "it's don't. a1, 12. ...", " a   b", "a.\nb", "x" * 200 + " y"]
     for _ in range(2):
         assert [x.tobytes() for x in t(pa.array(texts))] == t.whole(texts)
