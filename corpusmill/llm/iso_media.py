@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,8 @@ def pack(payload: bytes) -> bytes:
     chunks, rest = divmod(units, CHUNK)
     ftyp = box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomqt  ")
     runs = [(1, CHUNK, 1)] * (chunks > 0) + [(chunks + 1, rest, 1)] * (rest > 0)
-    entry = box(b"raw ", bytes(6), struct.pack(">HHIIHHHHI", 1, 0, 0, 0, 1, 8, 0, 0, RATE << 16))
-    keys = range(1, units + 1, GROUP)
+    entry = box(b"raw ", bytes(6), struct.pack(">HIIHHHHI", 1, 0, 0, 1, 8, 0, 0, RATE << 16))
+    keys = np.arange(1, units + 1, GROUP, dtype=">u4")
     n = chunks + (rest > 0)
 
     def moov(first: int) -> bytes:
@@ -61,8 +62,8 @@ def pack(payload: bytes) -> bytes:
             full(b"stts", struct.pack(">III", 1, units, UNIT)),
             full(b"stsc", struct.pack(">I", len(runs)), *[struct.pack(">III", *r) for r in runs]),
             full(b"stsz", struct.pack(">II", UNIT, units)),
-            full(b"co64", struct.pack(f">I{n}Q", n, *range(first, first + n * CHUNK * UNIT, CHUNK * UNIT))),
-            full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys)),
+            full(b"co64", struct.pack(">I", n), (first + np.arange(n, dtype=np.int64) * (CHUNK * UNIT)).astype(">u8").tobytes()),
+            full(b"stss", struct.pack(">I", len(keys)), keys.tobytes()),
         )
         dinf = box(b"dinf", full(b"dref", struct.pack(">I", 1), full(b"url ", flags=1)))
         minf = box(b"minf", full(b"smhd", bytes(4)), dinf, stbl)
@@ -103,35 +104,33 @@ class Track:
     codec: str = ""
     scale: int = 0
     duration: int = 0
-    sizes: list[int] | None = None
-    offsets: list[int] | None = None
-    keys: list[int] | None = None  # from 1 on; None: all
+    sizes: np.ndarray | None = None
+    offsets: np.ndarray | None = None
+    keys: np.ndarray | None = None  # from 1 on; None: all
 
-    def ranges(self) -> list[tuple[int, int]]:
-        """Byte ranges of the key frames."""
-        at = range(len(self.sizes)) if self.keys is None else [k - 1 for k in self.keys]
-        return [(self.offsets[k], self.offsets[k] + self.sizes[k]) for k in at]
+    def ranges(self) -> np.ndarray:
+        """Byte ranges of the key frames, a row each."""
+        at = slice(None) if self.keys is None else self.keys - 1
+        return np.stack([self.offsets[at], self.offsets[at] + self.sizes[at]], 1)
+
+
+def _placed(sizes: np.ndarray, runs: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """Offsets of all samples, from their sizes, the runs of chunks with equally many, and the chunks' offsets."""
+    lasts = np.append(runs[1:, 0] - 1, len(chunks))
+    per = np.repeat(runs[:, 1], lasts - runs[:, 0] + 1)
+    before = np.cumsum(sizes) - sizes
+    first = np.cumsum(per) - per  # each chunk's first sample
+    return np.repeat(chunks[: len(per)] - before[np.minimum(first, max(0, len(sizes) - 1))], per)[: len(sizes)] + before
 
 
 def read(data: bytes) -> list[Track]:
     """The tracks of a file, from its sample tables."""
-    view, tracks, runs, chunks = memoryview(data), [], [], []
-
-    def table(start: int, shape: str) -> list[tuple]:
-        n = struct.unpack_from(">I", view, start + 4)[0]
-        return list(struct.iter_unpack(">" + shape, view[start + 8 : start + 8 + n * struct.calcsize(">" + shape)]))
-
-    def placed(t: Track) -> None:
-        """Offsets of all samples, from chunk runs and chunk offsets."""
-        t.offsets, k = [], 0
-        for i, (first, per, _) in enumerate(runs):
-            last = runs[i + 1][0] - 1 if i + 1 < len(runs) else len(chunks)
-            for c in range(first - 1, last):
-                at = chunks[c][0]
-                for _ in range(per):
-                    t.offsets.append(at)
-                    at += t.sizes[k]
-                    k += 1
+    view, tracks, runs, chunks = memoryview(data), [], None, None
+
+    def table(start: int, kind: str, width: int = 1, skip: int = 4) -> np.ndarray:
+        """The rows of numbers that follow their count."""
+        n = struct.unpack_from(">I", view, start + skip)[0]
+        return np.frombuffer(view, kind, n * width, start + skip + 4).astype(np.int64).reshape((n, width) if width > 1 else n)
 
     for path, start, _ in walk(view):
         kind = path[-1]
@@ -144,29 +143,27 @@ def read(data: bytes) -> list[Track]:
             tracks[-1].codec = bytes(view[start + 12 : start + 16]).decode("latin-1")
         elif kind == b"stsz":
             each, n = struct.unpack_from(">II", view, start + 4)
-            tracks[-1].sizes = [each] * n if each else list(struct.unpack_from(f">{n}I", view, start + 12))
+            tracks[-1].sizes = np.full(n, each, np.int64) if each else table(start, ">u4", skip=8)
         elif kind == b"stsc":
-            runs = table(start, "III")
+            runs = table(start, ">u4", 3)
         elif kind in (b"stco", b"co64"):
-            chunks = table(start, "I" if kind == b"stco" else "Q")
+            chunks = table(start, ">u4" if kind == b"stco" else ">u8")
         elif kind == b"stss":
-            tracks[-1].keys = [x[0] for x in table(start, "I")]
-        if tracks and tracks[-1].offsets is None and tracks[-1].sizes is not None and runs and chunks:
-            placed(tracks[-1])
-            runs, chunks = [], []
+            tracks[-1].keys = table(start, ">u4")
+        if tracks and tracks[-1].offsets is None and tracks[-1].sizes is not None and runs is not None and chunks is not None:
+            tracks[-1].offsets = _placed(tracks[-1].sizes, runs, chunks)
+            runs = chunks = None
     return tracks
 
 
 def payload_of(data: bytes, track: Track) -> bytes:
     """The track's samples in order; neighbours are read at once."""
-    parts, start, end = [], None, None
-    for at, size in zip(track.offsets, track.sizes):
-        if at != end:
-            if end is not None:
-                parts.append(data[start:end])
-            start = at
-        end = at + size
-    return b"".join([*parts, data[start:end]])
+    at, ends = track.offsets, track.offsets + track.sizes
+    if not len(at):
+        return b""
+    heads = np.flatnonzero(np.concatenate([[True], at[1:] != ends[:-1]]))
+    tails = np.append(heads[1:], len(at)) - 1
+    return b"".join(data[a:z] for a, z in zip(at[heads].tolist(), ends[tails].tolist()))
 
 
 def stored_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,19 +191,20 @@ def features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "duration_s", "keyframes"]
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                rows = []
+                rows, spans = [], []
                 for m in b.column(2):
                     data = m.as_buffer().to_pybytes()
                     (t,) = read(data)
                     payload = payload_of(data, t)
-                    keys = [{"start": a, "end": z} for a, z in t.ranges()]
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), t.codec, t.duration / t.scale, keys))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols[:-1]), pa.array(cols[-1], span)], names)
+                    spans.append(t.ranges())
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), t.codec, t.duration / t.scale))
+                both = np.concatenate(spans)
+                keys = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start", "end"])
+                ends = pa.array(np.cumsum([0, *map(len, spans)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, zip(*rows)), pa.ListArray.from_arrays(ends, keys)], names)
 
     kind = media.schema["doc_id"].dataType.simpleString()
     return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration_s double, keyframes array<struct<start:long,end:long>>")
