@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+_lock, _writers, _before = threading.Lock(), 0, "false"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,7 +26,7 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
@@ -49,16 +52,31 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go with the query that made them. The setting is the session's; it is
+    put back when the last of several threads that write is done."""
+    global _writers, _before
+    with _lock:
+        if not _writers:
+            _before = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.set(CLEANUP, _before)
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later jobs
     start from the files, so a lost executor costs no recomputation before them.
     Its shuffle files are of no more use then and go at once."""
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/table"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

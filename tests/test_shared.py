@@ -40,3 +40,43 @@ def test_scratch_is_removed_after_an_error(spark):
     except KeyError:
         pass
     assert set(root.iterdir()) == before
+
+
+def test_setting_is_put_back_by_the_last_of_several_threads(spark):
+    from threading import Thread
+
+    setting, got = spark.conf.get(CLEANUP), []
+    run = lambda k: got.append(written(spark.range(200).repartition(3).selectExpr(f"id + {k} AS n")).count())
+    threads = [Thread(target=run, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert got == [200] * 6
+    assert spark.conf.get(CLEANUP) == setting
+
+
+def test_which_sessions_may_lack_a_shared_folder():
+    import re
+
+    import pytest
+
+    class Fake:
+        def __init__(self, master):
+            self.master, self.set_to = master, None
+            self.conf = self.sparkContext = self
+
+        def get(self, key, default):
+            return default
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, to):
+            self.set_to = to
+
+    for master in ("local", "local[3]", "local[*]"):
+        assert re.match("file:///", shared_root(Fake(master)))
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://h:7077", "locally"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_root(Fake(master))
