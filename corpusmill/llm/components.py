@@ -24,18 +24,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select(F.col("low").alias("a"), "b")).distinct()
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b; a < b); root is the smallest
     node of the component. Each round is written in the shared folder; the rounds
-    end when the sum of edges no longer changes, after about log(n) of them."""
+    end when the edges no longer change, after about log(n) of them."""
     edges = written(edges.where("a < b").distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         edges = written(_small_star(_large_star(edges)))
         now = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components didn't settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

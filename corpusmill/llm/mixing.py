@@ -68,9 +68,11 @@ def leaf_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _weight(level: str, weights: Mapping[str, Mapping[str, float]]) -> Column:
-    """In millionths, so that sums of weights are exact."""
+    """In millionths, so that sums of weights are exact. A weight too small for that is refused."""
     out = F.lit(1_000_000)
     for name, w in weights.get(level, {}).items():
+        if w < 0 or w > 0 and not round(w * 1_000_000):
+            raise ValueError(f"weight {w} of {level} {name}: 0, or a millionth at least")
         out = F.when(F.col(level) == name, round(w * 1_000_000)).otherwise(out)
     return out.cast("long")
 

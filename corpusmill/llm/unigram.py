@@ -253,9 +253,12 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "pi
                 parts = enc.encode_all(b.column(at))
                 ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, ids])
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*plain, "ids"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
+    # Names with dots and the like are put back at the end.
+    plain = [f"c{i}" for i in range(len(names))]
+    rows = docs.toDF(*plain)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))])).toDF(*names, ids)
 
 
 def checked(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
