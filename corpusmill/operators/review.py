@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import keyed, strip_control
+from corpusmill.functions.text import keyed, let, strip_control
 from corpusmill.shared import written
 
 
@@ -91,6 +91,36 @@ def asked(candidates: DataFrame, model) -> DataFrame:
     return candidates.select("key", "prompt").mapInPandas(run, "key string, is_issue boolean, probability double, reason string")
 
 
+def gated(candidates: DataFrame, builtin: DataFrame, allow_external: bool = False) -> DataFrame:
+    """The candidates that may be sent to a model: those of built-in rules (rule_id), and of others only if
+    they are allowed."""
+    return candidates if allow_external else candidates.join(builtin.select("rule_id").distinct(), "rule_id", "left_semi")
+
+
+#: Bytes of source that are sent with a question.
+MOST_BYTES = 64 * 1024
+
+
+def cut_at_line(text: Column, most: int = MOST_BYTES) -> Column:
+    """The text, or what lies before the last line end of its first ``most`` bytes; without a line end there, as many
+    whole characters as these bytes hold."""
+    data = text.cast("binary")
+    part = lambda k: F.substring(data, 1, most - k).cast("string")
+    # A character has up to four bytes.
+    whole = F.coalesce(*[F.when(F.is_valid_utf8(part(k)), part(k)) for k in range(4)], F.lit(""))
+    before = let(whole, lambda x: F.when(F.instr(x, "\n") > 0, F.substring(x, F.lit(1), F.length(x) - F.length(F.substring_index(x, "\n", -1)) - 1)).otherwise(x))
+    return F.when(F.octet_length(data) <= most, text).otherwise(before)
+
+
+def states(candidates: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """Adds ``state``, the numbered ``region`` with its tags escaped, cut and in tags of its own, and whether
+    it was ``truncated``."""
+    safe = F.replace(F.replace(F.col("region"), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rows = candidates.withColumn("_safe", safe)
+    told = F.concat(F.lit("<code>\n"), cut_at_line(F.col("_safe"), most), F.lit("\n</code>"))
+    return rows.withColumn("state", told).withColumn("truncated", F.octet_length("_safe") > most).drop("_safe")
+
+
 def prompts(candidates: DataFrame, template: str) -> DataFrame:
     """Fills a template's {rule}, {file} and {code}; tags in the code are escaped
     and the code is filled in last, so that it can't fill in anything itself."""

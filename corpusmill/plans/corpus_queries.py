@@ -1026,6 +1026,60 @@ def signed_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.hmac_sha256(secret, F.col("url")).alias("signature"))
 
 
+SHAPED = """u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') || CASE page_id % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.ts' ELSE '.md' END AS path FROM pages)"""
+
+
+def _shaped(spark: SparkSession, sf: str) -> DataFrame:
+    ending = F.when(F.col("page_id") % 3 == 0, ".rs").when(F.col("page_id") % 3 == 1, ".ts").otherwise(".md")
+    return table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), ending).alias("path"))
+
+
+@query(f"{SHAPED} SELECT page_id, path FROM u WHERE page_id % 3 < 2 AND page_id % 4 = 1 AND NOT regexp_matches(path, '^(?:.*/)?de/.*$')")
+def explicit_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Of named files those that are there, are sources and aren't ignored."""
+    from corpusmill.sources import tree
+
+    all_ = _shaped(spark, sf)
+    wanted = all_.where("page_id % 4 = 1").select("path").unionByName(spark.createDataFrame([("nowhere.rs",)], "path string"))
+    return tree.explicit(all_, wanted, ["**/de/**"])
+
+
+@query(f"{SHAPED}, r AS (SELECT DISTINCT regexp_extract(path, '^([^/]*/[a-z]+)/', 1) AS root FROM u WHERE page_id % 10 = 3) SELECT page_id, path FROM u WHERE EXISTS (SELECT 1 FROM r WHERE root <> '' AND starts_with(u.path, root || '/'))")
+def scoped_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Files below the folders that are asked for."""
+    from corpusmill.sources import tree
+
+    all_ = _shaped(spark, sf)
+    roots = all_.where("page_id % 10 = 3").select(F.concat(F.nullif(F.regexp_extract("path", "^([^/]*/[a-z]+)/", 1), F.lit("")), F.lit("/")).alias("path")).where("path is not null")
+    return tree.under(all_, roots)
+
+
+@query(f"""{FOUND}, p AS (SELECT DISTINCT path, line FROM found WHERE severity = 'error'),
+q AS (SELECT p.path, p.line, l.line AS n, replace(replace(l.line || ': ' || l.text, '<', '&lt;'), '>', '&gt;') AS t FROM p JOIN l ON p.path = l.path AND l.line BETWEEN p.line - 3 AND p.line + 3),
+c AS (SELECT *, sum(strlen(t) + 1) OVER (PARTITION BY path, line ORDER BY n) AS till, sum(strlen(t) + 1) OVER (PARTITION BY path, line) - 1 AS whole, min(n) OVER (PARTITION BY path, line) AS first FROM q),
+k AS (SELECT path, line, any_value(whole > 700) AS truncated, string_agg(t, chr(10) ORDER BY n) FILTER (whole <= 700 OR till <= 700) AS kept, any_value(t) FILTER (n = first) AS begin FROM c GROUP BY path, line)
+SELECT path, line, truncated, '<code>' || chr(10) || coalesce(kept, substring(begin, 1, list_max(list_filter(range(0, 701), lambda i: strlen(substring(begin, 1, i)) <= 700)))) || chr(10) || '</code>' AS state FROM k""")
+def review_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as a model gets them, cut to 700 bytes."""
+    rows = findings.scan_files(documents(spark, sf), [r for r in PATTERNS if r.severity == "error"], region=3).select("path", "line", "region").distinct()
+    return review.states(rows, 700).select("path", "line", "truncated", "state")
+
+
+@query(f"{FOUND} SELECT {COLS} FROM found WHERE category = 'slop' AND rule_id <> 'pipe-list'")
+def external_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of built-in rules; those of rules from elsewhere aren't sent."""
+    builtin = spark.createDataFrame([(r.id,) for r in RULES if r.id != "pipe-list"], "rule_id string")
+    return review.gated(_found(spark, sf).where("category = 'slop'"), builtin).select(*COLUMNS)
+
+
+@query(f"""{FOUND}, x AS (SELECT rule_id, min((path, line, "column")) AS first FROM found GROUP BY rule_id), i AS (SELECT rule_id, (row_number() OVER (ORDER BY first, rule_id) - 1)::INT AS k FROM x)
+SELECT path, line, "column", found.rule_id, to_json(struct_pack("ruleId" := found.rule_id, "ruleIndex" := k, level := severity, message := struct_pack("text" := message),
+  locations := [struct_pack("physicalLocation" := struct_pack("artifactLocation" := struct_pack(uri := path), region := struct_pack("startLine" := line, "startColumn" := "column")))]))::VARCHAR AS report FROM found JOIN i USING (rule_id)""")
+def sarif_report(spark: SparkSession, sf: str) -> DataFrame:
+    """SARIF results as JSON."""
+    return sinks.sarif_results(_found(spark, sf)).drop("rule_index")
+
+
 def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query: findings less what directives switch off, one for each
     place, escalated by their number."""

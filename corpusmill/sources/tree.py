@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import glob_regex
+from corpusmill.functions.text import ancestors, glob_regex
 
 LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript"}
 
@@ -52,6 +52,23 @@ def only(all_files: DataFrame, wanted: DataFrame) -> DataFrame:
     return all_files.join(w, "path", "left").withColumn("reported", F.coalesce("reported", F.lit(False)))
 
 
+def explicit(all_files: DataFrame, wanted: DataFrame, ignores: Sequence[str] = ()) -> DataFrame:
+    """The files (path, ...) that are named in ``wanted`` (path), and are sources and not ignored; names of
+    nothing are passed by."""
+    out = all_files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*LANGUAGES))
+    for g in ignores:
+        out = out.where(~F.col("path").rlike(glob_regex(g)))
+    return out.join(wanted.select("path").distinct(), "path", "left_semi")
+
+
+def under(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``paths`` that are one of ``roots`` (path) or lie below one: a join on equal folders, since a path's
+    ancestors are spread. A root may end in a slash; the empty one holds all."""
+    asked = roots.select(F.regexp_replace("path", "/+$", "").alias("root")).distinct()
+    each = paths.select("path", F.explode(F.array_union(ancestors(F.col("path")), F.array("path"))).alias("root"))
+    return paths.join(each.join(asked, "root", "left_semi").select("path").distinct(), "path", "left_semi")
+
+
 def jsonc(text: str) -> dict:
     """JSON with comments and trailing commas."""
     strings = r'"(?:\\.|[^"\\])*"'
