@@ -41,14 +41,16 @@ def error_messages(t: DataFrame, least: int = 10, macros: Sequence[str] = ERROR_
     """(path, pre, line, column, text): strings of ``least`` characters or more anywhere inside the brackets of
     an error macro; raw strings don't count."""
     opened = F.filter("near", lambda x: x["t"]["text"].isin("(", "[", "{") & (x["b1"] == "!") & x["b2"].isin(*macros) & (x["t"]["pair"] >= 0))
-    spans = _near(t, 2, 0).withColumn("spans", F.transform(opened, lambda x: F.struct(x["t"]["i"].alias("i"), x["t"]["pair"].alias("end"))))
-    strings = F.filter("code", lambda x: (x["kind"] == "string") & x["text"].startswith('"') & (F.length(x["text"]) >= least + 2) & F.exists("spans", lambda s: (s["i"] < x["i"]) & (x["i"] < s["end"])))
-    return _rows(spans, F.transform(strings, lambda x: F.struct(x["i"].alias("pre"), x["line"].alias("line"), x["column"].alias("column"), _inner(x["text"]).alias("text"))))
+    spans = F.transform(opened, lambda x: F.struct(x["t"]["i"].alias("i"), x["t"]["pair"].alias("end")))
+    held = lambda x, spans: F.exists(spans, lambda s: (s["i"] < x["i"]) & (x["i"] < s["end"]))
+    strings = let(spans, lambda sp: F.filter("code", lambda x: (x["kind"] == "string") & x["text"].startswith('"') & (F.length(x["text"]) >= least + 2) & held(x, sp)))
+    return _rows(_near(t, 2, 0), F.transform(strings, lambda x: F.struct(x["i"].alias("pre"), x["line"].alias("line"), x["column"].alias("column"), _inner(x["text"]).alias("text"))))
 
 
 def calls(t: DataFrame) -> DataFrame:
     """(path, pre, line, name): functions and methods that are called, by their last names, with or without
     type arguments, and macros that are invoked."""
+
     def is_call(n: Column) -> Column:
         plain = (n["a1"] == "(") & ~n["b1"].eqNullSafe("fn") & ~n["b1"].eqNullSafe("function")
         typed = (n["a1"] == ":") & (n["a2"] == ":") & (n["a3"] == "<") & (n["a5"] == ">") & (n["a6"] == "(")
@@ -81,9 +83,9 @@ def rust_uses(t: DataFrame) -> DataFrame:
     near = _near(t, 3, 3)
     begins = F.filter("near", lambda n: (n["t"]["text"] == "use") & (n["t"]["kind"] == "word") & ~n["a1"].isin("<", "(", ".", "="))
     root = lambda n: F.when(n["a1"] == ":", n["a3"]).when(n["a1"] != "{", n["a1"])
-    stops = near.withColumn("stops", F.transform(F.filter("code", lambda x: (x["text"] == ";") & (x["kind"] == "sign")), lambda x: x["i"]))
-    end = lambda n: F.array_min(F.filter("stops", lambda s: s > n["t"]["i"]))
-    uses = stops.withColumn("uses", F.transform(begins, lambda n: F.struct(n["t"]["i"].alias("i"), n["t"]["line"].alias("line"), root(n).alias("root"), end(n).alias("end"))))
+    stops = F.transform(F.filter("code", lambda x: (x["text"] == ";") & (x["kind"] == "sign")), lambda x: x["i"])
+    end = lambda n, stops: F.array_min(F.filter(stops, lambda s: s > n["t"]["i"]))
+    uses = let(stops, lambda st: F.transform(begins, lambda n: F.struct(n["t"]["i"].alias("i"), n["t"]["line"].alias("line"), root(n).alias("root"), end(n, st).alias("end"))))
     of_list = lambda n: F.get(F.filter("near", lambda m: m["t"]["i"] == n["t"]["parent"]), F.lit(0))["b3"]
     name = lambda n: F.when(n["t"]["text"] == "self", of_list(n)).when(n["t"]["text"] != "*", n["t"]["text"])
 
@@ -91,26 +93,25 @@ def rust_uses(t: DataFrame) -> DataFrame:
         own = F.filter("near", lambda n: (n["t"]["i"] > u["i"]) & (n["t"]["i"] < u["end"]) & n["a1"].isin(",", "}", ";") & ((n["t"]["kind"] == "word") | (n["t"]["text"] == "*")))
         return F.transform(own, lambda n: F.struct(u["line"].alias("line"), u["root"].alias("root"), name(n).alias("name"), (n["t"]["text"] == "*").alias("glob")))
 
-    return _rows(uses, F.flatten(F.transform("uses", names)))
+    return _rows(near, F.flatten(F.transform(uses, names)))
 
 
 def script_imports(t: DataFrame) -> DataFrame:
     """(path, line, column, specifier): modules that a TypeScript file imports, at the import, or requires, at the
     string. Imports of types alone and exports from elsewhere don't count."""
     starts = F.filter("near", lambda n: (n["t"]["text"] == "import") & (n["t"]["kind"] == "word"))
-    near = _near(t, 2, 1).withColumn("starts", F.transform(starts, lambda n: F.struct(n["t"]["i"].alias("i"), n["t"]["line"].alias("line"), n["t"]["column"].alias("column"), n["a1"].alias("next"))))
-    begun = lambda n: F.try_element_at(F.filter("starts", lambda s: s["i"] < n["t"]["i"]), F.lit(-1))
-    between = lambda n, s: F.exists("code", lambda x: (x["kind"] == "string") & (x["i"] > s["i"]) & (x["i"] < n["t"]["i"]))
-
-    def imported(n: Column) -> Column:
-        fact = lambda s: F.when((s["next"] != "type") & ~between(n, s), F.struct(s["line"].alias("line"), s["column"].alias("column"), _inner(n["t"]["text"]).alias("specifier")))
-        return let(begun(n), fact)
-
-    def told(n: Column) -> Column:
-        required = F.struct(n["t"]["line"].alias("line"), n["t"]["column"].alias("column"), _inner(n["t"]["text"]).alias("specifier"))
-        return F.when(n["t"]["kind"] != "string", None).when(n["b1"].isin("from", "import"), imported(n)).when((n["b1"] == "(") & (n["b2"] == "require"), required)
-
-    return _rows(near, F.filter(F.transform("near", told), lambda x: x.isNotNull()))
+    starts = F.transform(starts, lambda n: F.struct(n["t"]["i"].alias("i"), n["t"]["line"].alias("line"), n["t"]["column"].alias("column"), n["a1"].alias("next")))
+    strings = F.transform(F.filter("code", lambda x: x["kind"] == "string"), lambda x: x["i"])
+    fact = lambda place, n: F.struct(place["line"].alias("line"), place["column"].alias("column"), _inner(n["t"]["text"]).alias("specifier"))
+
+    def told(n: Column, starts: Column, strings: Column) -> Column:
+        begun = F.try_element_at(F.filter(starts, lambda s: s["i"] < n["t"]["i"]), F.lit(-1))
+        between = lambda s: F.exists(strings, lambda k: (k > s["i"]) & (k < n["t"]["i"]))
+        imported = let(begun, lambda s: F.when((s["next"] != "type") & ~between(s), fact(s, n)))
+        return F.when(n["t"]["kind"] != "string", None).when(n["b1"].isin("from", "import"), imported).when((n["b1"] == "(") & (n["b2"] == "require"), fact(n["t"], n))
+
+    found = let(starts, lambda st: let(strings, lambda ss: F.transform("near", lambda n: told(n, st, ss))))
+    return _rows(_near(t, 2, 1), F.filter(found, lambda x: x.isNotNull()))
 
 
 def asserting(helpers: DataFrame, calls: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
