@@ -39,7 +39,7 @@ from corpusmill.ship import ship
 
 KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words of a shard, and bytes of text to a part of the hash range.
-SHARD, PART = 800_000, 8_000_000
+SHARD, PART = 600_000, 8_000_000
 
 
 @dataclass
@@ -203,12 +203,12 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", depth: int =
             for i, block in blocks(pa.concat_arrays(held.pop(name)), depth, parts, shard):
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int32()), pa.array([block], pa.binary())], ["lang", "part", "block"])
 
-        for b in batches:
-            t = pa.table({"lang": b.column(0), "text": b.column(1)})
+        for b in (whole.slice(begin, end - begin) for whole in batches for begin, end in slices(whole.column(1), 6 * shard)):
             for name in pc.unique(b.column(0)).to_pylist():
-                own = t["text"].filter(pc.equal(t["lang"], name)).combine_chunks()
-                held.setdefault(name, []).append(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own)
+                own = b.column(1).filter(pc.equal(b.column(0), name))
+                held.setdefault(name, []).append(own)
                 sizes[name] = sizes.get(name, 0) + (pc.sum(pc.binary_length(own)).as_py() or 0)
+                del own
             while sum(sizes.values()) > 6 * shard:
                 yield from flushed(max(sizes, key=sizes.get))
         for name in list(sizes):

@@ -268,7 +268,7 @@ a AS (SELECT root, floor((sum(k) + 1) * 1e6 / (sum(n) + 2))::BIGINT AS rate FROM
 {_level_sql("low", "(SELECT host, domain, n, k FROM o)", "mid", "domain")}
 x AS (SELECT host, k + (s / 1e6) * p AS alpha, n - k + (s / 1e6) * (1.0::DOUBLE - p) AS beta FROM low),
 y AS (SELECT host, alpha / (alpha + beta) AS mean, alpha, beta FROM x),
-z AS (SELECT host, mean > 0.5 AND (mean - 0.5) * (mean - 0.5) > {1.645 * 1.645!r}::DOUBLE * (alpha * beta) / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1.0)) AS bad FROM y)
+z AS (SELECT host, mean > a.rate / 1e6 AND (mean - a.rate / 1e6) * (mean - a.rate / 1e6) > {1.645 * 1.645!r}::DOUBLE * (alpha * beta) / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1.0)) AS bad FROM y, a)
 SELECT page_id, v.host, path, rule, coalesce(told, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM v JOIN z ON v.host = z.host
 """
 

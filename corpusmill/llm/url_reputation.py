@@ -6,8 +6,9 @@ beta-binomial: its prior has the mean of its registered domain, the domain's tha
 suffix, the suffix's that of all pages. How strong a level's prior is, is learned
 from the outcomes: the variance of the children's rates around their parent's, beyond what
 their numbers of pages explain, gives the correlation rho of pages with one parent, and the
-prior counts as (1 - rho) / rho pages. A host is blocked if its rate lies above ``limit`` by
-more than ``z`` deviations of the posterior: hosts of which little is known stay.
+prior counts as (1 - rho) / rho pages. A host is blocked if its rate lies above ``limit``, or above the
+rate of all pages if none is given, by more than ``z`` deviations of the posterior: hosts of
+which little is known stay.
 
 Outcomes are summed per host before anything else, so pages move once at most, to meet
 their host's posterior, in a join that Spark can split for a hot host. All terms are rounded
@@ -116,28 +117,29 @@ def _shrunk(children: DataFrame, by: str, rates: DataFrame, above: str) -> DataF
 
 
 def reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
-    """(host, domain, suffix, n, k, alpha, beta) per host of ``hosts`` (host, n, k): the posterior
-    of its rate of bad pages, alpha and beta in pages."""
+    """(host, domain, suffix, n, k, alpha, beta, average) per host of ``hosts`` (host, n, k): the posterior
+    of its rate of bad pages, alpha and beta in pages, and the rate of all pages."""
     own = hosts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("domain", domain_of(F.col("host"), suffixes))
     own = written(own.withColumn("suffix", suffix_of(F.col("domain"))).withColumn("root", F.lit(0)))
     domains = written(own.groupBy("domain", "suffix", "root").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     tops = written(domains.groupBy("suffix", "root").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
-    all_ = tops.groupBy("root").agg(F.floor((F.sum("k") + 1) * F.lit(1e6) / (F.sum("n") + 2)).cast("long").alias("rate"))
+    all_ = written(tops.groupBy("root").agg(F.floor((F.sum("k") + 1) * F.lit(1e6) / (F.sum("n") + 2)).cast("long").alias("rate")))
+    average = F.lit((all_.first() or {"rate": 500_000})["rate"]) / F.lit(1e6)
     at_top = written(_shrunk(tops, "suffix", all_, "root"))
     at_domain = written(_shrunk(domains.drop("root"), "domain", at_top, "suffix"))
     at_host = _shrunk(own.drop("root", "suffix"), "host", at_domain, "domain")
     mean, s = F.col("prior") / F.lit(1e6), F.col("s") / F.lit(1e6)
-    return at_host.select("host", "domain", suffix_of(F.col("domain")).alias("suffix"), "n", "k", (F.col("k") + s * mean).alias("alpha"), (F.col("n") - F.col("k") + s * (F.lit(1.0) - mean)).alias("beta"))
+    return at_host.select("host", "domain", suffix_of(F.col("domain")).alias("suffix"), "n", "k", (F.col("k") + s * mean).alias("alpha"), (F.col("n") - F.col("k") + s * (F.lit(1.0) - mean)).alias("beta"), average.alias("average"))
 
 
-def above(limit: float, z: float) -> Column:
+def above(limit: Column, z: float) -> Column:
     """Whether the rate lies above ``limit`` by ``z`` deviations of its posterior (alpha, beta)."""
     a, b = F.col("alpha"), F.col("beta")
     mean = a / (a + b)
-    return (mean > F.lit(limit)) & ((mean - F.lit(limit)) * (mean - F.lit(limit)) > F.lit(z * z) * (a * b) / ((a + b) * (a + b) * (a + b + F.lit(1.0))))
+    return (mean > limit) & ((mean - limit) * (mean - limit) > F.lit(z * z) * (a * b) / ((a + b) * (a + b) * (a + b + F.lit(1.0))))
 
 
-def judged(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url", bad: str | None = None, limit: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url", bad: str | None = None, limit: float | None = None, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``pages`` with host, path, rule and verdict (allow or block): the rule's, else by the host's
     reputation. ``bad`` names a boolean column with the known outcomes; without one they are
     the verdicts of the rules."""
@@ -148,7 +150,7 @@ def judged(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url", bad: st
     named = pages.select(*columns(keep), host_of(u).alias("host"), path_of(u).alias("path"), (F.col(quoted(bad)) if bad else F.lit(None).cast("boolean")).alias(known)).select("*", fitting)
     outcome = F.col(known) if bad else F.col(f"{at}.verdict") == "block"
     hosts = reputation(outcomes(named.select("host", outcome.alias("bad")), "host", "bad"), suffixes)
-    verdict = F.when(above(limit, z), "block").otherwise("allow")
+    verdict = F.when(above(F.col("average") if limit is None else F.lit(limit), z), "block").otherwise("allow")
     # Written, so that the join's sides are plain shuffles and Spark can split a hot host's pages.
     told = named.join(written(hosts.select(F.struct("host", verdict.alias("verdict")).alias(reputed))), F.col("host") == F.col(f"{reputed}.host"))
     return told.select(*columns(keep), "host", "path", F.col(f"{at}.rule").alias("rule"), F.coalesce(F.col(f"{at}.verdict"), F.col(f"{reputed}.verdict")).alias("verdict"))

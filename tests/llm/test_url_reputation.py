@@ -37,7 +37,7 @@ def plain_level(children, rates):
     return {x: math.floor((k * 1e6 + s * rates[p] / 1e6) / (n * 1e6 + s) * 1e6) for x, (p, n, k) in children.items()}, s
 
 
-def plain_verdicts(rows, limit=0.5, z=1.645):
+def plain_verdicts(rows, limit=None, z=1.645):
     """rows: (host, bad or None); host -> verdict. Domains are the last two labels."""
     n, k = defaultdict(int), defaultdict(int)
     for host, bad in rows:
@@ -50,7 +50,9 @@ def plain_verdicts(rows, limit=0.5, z=1.645):
     for h, d in domain.items():
         of_domain[d].append(h)
         of_suffix[suffix[d]].append(h)
-    top, _ = plain_level(summed({s: 0 for s in of_suffix}, of_suffix), {0: math.floor((sum(k.values()) + 1) * 1e6 / (sum(n.values()) + 2))})
+    average = math.floor((sum(k.values()) + 1) * 1e6 / (sum(n.values()) + 2))
+    limit = average / 1e6 if limit is None else limit
+    top, _ = plain_level(summed({s: 0 for s in of_suffix}, of_suffix), {0: average})
     mid, _ = plain_level(summed(suffix, of_domain), top)
     _, s = plain_level({h: (domain[h], n[h], k[h]) for h in n}, mid)
     out = {}
@@ -99,10 +101,11 @@ def test_reputation_like_plain(spark):
         rows.append((f"https://{h}/q", None))
     rows += [("https://h1.d1.org/x", True)] * 500
     df = spark.createDataFrame(rows, "url string, bad boolean").repartition(4)
-    got = {(x["host"], x["verdict"]) for x in judged(df, [UrlRule("none.example", "/", "allow")], bad="bad").collect()}
-    want = plain_verdicts([(plain_parts(u)[0], b) for u, b in rows])
-    assert got == set(want.items())
-    assert set(want.values()) == {"allow", "block"}
+    for limit in (None, 0.5):
+        got = {(x["host"], x["verdict"]) for x in judged(df, [UrlRule("none.example", "/", "allow")], bad="bad", limit=limit).collect()}
+        want = plain_verdicts([(plain_parts(u)[0], b) for u, b in rows], limit)
+        assert got == set(want.items())
+        assert set(want.values()) == {"allow", "block"}
 
 
 def test_odd_input(spark):
