@@ -19,7 +19,8 @@ set in order of the shingles' frequency among these texts, rarest first, two set
 0.8 have a shingle in common within the first fifth (and one) of either, and their
 first common one leaves enough after it. Passages that many texts share come last
 in that order and make no pairs; what meets are components that share a rare shingle,
-so pairs grow with the square of the components at one, not of a bucket.
+so pairs grow with the square of the components at one, not of a bucket. Of these pairs,
+too, only those with ``LIKE`` equal min-hashes are decided by their sets.
 
 Defined cases: words are told apart by ASCII white space and compared in lower
 case; a text of fewer than five words is one shingle; null counts as empty; texts
@@ -87,11 +88,17 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return one.join(a, "a").where(9 * F.size(F.array_intersect("set_a", "set_b")) >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def marked(nodes: DataFrame) -> DataFrame:
+    """(node, n, marks): a byte of each min-hash, so that a pair carries few bytes. Different
+    min-hashes have one mark in 256 cases, which only adds pairs to those that are decided exactly."""
+    return nodes.select("node", "n", F.transform("hashes", lambda h: (h.bitwiseAND(F.lit(255)) - 128).cast("tinyint")).alias("marks"))
+
+
+def alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The ``pairs`` of nodes (a, b) whose sizes and min-hashes leave a similarity of 0.8 open."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
+    a, b = (marks.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("marks").alias(f"{x}_marks")) for x in "ab")
     sizes = (5 * F.col("a_n") >= 4 * F.col("b_n")) & (5 * F.col("b_n") >= 4 * F.col("a_n"))
-    equal = F.size(F.filter(F.zip_with("a_hashes", "b_hashes", lambda x, y: x == y), lambda x: x))
+    equal = F.size(F.filter(F.zip_with("a_marks", "b_marks", lambda x, y: x == y), lambda x: x))
     # Written before each join, as in ``similar``.
     return written(written(pairs).join(b, "b")).join(a, "a").where(sizes & (equal >= LIKE)).select("a", "b")
 
@@ -135,13 +142,14 @@ def roots(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     met = written(buckets.join(shared, "band"))
     which = written(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "text_key"))
     sets = written(_with_shingles(written(_texts(docs, text).join(which, "text_key").select("node", "t").dropDuplicates(["node"]))))
+    marks = written(marked(nodes))
     first = met.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(similar(alike(first, nodes), sets))
+    links = written(similar(alike(first, marks), sets))
     # What the first step left apart.
     named = written(met.join(connected(links), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
     split = written(named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band"))
     apart = written(named.join(split, "band").select("node", "root").distinct())
-    more = written(similar(across(written(apart.join(sets, "node").select("node", "root", "set"))), sets))
+    more = written(similar(alike(across(written(apart.join(sets, "node").select("node", "root", "set"))), marks), sets))
     return connected(links.unionByName(more))
 
 
