@@ -29,16 +29,11 @@ def block_tree(t: DataFrame) -> DataFrame:
     def block(x: Column) -> Column:
         end = F.get("tokens", x["pair"])
         return F.struct(
-            x["text"].alias("kind"), x["parent"].alias("parent"), x["i"].alias("pre"), x["pair"].alias("post"), x["line"].alias("line"), x["column"].alias("column"),
-            end["line"].alias("end_line"), (end["column"] + 1).alias("end_column"), head(x).alias("head"),
+            x["text"].alias("kind"), x["parent"].alias("parent"), x["i"].alias("pre"), x["pair"].alias("post"), x["level"].alias("level"), x["line"].alias("line"),
+            x["column"].alias("column"), end["line"].alias("end_line"), (end["column"] + 1).alias("end_column"), head(x).alias("head"),
         )
 
-    rows = t.select("path", "lang", F.explode_outer(F.transform(opened, block)).alias("b")).where("b is not null").select("path", "lang", "b.*")
-    # The blocks that are open where one begins are those begun before it, less those ended before it.
-    events = rows.select("path", F.col("pre").alias("at"), F.lit(1).alias("step")).unionByName(rows.select("path", F.col("post").alias("at"), F.lit(-1).alias("step")))
-    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    levels = events.withColumn("level", F.coalesce(F.sum("step").over(before), F.lit(0)).cast("int")).where("step = 1").select("path", F.col("at").alias("pre"), "level")
-    return rows.join(levels, ["path", "pre"]).select("path", "lang", "kind", "parent", "pre", "post", "level", "line", "column", "end_line", "end_column", "head")
+    return t.select("path", "lang", F.explode_outer(F.transform(opened, block)).alias("b")).where("b is not null").select("path", "lang", "b.*")
 
 
 def _within(inner: DataFrame, outer: DataFrame, how: str, neighbour: bool) -> DataFrame:

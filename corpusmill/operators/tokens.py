@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.ship import ship
 
-FIELDS = [("i", "int"), ("kind", "string"), ("text", "string"), ("line", "long"), ("column", "long"), ("end_line", "long"), ("depth", "int"), ("parent", "int"), ("pair", "int"), ("head", "int")]
+FIELDS = [("i", "int"), ("kind", "string"), ("text", "string"), ("line", "long"), ("column", "long"), ("end_line", "long"), ("depth", "int"), ("level", "int"), ("parent", "int"), ("pair", "int"), ("head", "int")]
 TOKEN = "struct<" + ",".join(f"{n}:{t}" for n, t in FIELDS) + ">"
 ARROW = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
 CLOSES = {"}": "{", ")": "(", "]": "["}
@@ -83,7 +83,7 @@ def placed(tokens: pa.ListArray, rust: np.ndarray) -> pa.ListArray:
     place = np.arange(n) - first
     signs = np.flatnonzero(kind == 5)
     signs = signs[[texts[k] in "{}()[];" for k in signs.tolist()]] if len(signs) else signs
-    pair, parent, head, depth = np.full(n, -1), np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
+    pair, parent, head, depth, level = np.full(n, -1), np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
     cuts = np.searchsorted(signs, ends)
     for r in np.flatnonzero(np.diff(cuts)).tolist():
         own = signs[cuts[r] : cuts[r + 1]]
@@ -97,11 +97,14 @@ def placed(tokens: pa.ListArray, rust: np.ndarray) -> pa.ListArray:
         parent[span] = np.where(after >= 0, held[np.maximum(after, 0)], -1)
         step = np.array([{"{": 1, "}": -1}.get(texts[k], 0) for k in own.tolist()])
         depth[span] = np.concatenate([[0], np.cumsum(step)])[after + 1]
+        opens = np.where(match < 0, 0, np.where(match > np.arange(len(own)), 1, -1))
+        level[span] = before(opens)[after + 1]
     # A closing bracket lies beside the one that it matches.
     closing = np.flatnonzero((pair >= 0) & (pair < place))
-    parent[closing] = parent[pair[closing] + first[closing]]
+    for x in (parent, level):
+        x[closing] = x[pair[closing] + first[closing]]
     line = 1 + lines[:-1] - lines[first] if n else lines[:0]
-    columns = [place, NAMES.take(pa.array(kind)), flat, line, at[:-1] - np.maximum(line_begin, at[first]) + 1 if n else at[:0], line + breaks, depth, parent, pair, head]
+    columns = [place, NAMES.take(pa.array(kind)), flat, line, at[:-1] - np.maximum(line_begin, at[first]) + 1 if n else at[:0], line + breaks, depth, level, parent, pair, head]
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, ARROW[t]) for c, (_, t) in zip(columns, FIELDS)]
     structs = pa.StructArray.from_arrays(arrays, fields=[pa.field(f, ARROW[t]) for f, t in FIELDS])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)

@@ -140,6 +140,11 @@ def test_the_files_stay_in_their_rows(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_trees_stay_in_their_rows(spark):
+    t = code.token_arrays(files(spark, ("a", "rust", "fn a() {}")))
+    assert "Exchange" not in blocks.block_tree(t)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_heads_without_comments(spark):
     t = code.token_arrays(files(spark, ("a", "rust", "x; /* c */ #[a]\n  fn  b() /* d */ { }")))
     assert [re.sub(r"\s+", " ", r["head"]) for r in blocks.block_tree(t).where("kind = '{'").collect()] == ["#[a] fn b()"]
