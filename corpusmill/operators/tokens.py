@@ -21,6 +21,8 @@ from corpusmill.ship import ship
 FIELDS = [("i", "int"), ("kind", "string"), ("text", "string"), ("line", "long"), ("column", "long"), ("end_line", "long"), ("depth", "int"), ("level", "int"), ("parent", "int"), ("pair", "int"), ("head", "int")]
 TOKEN = "struct<" + ",".join(f"{n}:{t}" for n, t in FIELDS) + ">"
 ARROW = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
+#: Tokens that a worker places at a time, but for a longer file, so that its memory doesn't depend on the number of files.
+MOST = 30_000
 CLOSES = {"}": "{", ")": "(", "]": "["}
 
 
@@ -110,13 +112,22 @@ def placed(tokens: pa.ListArray, rust: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
 
 
+def slices(tokens: pa.ListArray, most: int = MOST) -> Iterator[tuple[int, int]]:
+    """The rows [begin, end) that are placed together: cut where the tokens before a row pass a multiple of ``most``."""
+    starts = tokens.offsets.to_numpy()[:-1].astype(np.int64)
+    cuts = (np.flatnonzero(np.diff((starts - starts[:1]) // most)) + 1).tolist()
+    yield from zip([0, *cuts], [*cuts, len(tokens)])
+
+
 def token_arrays(files: DataFrame, pattern) -> DataFrame:
     """(path, lang, text, tokens) of ``files``; ``pattern`` gives a language's expression."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rust = pc.fill_null(pc.equal(b.column(1), "rust"), False).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], placed(b.column(3), rust)], ["path", "lang", "text", "tokens"])
+            for begin, end in slices(b.column(3)):
+                own = b.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], placed(own.column(3), rust[begin:end])], ["path", "lang", "text", "tokens"])
 
     ship(files.sparkSession)
     rust, script = (F.regexp_extract_all("text", F.lit(f"({pattern(x)})"), F.lit(1)) for x in ("rust", "typescript"))

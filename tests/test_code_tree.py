@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.operators import blocks, code, facts
-from corpusmill.operators.tokens import brackets
+from corpusmill.operators.tokens import MOST, brackets, placed, slices
 
 
 def files(spark, *rows):
@@ -68,6 +70,19 @@ def test_brackets():
     assert [head[k] for k in (0, 2, 4)] == [-1, 1, 3]
 
 
+def test_files_are_placed_a_few_at_a_time():
+    r = random.Random(5)
+    rows = [list("a{;}") * r.choice([0, 1, 30, 400]) for _ in range(300)]
+    tokens = pa.array([["x"], *rows], pa.list_(pa.string()))[1:]
+    cut = list(slices(tokens, 1000))
+    assert [k for a, b in cut for k in range(a, b)] == list(range(300)) and len(cut) > 20
+    assert all(sum(map(len, rows[a:b])) <= 1000 + max(map(len, rows)) for a, b in cut)
+    rust = np.ones(300, bool)
+    whole = placed(tokens, rust).to_pylist()
+    assert [x for a, b in cut for x in placed(tokens[a:b], rust[a:b]).to_pylist()] == whole
+    assert list(slices(tokens[:0])) == [(0, 0)] and MOST < 100_000
+
+
 def test_tokens_follow_without_a_gap(spark):
     text = "/** d */ fn é() {\r\n\tlet s = \"a\\\"{\"; // {\n}\n/// x\n//// y\n//! z\nlet r = r#\"q\"} \"#; 'c' b\"x\" \"open"
     t = code.token_arrays(files(spark, ("a", "rust", text), ("b", "typescript", text), ("c", "rust", ""), ("d", None, text), ("e", "rust", "é{")))
