@@ -10,15 +10,21 @@ shared folder, so that a lost executor costs one round.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.functions.text import let
 from corpusmill.operators.findings import file_findings, hashed, suppressed
+from corpusmill.operators.tokens import slices
 from corpusmill.plans.rules import Rule
 from corpusmill.shared import written
+from corpusmill.ship import ship
 
 EDIT = "struct<position:bigint,deleted:bigint,inserted:string>"
 GROUPS = f"array<struct<at:bigint,seq:bigint,edits:array<{EDIT}>>>"
@@ -70,26 +76,59 @@ def protected_ranges(files: DataFrame, rules: Sequence[Rule], directives: DataFr
     return out.distinct()
 
 
-def _clash(a: Column, b: Column) -> Column:
-    """Whether two edits can't both be made: they overlap, or begin at one place."""
-    return (a["position"] == b["position"]) | ((a["position"] < b["position"] + b["deleted"]) & (b["position"] < a["position"] + a["deleted"]))
+CHOSEN = f"struct<edits:array<{EDIT}>,seqs:array<bigint>>"
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    """Where each row's items begin among all of ``lists.flatten()``, and the end of the last."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return at - at[0]
+
+
+def _taken(groups: list[tuple[int, int, list[tuple[int, int, str, int]]]], size: int) -> tuple[list[int], list[int]]:
+    """The greedy walk over one file's groups (at, seq, edits), an edit being (position, deleted, inserted, its number): the
+    numbers of the edits taken, by position, and the groups' ``seq``. ``near`` keeps what later groups can still clash with."""
+    near, out, seqs = [], [], []
+    for at, seq, edits in sorted(groups):
+        if not edits or any(p < 0 or p + d > size for p, d, *_ in edits):
+            continue
+        near = [k for k in near if k[0] >= at or k[1] > at]
+        if not any(p == kp or (p < ke and kp < p + d) for p, d, *_ in edits for kp, ke in near):
+            near += [(p, p + d) for p, d, *_ in edits]
+            out += edits
+            seqs.append(seq)
+    return [e[3] for e in sorted(out)], seqs
+
+
+def _chosen(groups: pa.Array, sizes: pa.Array) -> pa.Array:
+    ends, flat = _ends(groups), groups.flatten()
+    at, seq, edits = (flat.field(k) for k in ("at", "seq", "edits"))
+    cuts, each = _ends(edits).tolist(), edits.flatten()
+    at, seq, size = at.to_pylist(), seq.to_pylist(), sizes.to_pylist()
+    edit = list(zip(*[each.field(k).to_pylist() for k in ("position", "deleted", "inserted")], range(len(each))))
+    kept, seqs, kept_ends, seq_ends = [], [], [0], [0]
+    for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        if a < b:
+            numbers, names = _taken([(at[g], seq[g], edit[cuts[g] : cuts[g + 1]]) for g in range(a, b)], size[row])
+            kept += numbers
+            seqs += names
+        kept_ends.append(len(kept))
+        seq_ends.append(len(seqs))
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+    return pa.StructArray.from_arrays([lists(kept_ends, each.take(pa.array(kept, pa.int64()))), lists(seq_ends, pa.array(seqs, pa.int64()))], ["edits", "seqs"])
 
 
 def without_conflicts(groups: Column, size: Column) -> Column:
     """The ``edits`` of the groups that are taken, by position, and these groups' ``seqs``. A greedy walk in
     order of the groups' first positions, then ``seq``: a group is taken if it lies within
-    ``size`` bytes and none of its edits clashes with one taken before. The state
-    keeps apart what later groups can still clash with."""
-    none = F.array().cast(f"array<{EDIT}>")
-    start = F.struct(none.alias("near"), none.alias("out"), F.array().cast("array<bigint>").alias("seqs"))
+    ``size`` bytes and none of its edits clashes with one taken before. A small helper walks, as a fold of columns would
+    copy what it has taken at every step. ``groups`` has to be a plain column."""
 
-    def step(s: Column, g: Column) -> Column:
-        near = F.filter(s["near"], lambda k: (k["position"] >= g["at"]) | (k["position"] + k["deleted"] > g["at"]))
-        taken = ~F.exists(g["edits"], lambda e: F.exists(near, lambda k: _clash(e, k)))
-        return F.when(taken, F.struct(F.concat(near, g["edits"]).alias("near"), F.concat(s["out"], g["edits"]).alias("out"), F.concat(s["seqs"], F.array(g["seq"])).alias("seqs"))).otherwise(F.struct(near.alias("near"), s["out"].alias("out"), s["seqs"].alias("seqs")))
+    def chosen(groups: pa.Array, sizes: pa.Array) -> pa.Array:
+        return _chosen(groups, sizes)
 
-    whole = F.filter(groups, lambda g: (F.size(g["edits"]) > 0) & F.forall(g["edits"], lambda e: (e["position"] >= 0) & (e["position"] + e["deleted"] <= size)))
-    return F.aggregate(F.array_sort(whole), start, step, lambda s: F.struct(F.array_sort(s["out"]).alias("edits"), s["seqs"].alias("seqs")))
+    ship(SparkSession.active())
+    return F.arrow_udf(chosen, CHOSEN)(groups, size.cast("long"))
 
 
 def spliced(text: Column, edits: Column) -> Column:
@@ -105,20 +144,25 @@ def spliced(text: Column, edits: Column) -> Column:
     return let(let(text.cast("binary"), put), lambda out: F.when(F.is_valid_utf8(out), out).otherwise(text))
 
 
-def moved(ranges: Column, edits: Column) -> Column:
-    """Ranges after ``edits``: those behind an edit move by its change in length, those that it
-    touches grow to what it put in, so that they go on protecting what they held."""
-
-    def shifted(r: Column) -> Column:
-        end_of = lambda e: e["position"] + e["deleted"]
-        behind = F.filter(edits, lambda e: end_of(e) <= r["start"])
-        touching = F.filter(edits, lambda e: (end_of(e) > r["start"]) & (e["position"] < r["end"]))
-        change = lambda es: F.aggregate(es, F.lit(0).cast("long"), lambda s, e: s + F.octet_length(e["inserted"]) - e["deleted"])
-        start = F.least(r["start"], F.coalesce(F.array_min(F.transform(touching, lambda e: e["position"])), r["start"]))
-        end = F.greatest(r["end"], F.coalesce(F.array_max(F.transform(touching, end_of)), r["end"]))
-        return F.struct(r["rule_id"].alias("rule_id"), (start + change(behind)).alias("start"), (end + change(behind) + change(touching)).alias("end"))
-
-    return F.transform(ranges, shifted)
+def _moved(ranges: pa.Array, edits: pa.Array) -> pa.Array:
+    """Ranges after ``edits`` that don't clash, by position: those behind an edit move by its change in length, those that it
+    touches grow to what it put in, so that they go on protecting what they held. Both are looked up in
+    sums over the edits, which a range needn't go through."""
+    flat, each = ranges.flatten(), edits.flatten()
+    ends, cuts = _ends(ranges), _ends(edits)
+    start, end, position = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (flat.field("start"), flat.field("end"), each.field("position")))
+    stop = position + each.field("deleted").to_numpy(zero_copy_only=False).astype(np.int64)
+    added = pc.binary_length(each.field("inserted")).to_numpy(zero_copy_only=False).astype(np.int64)
+    change = np.concatenate([[0], np.cumsum(added - (stop - position))])
+    for row in np.flatnonzero((np.diff(ends) > 0) & (np.diff(cuts) > 0)).tolist():
+        own, (a, b) = slice(ends[row], ends[row + 1]), cuts[row : row + 2]
+        behind = a + np.searchsorted(stop[a:b], start[own], "right")
+        touched = np.maximum(behind, a + np.searchsorted(position[a:b], end[own], "left"))
+        some = touched > behind
+        low, high = np.minimum(start[own], position[np.minimum(behind, b - 1)]), np.maximum(end[own], stop[touched - 1])
+        start[own], end[own] = np.where(some, low, start[own]) + change[behind] - change[a], np.where(some, high, end[own]) + change[touched] - change[a]
+    rows = pa.StructArray.from_arrays([flat.field("rule_id"), pa.array(start), pa.array(end)], ["rule_id", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
 def _groups(rules: Sequence[Rule]) -> Column:
@@ -135,8 +179,20 @@ def one_round(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rules = fixable(rules, unsafe=True)
     rest = [c for c in rows.columns if c not in ("text", "protected")]
     found = matched(rows, rules)
-    chosen = found.select(*rest, "text", "protected", without_conflicts(_groups(rules), F.octet_length("text")).alias("chosen"))
-    return chosen.select(*rest, spliced(F.col("text"), F.col("chosen.edits")).alias("text"), moved(F.col("protected"), F.col("chosen.edits")).alias("protected"), F.col("chosen.edits").alias("edits"), F.size("chosen.seqs").cast("long").alias("n"))
+    grouped = found.select(*rest, "text", "protected", _groups(rules).alias("groups"), F.octet_length("text").cast("long").alias("size"))
+    kept = len(rest) + 1
+    told = StructType([*grouped.schema.fields[:kept], *StructType.fromDDL(f"protected {RANGES}, edits array<{EDIT}>, n bigint")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in slices(batch.column(kept + 1)):
+                b = batch.slice(begin, end - begin)
+                edits, seqs = _chosen(b.column(kept + 1), b.column(kept + 2)).flatten()
+                yield pa.RecordBatch.from_arrays([*b.columns[:kept], _moved(b.column(kept), edits), edits, pc.list_value_length(seqs).cast(pa.int64())], told.fieldNames())
+
+    ship(rows.sparkSession)
+    chosen = grouped.mapInArrow(run, told)
+    return chosen.select(*rest, spliced(F.col("text"), F.col("edits")).alias("text"), "protected", "edits", "n")
 
 
 def with_protected(files: DataFrame, protected: DataFrame | None) -> DataFrame:

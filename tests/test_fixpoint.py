@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,15 @@ def test_query_like_plain(spark):
         assert (got[path]["text"], got[path]["n_fixes"], got[path]["rounds"], got[path]["settled"]) == (want, fixes, rounds, settled)
         changed += rounds > 0
     assert changed > 5
+
+
+def test_a_file_of_very_many_matches(spark):
+    n = 20_000
+    files = spark.createDataFrame([("f", "en", "!!\n" * n)], "path string, lang string, text string")
+    rule = [r for r in FIX_RULES if r.id == "bang-pair"]
+    held = spark.createDataFrame([("f", "bang-pair", 0, 2), ("f", "bang-pair", 3 * n - 3, 3 * n - 1)], "path string, rule_id string, start long, end long")
+    begun = time.monotonic()
+    r = fixpoint.one_round(fixpoint.with_protected(files, held), rule).first()
+    assert (r["text"], r["n"]) == ("!!\n" + "!\n" * (n - 2) + "!!\n", n - 2)
+    assert sorted(map(tuple, r["protected"])) == [("bang-pair", 0, 2), ("bang-pair", 2 * n - 1, 2 * n + 1)]
+    assert time.monotonic() - begun < 40  # a fold that copies what it has taken needs minutes
