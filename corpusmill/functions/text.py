@@ -181,6 +181,6 @@ def style_of(name: Column) -> Column:
 
 
 def utc(seconds: Column) -> Column:
-    """Epoch seconds as a UTC time, without regard to the session's zone."""
+    """Epoch seconds as a UTC time, without regard to the session's zone; a year of five digits or more has no sign."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
-    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.format_string("T%02d:%02d:%02dZ", F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60))
+    return F.concat(F.lpad(F.year(day).cast("string"), F.greatest(F.length(F.year(day).cast("string")), F.lit(4)), F.lit("0")), F.date_format(day, "-MM-dd"), F.format_string("T%02d:%02d:%02dZ", F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60))
