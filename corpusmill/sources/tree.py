@@ -52,13 +52,13 @@ def only(all_files: DataFrame, wanted: DataFrame) -> DataFrame:
     return all_files.join(w, "path", "left").withColumn("reported", F.coalesce("reported", F.lit(False)))
 
 
-def explicit(all_files: DataFrame, wanted: DataFrame, ignores: Sequence[str] = ()) -> DataFrame:
+def explicit(all_files: DataFrame, wanted: DataFrame, ignores: Sequence[str] = (), keys: Sequence[str] = ("path",)) -> DataFrame:
     """The files (path, ...) that are named in ``wanted`` (path), and are sources and not ignored; names of
-    nothing are passed by."""
+    nothing are passed by. Where several files share a path, ``keys`` tell them apart."""
     out = all_files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*LANGUAGES))
     for g in ignores:
         out = out.where(~F.col("path").rlike(glob_regex(g)))
-    return out.join(wanted.select("path").distinct(), "path", "left_semi")
+    return out.join(wanted.select(*keys).distinct(), list(keys), "left_semi").select(*all_files.columns)
 
 
 def under(paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -9,3 +9,12 @@ def test_years_of_five_digits(spark):
     seconds = [0, 253402300799, 253402300800, 6_000_000 * 86399]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in seconds], "s long").select(T.utc(F.col("s"))).collect()]
     assert got == ["1970-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "18397-04-02T13:20:00Z"]
+
+
+def test_named_files_that_share_a_path(spark):
+    from corpusmill.sources import tree
+
+    files = spark.createDataFrame([(1, "a.rs"), (2, "a.rs"), (3, "b.md")], "page_id long, path string")
+    wanted = files.where("page_id <> 2")
+    assert [tuple(r) for r in tree.explicit(files, wanted, keys=("page_id", "path")).collect()] == [(1, "a.rs")]
+    assert tree.explicit(files, wanted).count() == 2
