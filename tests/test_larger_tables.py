@@ -18,3 +18,11 @@ def test_named_files_that_share_a_path(spark):
     wanted = files.where("page_id <> 2")
     assert [tuple(r) for r in tree.explicit(files, wanted, keys=("page_id", "path")).collect()] == [(1, "a.rs")]
     assert tree.explicit(files, wanted).count() == 2
+
+
+def test_a_snippet_as_a_whole(spark):
+    from corpusmill.operators import selftests
+
+    rules = spark.createDataFrame([("pipes", r" \| [^|]{1,40} \| ", None)], "rule_id string, pattern string, unless string")
+    cases = spark.createDataFrame([("pipes", "a | b\nc | d", True)], "rule_id string, snippet string, should_match boolean")
+    assert [selftests.summary(rules, cases, by_line=x).first()["status"] for x in (True, False)] == ["fail", "pass"]
