@@ -95,12 +95,13 @@ def marked(nodes: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The ``pairs`` of nodes (a, b) whose sizes and min-hashes leave a similarity of 0.8 open."""
+    """The ``pairs`` of nodes (a, b) whose sizes and min-hashes leave a similarity of 0.8 open: of as many
+    min-hashes as there are, ``LIKE`` in ``POINTS`` have to be equal."""
     a, b = (marks.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("marks").alias(f"{x}_marks")) for x in "ab")
     sizes = (5 * F.col("a_n") >= 4 * F.col("b_n")) & (5 * F.col("b_n") >= 4 * F.col("a_n"))
     equal = F.size(F.filter(F.zip_with("a_marks", "b_marks", lambda x, y: x == y), lambda x: x))
     # Written before each join, as in ``similar``.
-    return written(written(pairs).join(b, "b")).join(a, "a").where(sizes & (equal >= LIKE)).select("a", "b")
+    return written(written(pairs).join(b, "b")).join(a, "a").where(sizes & (POINTS * equal >= LIKE * F.size("a_marks"))).select("a", "b")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
