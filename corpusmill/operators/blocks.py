@@ -18,22 +18,27 @@ def _told(token: Column) -> Column:
     return F.when(token["kind"].isin("comment", "doc_comment"), " ").otherwise(token["text"])
 
 
-def block_tree(t: DataFrame) -> DataFrame:
-    """(path, lang, kind, parent, pre, post, level, line, column, end_line, end_column, head) of token arrays ``t``:
-    a row per matched pair; ``kind`` is the opening bracket, ``parent`` the ``pre`` of the block around
-    it, or -1, ``level`` the number of blocks around it."""
-    opened = F.filter("tokens", lambda x: x["text"].isin("{", "(", "[") & (x["kind"] == "sign") & (x["pair"] >= 0))
-    words = lambda x: F.transform(F.slice("tokens", x["head"] + 1, x["i"] - x["head"]), _told)
+def tree_array(tokens: Column) -> Column:
+    """The blocks of a file's tokens as structs, see ``block_tree``, in order of ``pre``."""
+    opened = F.filter(tokens, lambda x: x["text"].isin("{", "(", "[") & (x["kind"] == "sign") & (x["pair"] >= 0))
+    words = lambda x: F.transform(F.slice(tokens, x["head"] + 1, x["i"] - x["head"]), _told)
     head = lambda x: F.when(x["text"] == "{", F.trim(F.regexp_replace(F.array_join(words(x), ""), r"\s+", " "))).otherwise("")
 
     def block(x: Column) -> Column:
-        end = F.get("tokens", x["pair"])
+        end = F.get(tokens, x["pair"])
         return F.struct(
             x["text"].alias("kind"), x["parent"].alias("parent"), x["i"].alias("pre"), x["pair"].alias("post"), x["level"].alias("level"), x["line"].alias("line"),
             x["column"].alias("column"), end["line"].alias("end_line"), (end["column"] + 1).alias("end_column"), head(x).alias("head"),
         )
 
-    return t.select("path", "lang", F.explode_outer(F.transform(opened, block)).alias("b")).where("b is not null").select("path", "lang", "b.*")
+    return F.transform(opened, block)
+
+
+def block_tree(t: DataFrame) -> DataFrame:
+    """(path, lang, kind, parent, pre, post, level, line, column, end_line, end_column, head) of token arrays ``t``:
+    a row per matched pair; ``kind`` is the opening bracket, ``parent`` the ``pre`` of the block around
+    it, or -1, ``level`` the number of blocks around it."""
+    return t.select("path", "lang", F.explode_outer(tree_array(F.col("tokens"))).alias("b")).where("b is not null").select("path", "lang", "b.*")
 
 
 def _within(inner: DataFrame, outer: DataFrame, how: str, neighbour: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import glob_regex, let
-from corpusmill.operators.blocks import innermost
+from corpusmill.operators.blocks import innermost, tree_array
 from corpusmill.operators.crossfile import reaching
 from corpusmill.operators.tokens import code_only, neighbours
 
@@ -47,35 +47,77 @@ def error_messages(t: DataFrame, least: int = 10, macros: Sequence[str] = ERROR_
     return _rows(_near(t, 2, 0), F.transform(strings, lambda x: F.struct(x["i"].alias("pre"), x["line"].alias("line"), x["column"].alias("column"), _inner(x["text"]).alias("text"))))
 
 
+def call_array(code: Column) -> Column:
+    """The calls among a file's tokens, without blanks and comments, as structs, see ``calls``."""
+
+    def is_call(x: Column, i: Column) -> Column:
+        at = lambda k: F.get(code, i + k)["text"]
+        plain = (at(1) == "(") & ~at(-1).eqNullSafe("fn") & ~at(-1).eqNullSafe("function")
+        typed = (at(1) == ":") & (at(2) == ":") & (at(3) == "<") & (at(5) == ">") & (at(6) == "(")
+        macro = (at(1) == "!") & at(2).isin("(", "[", "{")
+        return (x["kind"] == "word") & F.coalesce(plain | typed | macro, F.lit(False)) & ~x["text"].isin(*KEYWORDS) & ~x["text"].rlike("^[0-9]")
+
+    return F.transform(F.filter(code, is_call), lambda x: F.struct(x["i"].alias("pre"), x["line"].alias("line"), x["text"].alias("name")))
+
+
 def calls(t: DataFrame) -> DataFrame:
     """(path, pre, line, name): functions and methods that are called, by their last names, with or without
     type arguments, and macros that are invoked."""
+    return _rows(t, let(code_only(F.col("tokens")), call_array))
 
-    def is_call(n: Column) -> Column:
-        plain = (n["a1"] == "(") & ~n["b1"].eqNullSafe("fn") & ~n["b1"].eqNullSafe("function")
-        typed = (n["a1"] == ":") & (n["a2"] == ":") & (n["a3"] == "<") & (n["a5"] == ">") & (n["a6"] == "(")
-        macro = (n["a1"] == "!") & n["a2"].isin("(", "[", "{")
-        return (n["t"]["kind"] == "word") & ~n["t"]["text"].isin(*KEYWORDS) & ~n["t"]["text"].rlike("^[0-9]") & F.coalesce(plain | typed | macro, F.lit(False))
 
-    found = F.filter("near", is_call)
-    return _rows(_near(t, 1, 6), F.transform(found, lambda n: F.struct(n["t"]["i"].alias("pre"), n["t"]["line"].alias("line"), n["t"]["text"].alias("name"))))
+FUNCTION = r"\bfn (\w+)"
+
+
+def _is_test(head: Column) -> Column:
+    return head.rlike(r"#\[(?:\w+::)*\w*test\w*(?:\(|\])") & ~head.rlike(r"#\[should_panic")
 
 
 def functions(blocks: DataFrame) -> DataFrame:
     """(path, name, is_test, pre, post, line): Rust functions and their bodies, by the heads of blocks; a test has an
     attribute whose last name says so."""
-    own = blocks.where(F.col("head").rlike(r"\bfn \w+"))
-    test = F.col("head").rlike(r"#\[(?:\w+::)*\w*test\w*(?:\(|\])") & ~F.col("head").rlike(r"#\[should_panic")
-    return own.select("path", F.regexp_extract("head", r"\bfn (\w+)", 1).alias("name"), test.alias("is_test"), "pre", "post", "line")
+    head = F.col("head")
+    return blocks.where(head.rlike(FUNCTION)).select("path", F.regexp_extract(head, FUNCTION, 1).alias("name"), _is_test(head).alias("is_test"), "pre", "post", "line")
+
+
+def file_facts(t: DataFrame) -> DataFrame:
+    """(path, blocks, functions, calls) per file: arrays of what ``block_tree``, ``functions`` and ``calls`` give rows of,
+    each call with its ``owner`` (name, pre), the innermost function around it, or null. They meet within
+    the file's row; nothing is shuffled, and the tokens are read once."""
+    function = lambda b: F.struct(F.regexp_extract(b["head"], FUNCTION, 1).alias("name"), _is_test(b["head"]).alias("is_test"), b["pre"].alias("pre"), b["post"].alias("post"), b["line"].alias("line"))
 
+    def owned(c: Column, functions: Column) -> Column:
+        around = F.filter(functions, lambda f: (f["pre"] < c["pre"]) & (c["pre"] < f["post"]))
+        owner = F.transform(F.slice(around, -1, 1), lambda f: F.struct(f["name"].alias("name"), f["pre"].alias("pre")))
+        return F.struct(c["pre"].alias("pre"), c["line"].alias("line"), c["name"].alias("name"), F.get(owner, F.lit(0)).alias("owner"))
 
-def owned_calls(t: DataFrame, blocks: DataFrame) -> DataFrame:
+    def facts(blocks: Column, code: Column) -> Column:
+        functions = F.transform(F.filter(blocks, lambda b: b["head"].rlike(FUNCTION)), function)
+        return let(functions, lambda fs: F.struct(blocks.alias("blocks"), fs.alias("functions"), F.transform(call_array(code), lambda c: owned(c, fs)).alias("calls")))
+
+    tokens = F.col("tokens")
+    return t.select("path", let(tree_array(tokens), lambda b: let(code_only(tokens), lambda c: facts(b, c))).alias("f")).select("path", "f.*")
+
+
+def each(files: DataFrame, name: str) -> DataFrame:
+    """A row per entry of one of the arrays of ``file_facts``, with the path."""
+    return _rows(files, F.col(name))
+
+
+def owned_calls(t: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(path, owner, owner_pre, name, line): each call with the innermost function around it; calls outside of
-    functions are left out."""
+    functions are left out. The functions are those of the files themselves, or of ``blocks``, which a join brings."""
+    if blocks is None:
+        return owned_rows(file_facts(t))
     met = innermost(calls(t), functions(blocks), "name", "pre")
     return met.where("outer_pre is not null").select("path", F.col("outer_name").alias("owner"), F.col("outer_pre").alias("owner_pre"), "name", "line")
 
 
+def owned_rows(files: DataFrame) -> DataFrame:
+    """``owned_calls`` of ``file_facts``."""
+    return each(files, "calls").where("owner is not null").select("path", F.col("owner.name").alias("owner"), F.col("owner.pre").alias("owner_pre"), "name", "line")
+
+
 def rust_uses(t: DataFrame) -> DataFrame:
     """(path, line, root, name, glob): a row per name that a ``use`` binds, an alias before the name it stands for, and
     ``self`` as the name before its brackets; a glob binds no name. ``root`` is the path's first
@@ -124,7 +166,8 @@ def asserting(helpers: DataFrame, calls: DataFrame, globs: Sequence[str] = ()) -
     if globs:
         told = calls.where(F.col("callee").rlike("|".join(map(glob_regex, globs)))).select(key("scope", "name").alias("node"))
         own = own.unionByName(told.join(helpers.select(key("scope", "name").alias("node")), "node", "left_semi"))
-    edges = calls.select(key("scope", "name").alias("caller"), key("callee_scope", "callee").alias("callee"))
+    # A call that resolves nowhere leads to no helper.
+    edges = calls.where("callee_scope is not null").select(key("scope", "name").alias("caller"), key("callee_scope", "callee").alias("callee"))
     known = helpers.select(key("scope", "name").alias("caller"))
     found = reaching(edges.join(known, "caller", "left_semi"), own.distinct())
     return found.select(F.split_part("node", F.lit("\0"), F.lit(1)).alias("scope"), F.split_part("node", F.lit("\0"), F.lit(2)).alias("name"))
@@ -135,11 +178,7 @@ def resolved_calls(calls: DataFrame, helpers: DataFrame, imports: DataFrame) ->
     (path, name, scope) before the file's root; null if nowhere. ``helpers``: (scope, name), a scope being
     a file or a root."""
     known = helpers.select("scope", "name").distinct()
-    brought = imports.join(known, ["scope", "name"], "left_semi").select("path", "name", F.lit(2).alias("rank"), "scope")
-    options = (
-        calls.select("path", "root", "name").distinct()
-        .select("path", "name", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.col("path").alias("scope")), F.struct(F.lit(3).alias("rank"), F.col("root").alias("scope")))).alias("o"))
-        .select("path", "name", "o.rank", "o.scope").join(known, ["scope", "name"], "left_semi").select("path", "name", "rank", "scope").unionByName(brought)
-    )
-    best = options.groupBy("path", "name").agg(F.min_by("scope", F.struct("rank", "scope")).alias("callee_scope"))
-    return calls.join(best, ["path", "name"], "left")
+    brought = imports.join(known, ["scope", "name"], "left_semi").groupBy("path", "name").agg(F.min("scope").alias("brought"))
+    own, above = (known.select(F.col("scope").alias(k), "name", F.col("scope").alias(c)) for k, c in (("path", "own"), ("root", "above")))
+    met = calls.join(own, ["path", "name"], "left").join(brought, ["path", "name"], "left").join(above, ["root", "name"], "left")
+    return met.select("path", "name", *[c for c in calls.columns if c not in ("path", "name")], F.coalesce("own", "brought", "above").alias("callee_scope"))

@@ -1,14 +1,14 @@
 """Tokens of source files as an array in each file's row, with places and brackets.
 
 The JVM splits a file by one regular expression; a small helper adds places (running sums
-over a batch) and matches brackets (a stack). Nothing is shuffled, and a file's text
+over the bytes of many files) and matches brackets (a stack). Nothing is shuffled, and a file's text
 and tokens stay together; rules and facts are cut out of the array where they are wanted.
 Sequences of tokens are looked at by neighbours: ``code_only`` leaves out blanks and comments.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,14 @@ MOST = 30_000
 CLOSES = {"}": "{", ")": "(", "]": "["}
 
 
-def brackets(texts: list[str]) -> tuple[list[int], list[int], list[int]]:
+def brackets(texts: Sequence[str]) -> tuple[list[int], list[int], list[int]]:
     """Of a file's brackets and semicolons, in order: the place of the bracket that matches each, or -1; of the
     innermost one that is open after it; and, for an opening brace, of the last one before it that ends
     what went before at its level. A closing bracket ends the last open one of its kind; those
     opened after that one match none, and a closing one without its like is passed by."""
     pair, inner, head = [-1] * len(texts), [], [-1] * len(texts)
     open_, ended = [], [-1]  # ``ended`` has one entry more: where the last item of each level ends
+    held = dict.fromkeys(CLOSES.values(), 0)  # the open ones of each kind
     for k, x in enumerate(texts):
         if x == ";":
             ended[-1] = k
@@ -40,10 +41,12 @@ def brackets(texts: list[str]) -> tuple[list[int], list[int], list[int]]:
             head[k] = ended[-1]
             open_.append(k)
             ended.append(k)
-        elif (want := CLOSES[x]) in (texts[j] for j in open_):
+            held[x] += 1
+        elif held[want := CLOSES[x]]:
             while texts[open_[-1]] != want:
-                open_.pop()
+                held[texts[open_.pop()]] -= 1
                 ended.pop()
+            held[want] -= 1
             pair[k], pair[open_[-1]] = open_[-1], k
             open_.pop()
             ended.pop()
@@ -53,60 +56,71 @@ def brackets(texts: list[str]) -> tuple[list[int], list[int], list[int]]:
     return pair, inner, head
 
 
-def _kinds(flat: pa.Array, rust: np.ndarray) -> np.ndarray:
-    has = lambda *xs: np.any([pc.starts_with(flat, x).to_numpy(zero_copy_only=False) for x in xs], axis=0)
-    matched = lambda p: pc.match_substring_regex(flat, p).to_numpy(zero_copy_only=False)
-    several = pc.utf8_length(flat).to_numpy() > 1
-    return np.select(
-        [(matched(r"^//[/!](?:[^/]|$)") & rust) | matched(r"^/\*\*(?:[^/]|$)"), has("//", "/*"), (has('"', "'", "`") & several) | matched('^(?:b"|r#*")'), matched(r"^[ \t\r\n]"), matched(r"^[\pL\pN_]")],
-        [0, 1, 2, 3, 4], 5,
-    )
+def _kinds(flat: pa.Array, first: list[np.ndarray], size: np.ndarray, rust: np.ndarray) -> np.ndarray:
+    """By the first four bytes of each token, 0 beyond its end; only letters of several bytes are looked up."""
+    a, b, c, d = first
+    among = lambda x, chars: np.isin(x, list(chars.encode()))
+    line, block = ((a == ord("/")) & (b == ord(x)) for x in "/*")
+    doc = ((line & rust & among(c, "/!")) | (block & (c == ord("*")))) & (d != ord("/"))
+    string = (among(a, "\"'`") & (size > 1)) | (among(a, "br") & (b == ord('"'))) | ((a == ord("r")) & (b == ord("#")))
+    word = ((a | 32) >= ord("a")) & ((a | 32) <= ord("z")) | (a >= ord("0")) & (a <= ord("9")) | (a == ord("_"))
+    others = np.flatnonzero(a >= 128)
+    word[others] = pc.match_substring_regex(flat.take(pa.array(others)), r"^[\pL\pN]").to_numpy(zero_copy_only=False)
+    return np.select([doc, line | block, string, among(a, " \t\r\n"), word], [0, 1, 2, 3, 4], 5)
 
 
 NAMES = pa.array(["doc_comment", "comment", "string", "blank", "word", "sign"])
 
 
 def placed(tokens: pa.ListArray, rust: np.ndarray) -> pa.ListArray:
-    """The structs of ``TOKEN`` for each row's strings, which follow one another without a gap."""
+    """The structs of ``TOKEN`` for each row's strings, which follow one another without a gap. All rows are
+    placed at once, by their bytes; only brackets are matched one by one."""
     flat, ends = tokens.flatten(), tokens.offsets.to_numpy().astype(np.int64)
     ends = ends - ends[0]
-    sizes = np.diff(ends)
-    row, n = np.repeat(np.arange(len(sizes)), sizes), len(flat)
-    before = lambda x: np.concatenate([[0], np.cumsum(x)])
-    at, breaks = before(pc.binary_length(flat).to_numpy()), pc.count_substring(flat, "\n").to_numpy().astype(np.int64)
-    lines = before(breaks)
+    sizes, n = np.diff(ends), len(flat)
+    if not n:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([], pa.struct([pa.field(f, ARROW[t]) for f, t in FIELDS])))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    size, padded = np.diff(at), np.concatenate([data, np.zeros(4, np.uint8)])
+    start = [np.where(size > k, padded[at[:-1] + k], 0) for k in range(4)]
+    kind = _kinds(flat, start, size, rust[row])
+    newlines = np.flatnonzero(data == ord("\n"))
+    lines = np.searchsorted(newlines, at)  # line ends before each token
+    line_begin = np.concatenate([[0], newlines + 1])[lines[:-1]]
     first = ends[:-1][row]
-    tail = np.zeros(n, np.int64)
-    texts = flat.to_pylist() if n else []
-    for k in np.flatnonzero(breaks).tolist():
-        tail[k] = len(texts[k].rpartition("\n")[2].encode())
-    line_begin = np.maximum.accumulate(np.concatenate([[0], np.where(breaks > 0, at[1:] - tail, 0)]))[:-1] if n else at[:0]
-    kind = _kinds(flat, rust[row]) if n else np.zeros(0, np.int64)
     place = np.arange(n) - first
-    signs = np.flatnonzero(kind == 5)
-    signs = signs[[texts[k] in "{}()[];" for k in signs.tolist()]] if len(signs) else signs
-    pair, parent, head, depth, level = np.full(n, -1), np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    is_sign = (kind == 5) & (size == 1) & np.isin(start[0], list(b"{}()[];"))
+    signs = np.flatnonzero(is_sign)
     cuts = np.searchsorted(signs, ends)
+    chars = start[0][signs].astype(np.uint8).tobytes().decode()
+    told = [[], [], []]
     for r in np.flatnonzero(np.diff(cuts)).tolist():
-        own = signs[cuts[r] : cuts[r + 1]]
-        match, inner, ended = (np.array(x) for x in brackets([texts[k] for k in own.tolist()]))
-        local = own - ends[r]
-        pair[own] = np.where(match >= 0, local[match], -1)
-        head[own] = np.where(ended >= 0, local[ended] + 1, 0)
-        span = np.arange(ends[r], ends[r + 1])
-        after = np.searchsorted(own, span) - 1  # the last bracket before each token
-        held = np.where(inner >= 0, local[inner], -1)
-        parent[span] = np.where(after >= 0, held[np.maximum(after, 0)], -1)
-        step = np.array([{"{": 1, "}": -1}.get(texts[k], 0) for k in own.tolist()])
-        depth[span] = np.concatenate([[0], np.cumsum(step)])[after + 1]
-        opens = np.where(match < 0, 0, np.where(match > np.arange(len(own)), 1, -1))
-        level[span] = before(opens)[after + 1]
+        for whole, own in zip(told, brackets(chars[cuts[r] : cuts[r + 1]])):
+            whole += own
+    begin = cuts[row]  # the file's first bracket
+    match, inner, ended = (np.where(x >= 0, x + begin[signs], -1) for x in (np.array(y, np.int64) for y in told))
+    local = place[signs]
+    pair, parent, head = np.full(n, -1), np.full(n, -1), np.full(n, -1)
+    depth, level = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if len(signs):
+        pair[signs] = np.where(match >= 0, local[match], -1)
+        head[signs] = np.where(ended >= 0, local[ended] + 1, 0)
+        after = np.cumsum(is_sign) - is_sign  # brackets before each token
+        parent = np.where(after > begin, np.where(inner >= 0, local[inner], -1)[after - 1], -1)
+        code = start[0][signs].astype(np.int64)
+        opens = np.where(match < 0, 0, np.where(match > np.arange(len(signs)), 1, -1))
+        for x, step in ((depth, (code == ord("{")).astype(np.int64) - (code == ord("}"))), (level, opens)):
+            total = np.concatenate([[0], np.cumsum(step)])
+            x[:] = total[after] - total[begin]
     # A closing bracket lies beside the one that it matches.
     closing = np.flatnonzero((pair >= 0) & (pair < place))
     for x in (parent, level):
         x[closing] = x[pair[closing] + first[closing]]
-    line = 1 + lines[:-1] - lines[first] if n else lines[:0]
-    columns = [place, NAMES.take(pa.array(kind)), flat, line, at[:-1] - np.maximum(line_begin, at[first]) + 1 if n else at[:0], line + breaks, depth, level, parent, pair, head]
+    line = 1 + lines[:-1] - lines[first]
+    columns = [place, NAMES.take(pa.array(kind)), flat, line, at[:-1] - np.maximum(line_begin, at[first]) + 1, line + np.diff(lines), depth, level, parent, pair, head]
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, ARROW[t]) for c, (_, t) in zip(columns, FIELDS)]
     structs = pa.StructArray.from_arrays(arrays, fields=[pa.field(f, ARROW[t]) for f, t in FIELDS])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
