@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.findings import normalised, outside, scan
-from corpusmill.operators.lines import lines
+from corpusmill.functions.text import let, split_lines
+from corpusmill.operators.findings import normalised, scan, scan_files
 from corpusmill.operators import tokens as token_rows
 from corpusmill.operators.metrics import file_metrics, metric_findings
 from corpusmill.plans.rules import Rule
@@ -58,22 +58,27 @@ def _blank(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\n]", " ")
 
 
-def blanked(t: DataFrame) -> DataFrame:
-    """(path, lang, text) of token arrays: the files with comments and what is in strings as
-    blanks; lines and byte columns stay."""
+def _plain(tokens: Column) -> Column:
+    """A file's text with comments and what is in strings as blanks."""
 
     def shown(x: Column) -> Column:
         inner = F.concat(F.substring(x["text"], 1, 1), _blank(F.substring(x["text"], F.lit(2), F.length(x["text"]) - 2)), F.substring(x["text"], -1, 1))
         return F.when(x["kind"].isin("word", "sign", "blank"), x["text"]).when(x["kind"] == "string", inner).otherwise(_blank(x["text"]))
 
-    return t.withColumn("text", F.array_join(F.transform("tokens", shown), "")).drop("tokens")
+    return F.array_join(F.transform(tokens, shown), "")
+
+
+def blanked(t: DataFrame) -> DataFrame:
+    """(path, lang, text) of token arrays: the files with comments and what is in strings as
+    blanks; lines and byte columns stay."""
+    return t.withColumn("text", _plain(F.col("tokens"))).drop("tokens")
 
 
 def _in_tokens(t: DataFrame, kind: str, rules: Sequence[Rule]) -> DataFrame:
-    """Matches within tokens of a kind, at their places in the file."""
+    """Matches within tokens of a kind, at their places in the file; ``tests`` stays."""
     own = F.filter("tokens", lambda x: x["kind"] == kind)
-    rows = t.select("path", "lang", F.explode_outer(own).alias("x")).where("x is not null").select("path", "lang", "x.line", "x.text", "x.column")
-    found = scan(rows.select("path", "lang", F.struct("line", "column", "text").alias("token"), "text", F.lit(0).cast("long").alias("line")), rules, keep=("token",))
+    rows = t.select("path", "lang", "tests", F.explode_outer(own).alias("x")).where("x is not null").select("path", "lang", "tests", "x.line", "x.text", "x.column")
+    found = scan(rows.select("path", "lang", "tests", F.struct("line", "column", "text").alias("token"), "text", F.lit(0).cast("long").alias("line")), rules, keep=("token", "tests"))
     before = F.decode(F.substring(F.encode("token.text", "UTF-8"), F.lit(1), (F.col("column") - 1).cast("int")), "UTF-8")
     breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
     shift = F.when(breaks == 0, F.col("token.column") - 1 + F.octet_length(before)).otherwise(F.octet_length(F.substring_index(before, "\n", -1)))
@@ -84,28 +89,36 @@ def _in_tokens(t: DataFrame, kind: str, rules: Sequence[Rule]) -> DataFrame:
 
 def scan_code(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Findings of all rules over source files, each kind of rule on what it looks at.
-    The files are tokenised once and the tokens written in the shared folder. Rules
-    that skip tests also skip lines in ``#[cfg(test)]`` items."""
-    t = written(token_arrays(files))
-    plain = lines(blanked(t))
-    tests = test_ranges(plain, blocks(t))
+    The files are tokenised once; what the rules look at is written in the shared folder, a row per
+    file, with the ranges of its tests. Rules that skip tests also skip lines in ``#[cfg(test)]`` items."""
+    kinds = {r.kind for r in rules if r.pattern}
+    measured = any(r.metric for r in rules)
+    wanted = [k for k in ("comment", "doc_comment", "string") if k in kinds]
+    tokens = F.col("tokens")
+    kept = tokens if measured else F.filter(tokens, lambda x: x["kind"].isin(wanted)) if wanted else F.slice(tokens, 1, 0)
+    text = ["text"] if measured or "line" in kinds else []
+    told = token_arrays(files).select("path", "lang", *text, let(_plain(tokens), lambda p: F.struct(p.alias("plain"), _test_array(p, tokens).alias("tests"))).alias("p"), kept.alias("tokens"))
+    t = written(told.select("path", "lang", *text, "p.plain", "p.tests", "tokens"))
+    keep = ["path", "lang", "rule_id", "severity", "category", "message", "line", "column", "end_column", "matched_text", "seq", "tests"]
     parts = []
     for kind in ("comment", "doc_comment", "string", "code", "line"):
         if own := [r for r in rules if r.pattern and r.kind == kind]:
-            parts.append(scan(plain, own) if kind == "code" else scan(lines(files), own) if kind == "line" else _in_tokens(t, kind, own))
+            parts.append(_in_tokens(t, kind, own) if kind in wanted else scan_files(t.select("path", "lang", "tests", F.col("plain" if kind == "code" else "text").alias("text")), own))
     skips = lambda r: r.skip_tests and r.language == "rust"
-    for skipped, wanted in ((tests, [r for r in rules if r.metric and skips(r)]), (None, [r for r in rules if r.metric and not skips(r)])):
-        if wanted:
-            found = metric_findings(code_metrics(files, t, skipped), wanted)
-            parts.append(found.withColumn("end_column", F.lit(1).cast("long")).withColumn("seq", F.lit(0).cast("long")))
-    keep = ["path", "lang", "rule_id", "severity", "category", "message", "line", "column", "end_column", "matched_text", "seq"]
+    if measured:
+        whole, tests = t.select("path", "lang", "text", "tokens"), t.select("path", F.explode("tests").alias("r")).select("path", "r.*")
+        for skipped, own in ((tests, [r for r in rules if r.metric and skips(r)]), (None, [r for r in rules if r.metric and not skips(r)])):
+            if own:
+                found = metric_findings(code_metrics(files, whole, skipped), own)
+                found = found.withColumn("end_column", F.lit(1).cast("long")).withColumn("seq", F.lit(0).cast("long"))
+                parts.append(found.join(t.select("path", "tests"), "path", "left"))
     out = parts[0].select(*keep)
     for p in parts[1:]:
         out = out.unionByName(p.select(*keep))
-    skipping = [r.id for r in rules if r.skip_tests and r.language == "rust" and r.pattern]
-    is_skipping = F.col("rule_id").isin(skipping) & (F.col("lang") == "rust")
-    kept = outside(out.where(is_skipping), tests).unionByName(out.where(~is_skipping))
-    return normalised(kept)
+    skipping = [r.id for r in rules if skips(r) and r.pattern]
+    in_test = F.exists("tests", lambda r: (F.col("line") >= r["start"]) & (F.col("line") < r["end_excl"]))
+    skipped = F.col("rule_id").isin(skipping) & F.col("lang").eqNullSafe("rust") & F.coalesce(in_test, F.lit(False))
+    return normalised(out.where(~skipped).drop("tests"))
 
 
 def _lines_of(kinds: Sequence[str]) -> Column:
@@ -133,17 +146,37 @@ def code_metrics(files: DataFrame, t: DataFrame, skipped: DataFrame | None = Non
     return out.withColumn("comment_ratio", ratio).withColumnsRenamed({"own_code": "code_lines", "own_remarks": "comment_lines"})
 
 
+def _brace_array(tokens: Column) -> Column:
+    opened = F.filter(tokens, lambda x: (x["kind"] == "sign") & (x["text"] == "{") & (x["pair"] >= 0))
+    return F.transform(opened, lambda x: F.struct(x["depth"].alias("depth"), x["line"].alias("start"), F.get(tokens, x["pair"])["line"].alias("end"), x["i"].alias("start_i"), x["pair"].alias("end_i")))
+
+
 def blocks(t: DataFrame) -> DataFrame:
     """(path, depth, start, end, start_i, end_i): lines and tokens of each pair of braces."""
-    opened = F.filter("tokens", lambda x: (x["kind"] == "sign") & (x["text"] == "{") & (x["pair"] >= 0))
-    each = F.transform(opened, lambda x: F.struct(x["depth"].alias("depth"), x["line"].alias("start"), F.get("tokens", x["pair"])["line"].alias("end"), x["i"].alias("start_i"), x["pair"].alias("end_i")))
-    return t.select("path", F.explode_outer(each).alias("b")).where("b is not null").select("path", "b.*")
+    return t.select("path", F.explode_outer(_brace_array(F.col("tokens"))).alias("b")).where("b is not null").select("path", "b.*")
+
+
+def _is_mark(text: Column) -> Column:
+    return text.contains("#") & (F.regexp_replace(text, r"\s", "") == "#[cfg(test)]")
+
+
+def _test_array(plain: Column, tokens: Column) -> Column:
+    """The ranges of ``test_ranges`` within a file's row."""
+    marked = F.transform(split_lines(plain), lambda x, i: F.when(_is_mark(x), (i + 1).cast("long")))
+    marks = F.filter(marked, lambda n: n.isNotNull())
+
+    def ranges(braces: Column) -> Column:
+        after = lambda m: F.get(F.filter(braces, lambda b: b["start"] >= m), F.lit(0))
+        return F.filter(F.transform(marks, lambda m: F.struct(m.alias("start"), (after(m)["end"] + 1).alias("end_excl"))), lambda r: r["end_excl"].isNotNull())
+
+    # Most files have no mark.
+    return F.when(plain.contains("#"), let(_brace_array(tokens), ranges)).otherwise(F.array().cast("array<struct<start:bigint,end_excl:bigint>>"))
 
 
 def test_ranges(code_lines: DataFrame, b: DataFrame) -> DataFrame:
     """(path, start, end_excl): from a ``#[cfg(test)]`` line through the first block
     that opens at or after it."""
-    marks = code_lines.where(F.regexp_replace("text", r"\s", "") == "#[cfg(test)]").select("path", F.col("line").alias("mark"))
+    marks = code_lines.where(_is_mark(F.col("text"))).select("path", F.col("line").alias("mark"))
     after = marks.join(b, "path").where("start >= mark").groupBy("path", "mark").agg(F.min(F.struct("start_i", "end")).alias("b"))
     return after.select("path", F.col("mark").alias("start"), (F.col("b.end") + 1).alias("end_excl"))
 
