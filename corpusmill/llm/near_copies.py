@@ -67,7 +67,8 @@ def _place(x: Column) -> Column:
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text_key, node, n, hashes) per row: the set's name and size, and its min-hashes."""
+    """(text_key, node, n, bands, marks) per row: the set's name and size, and the keys and marks of its min-hashes,
+    which take 288 bytes where the min-hashes themselves would take 768."""
     ordered = _with_shingles(_texts(docs, text)).select("text_key", F.sort_array("set").alias("set"))
     n = F.size("set")
     before = F.concat(F.array(F.lit(None).cast("long")), F.slice("set", F.lit(1), n - 1))
@@ -77,7 +78,9 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     before = F.concat(F.array(F.lit(None).cast("long")), F.slice("firsts", F.lit(1), F.size("firsts") - 1))
     own = F.zip_with(before, "firsts", lambda a, b: F.array_repeat(b, (_place(b) - F.coalesce(_place(a), F.lit(-POINTS // 2 - 1))).cast("int")))
     after = F.array_repeat(F.get("firsts", F.lit(0)), (F.lit(POINTS // 2 - 1) - _place(F.element_at("firsts", -1))).cast("int"))
-    return firsts.select("text_key", "node", "n", F.concat(F.flatten(own), after).alias("hashes"))
+    hashed = firsts.select("text_key", "node", "n", F.concat(F.flatten(own), after).alias("hashes"))
+    bands = F.array(*[F.xxhash64(F.lit(k), *[F.get("hashes", F.lit(k * ROWS + i)) for i in range(ROWS)]) for k in range(BANDS)])
+    return hashed.select("text_key", "node", "n", bands.alias("bands"), _marks(F.col("hashes")).alias("marks"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -88,10 +91,14 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return one.join(a, "a").where(9 * F.size(F.array_intersect("set_a", "set_b")) >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
+def _marks(hashes: Column) -> Column:
+    return F.transform(hashes, lambda h: (h.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
+
+
 def marked(nodes: DataFrame) -> DataFrame:
     """(node, n, marks): a byte of each min-hash, so that a pair carries few bytes. Different
     min-hashes have one mark in 256 cases, which only adds pairs to those that are decided exactly."""
-    return nodes.select("node", "n", F.transform("hashes", lambda h: (h.bitwiseAND(F.lit(255)) - 128).cast("tinyint")).alias("marks"))
+    return nodes.select("node", "n", _marks(F.col("hashes")).alias("marks"))
 
 
 def alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -147,14 +154,13 @@ def twice_met(named: DataFrame) -> DataFrame:
 
 def roots(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the nodes that have near copies with other shingle sets."""
-    nodes = written(rows.groupBy("node").agg(F.first("text_key").alias("text_key"), F.first("n").alias("n"), F.first("hashes").alias("hashes")))
-    bands = F.array(*[F.xxhash64(F.lit(k), *[F.col("hashes")[k * ROWS + i] for i in range(ROWS)]) for k in range(BANDS)])
-    buckets = nodes.select(F.explode(bands).alias("band"), "node", "n")
+    nodes = written(rows.groupBy("node").agg(F.first("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "bands", "marks")]))
+    buckets = nodes.select(F.explode("bands").alias("band"), "node")
     shared = written(buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("band", "low"))
     met = written(buckets.join(shared, "band"))
     which = written(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "text_key"))
     sets = written(_with_shingles(written(_texts(docs, text).join(which, "text_key").select("node", "t").dropDuplicates(["node"]))))
-    marks = written(marked(nodes))
+    marks = nodes.select("node", "n", "marks")
     first = met.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = written(similar(alike(first, marks), sets))
     # What the first step left apart.

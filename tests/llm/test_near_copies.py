@@ -79,3 +79,15 @@ def test_group_above_the_line_limit(spark):
     assert set(got) == set(range(100))
     assert not any("Share" in got[i] for i in range(60)) and all(got[r[0]] == r[1] for r in rows[60:])
     assert {r["doc_id"] for r in lf.clean_documents(docs).select("doc_id").collect()} == set(range(60))
+
+
+def test_a_sketch_is_small_and_says_the_same(spark):
+    """Keys and a byte of each min-hash go with a text, not the min-hashes: 288 bytes instead of 768."""
+    rng = random.Random(9)
+    words = " ".join(texts(rng, 10)).split()
+    rows = [(0, " ".join(words), "en", "s", 0), (1, " ".join([*words[:-1], "z"]).upper(), "en", "s", 0), (2, None, "en", "s", 0), (3, " ".join(texts(rng, 10)), "en", "s", 0)]
+    got = nc.sketches(spark.createDataFrame(rows, SCHEMA))
+    assert dict(got.dtypes) == {"text_key": "binary", "node": "bigint", "n": "int", "bands": "array<bigint>", "marks": "array<tinyint>"}
+    a, b, none, other = (set(r["bands"]) for r in got.collect())
+    assert {(len(r["bands"]), len(r["marks"])) for r in got.collect()} == {(nc.BANDS, nc.POINTS)} and len(none) == nc.BANDS
+    assert len(a & b) > 12 and not a & other and not a & none
