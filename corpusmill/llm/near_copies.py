@@ -10,17 +10,18 @@ probability of their similarity. A pair at 0.8 has two keys in common with a
 probability of 0.9999 if the places were independent; neighbouring ones of a small
 set aren't. Every candidate is then decided by its exact similarity.
 
-No bucket is capped. First each text of a bucket meets the bucket's smallest one,
-unless fewer than ``LIKE`` of their 96 min-hashes are equal (a pair at 0.8 has 77 on
+No bucket is capped. First each text of a bucket meets the bucket's ``CENTRES`` most central ones,
+which share buckets with most texts: of a group of edited copies those with the fewest edits, to
+which nearly all that belong to the group are linked. A pair is left out if fewer than ``LIKE`` of their 96 min-hashes are equal (a pair at 0.8 has 77 on
 average; of 4000 random pairs each of 10, 18, 46, 92 and 300 shingles, 5 of 10 shingles had
 fewer, and none had less than two keys in common). Texts which that leaves in different components though they share two
 buckets are then joined exactly, by the prefix filter: of a
 set in order of the shingles' frequency among these texts, rarest first, two sets at
 0.8 have a shingle in common within the first fifth (and one) of either, and their
 first common one leaves enough after it. Passages that many texts share come last
-in that order and make no pairs; what meets are components that share a rare shingle,
-so pairs grow with the square of the components at one, not of a bucket. Of these pairs,
-too, only those with ``LIKE`` equal min-hashes are decided by their sets.
+in that order and make no pairs; what meets are components that share a rare shingle and
+have texts there of which enough is left, so pairs grow with the square of the components at
+one, not of a bucket. Of these pairs, too, only those with ``LIKE`` equal min-hashes are decided by their sets.
 
 Defined cases: words are told apart by ASCII white space and compared in lower
 case; a text of fewer than five words is one shingle; null counts as empty; texts
@@ -29,7 +30,7 @@ with equal shingle sets are one node. Shingles and sets are known by 64-bit hash
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected
@@ -38,6 +39,7 @@ from corpusmill.shared import scratch, shared_dir, written
 SPACE = r"[\x20\x09-\x0D]+"
 BANDS, ROWS, LIKE = 24, 4, 32
 POINTS = BANDS * ROWS
+CENTRES = 2
 
 
 def text_key(text: Column) -> Column:
@@ -132,15 +134,28 @@ def across(sets: DataFrame) -> DataFrame:
     keys = written(prefixes(sets).withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25)))))
     a, b = (keys.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "n", "place", "class")]) for x in "ab")
     a = a.where("9 * a_place <= a_n").withColumn("b_class", F.explode(F.array(F.col("a_class"), F.col("a_class") + 1))).drop("a_class")
-    own = [x.select("shingle", f"{c}_root", "b_class").distinct() for c, x in (("a", a), ("b", b))]
-    meet = written(own[0].join(written(own[1]), ["shingle", "b_class"]).where("a_root != b_root"))
-    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    # Of a root's nodes at a shingle the most that one has left there and the least size: if these don't reach, no node does.
+    best = [F.max(F.col(f"{c}_n") - F.col(f"{c}_place")) for c in "ab"]
+    own = [x.groupBy("shingle", f"{c}_root", "b_class").agg(m.alias(f"{c}_most"), F.min(f"{c}_n").alias(f"{c}_low")) for c, x, m in (("a", a, best[0]), ("b", b, best[1]))]
+    reach = lambda left, other, n, m: 9 * F.least(left, F.col(other)) >= 4 * (F.col(n) + F.col(m))
+    meet = written(own[0].join(written(own[1]), ["shingle", "b_class"]).where(F.col("a_root") != F.col("b_root")).where(reach(F.col("a_most"), "b_most", "a_low", "b_low")))
+    meet = meet.drop("a_most", "a_low")
+    left_a, left_b = (F.col(f"{c}_n") - F.col(f"{c}_place") for c in "ab")
+    one = meet.join(a, ["shingle", "a_root", "b_class"]).where(reach(left_a, "b_most", "a_n", "b_low")).drop("b_most", "b_low")
     order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
-    found = meet.join(a, ["shingle", "a_root", "b_class"]).join(b, ["shingle", "b_root", "b_class"])
-    found = found.where(order & (9 * left >= 4 * (F.col("a_n") + F.col("b_n"))))
+    found = one.join(b, ["shingle", "b_root", "b_class"]).where(order & (9 * F.least(left_a, left_b) >= 4 * (F.col("a_n") + F.col("b_n"))))
     return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
+def centres(met: DataFrame) -> DataFrame:
+    """(band, centre) of the ``CENTRES`` nodes of each bucket that share buckets with most nodes, of rows
+    (band, node, size): by the sum of their buckets' sizes, ties to the largest. A task keeps as many rows
+    of a bucket at most before they are shuffled."""
+    shares = written(met.groupBy("node").agg(F.sum("size").alias("shares")))
+    order = Window.partitionBy("band").orderBy(F.desc("shares"), F.desc("node"))
+    return written(met.join(shares, "node").select("band", "node", "shares").withColumn("i", F.row_number().over(order)).where(F.col("i") <= CENTRES).select("band", F.col("node").alias("centre")))
+
+
 def twice_met(named: DataFrame) -> DataFrame:
     """(node, root) of the nodes that share two bands with a node of another root, of rows (band, node, root).
     Both bands then hold several roots, so only such bands are paired."""
@@ -156,12 +171,12 @@ def roots(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the nodes that have near copies with other shingle sets."""
     nodes = written(rows.groupBy("node").agg(F.first("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "bands", "marks")]))
     buckets = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = written(buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("band", "low"))
+    shared = written(buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
     met = written(buckets.join(shared, "band"))
     which = written(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "text_key"))
     sets = written(_with_shingles(written(_texts(docs, text).join(which, "text_key").select("node", "t").dropDuplicates(["node"]))))
     marks = nodes.select("node", "n", "marks")
-    first = met.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    first = met.join(centres(met), "band").where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = written(similar(alike(first, marks), sets))
     # What the first step left apart.
     named = written(met.join(connected(links), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))

@@ -91,3 +91,34 @@ def test_a_sketch_is_small_and_says_the_same(spark):
     a, b, none, other = (set(r["bands"]) for r in got.collect())
     assert {(len(r["bands"]), len(r["marks"])) for r in got.collect()} == {(nc.BANDS, nc.POINTS)} and len(none) == nc.BANDS
     assert len(a & b) > 12 and not a & other and not a & none
+
+
+def test_edited_copies_meet_their_centre(spark, monkeypatch):
+    """A group of edited copies: the text they come from links them, so few pairs of
+    them are left to the join on rare shingles, whose number grows with the square of the group."""
+    rng, made, across = random.Random(12), [], nc.across
+    words, rows = " ".join(texts(rng, 12)).split(), []
+    for i in range(160):
+        own = list(words)
+        for at in rng.sample(range(len(own)), i and rng.choice((1, 2, 3, 4))):
+            own[at] = f"z{rng.randrange(100_000)}"
+        rows.append((i, " ".join(own), "en", "s", 0))
+
+    def tapped(sets):
+        made.append(across(sets))
+        return made[-1]
+
+    monkeypatch.setattr(nc, "across", tapped)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    with nc.scratch(spark):
+        found = nc.roots(nc.written(nc.sketches(docs).dropDuplicates(["text_key"])), docs)
+        sizes = [r["count"] for r in found.groupBy("root").count().collect()]
+        assert max(sizes) > 100
+        assert made[0].count() < 160
+    compare(docs)
+
+
+def test_centres_are_those_that_share_most(spark):
+    rows = [(1, n, 4) for n in (5, 6, 7, 8)] + [(2, n, 3) for n in (6, 7, 8)] + [(3, n, 2) for n in (7, 9)]
+    got = nc.centres(spark.createDataFrame(rows, "band long, node long, size long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 7), (1, 8), (2, 7), (2, 8), (3, 7), (3, 9)]
